@@ -17,6 +17,7 @@ from docrecon.operators.certificates import candidate_on_page
 from docrecon.operators.contract import response_documents, strip_internal
 from docrecon.operators.ledger import new_ledger
 from docrecon.operators.ordered import consecutive_runs
+from docrecon.operators.rounds import settle
 from docrecon.profile import CERTIFICATE_ROLE, EVIDENCE_ROLES
 
 
@@ -142,9 +143,9 @@ def merge_spanning(spark, d):
     from docrecon.functions.fields import typed_cell
     from docrecon.schema import CELL_FIELDS
 
-    full = full.withColumns(
+    full = settle(full.withColumns(
         {f: typed_cell(f, None, 0.0) for f in CELL_FIELDS if f not in bills.columns}
-    ).withColumn("chunk_id", F.col("chunk_id").cast("string"))
+    ).withColumn("chunk_id", F.col("chunk_id").cast("string")))
     ledger = merge.merge_spanning(
         full, listed.withColumn("chunk_id", F.col("chunk_id").cast("string")), PROSE
     )

@@ -15,6 +15,11 @@ def cell(value: Column, confidence: Column) -> Column:
 
 def typed_cell(field: str, value, confidence) -> Column:
     """A cell of the field's own type, from columns or literals."""
+    if value is None and not isinstance(confidence, Column):
+        known = "null" if confidence is None else f"{float(confidence)}D"
+        return F.expr(
+            f"cast(named_struct('value', null, 'confidence', {known}) as {cell_sql_type(field)})"
+        )
     v = value if isinstance(value, Column) else F.lit(value)
     c = confidence if isinstance(confidence, Column) else F.lit(confidence)
     return F.struct(v.alias("value"), c.alias("confidence")).cast(cell_sql_type(field))

@@ -6,14 +6,19 @@ real work on the few rows left.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 import zlib
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Workers need not have the package installed: these functions travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @F.pandas_udf(T.DoubleType())
 def zlib_ratio(text: pd.Series) -> pd.Series:

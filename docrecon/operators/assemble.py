@@ -38,13 +38,17 @@ def guard_cells(df: DataFrame, transcript: Column, p: Profile) -> DataFrame:
     }
     out = {}
     for f in CELL_FIELDS:
-        raw = val(f)
-        confidence = F.coalesce(F.col(f)["confidence"], F.lit(0.0))
-        if f in guards:
-            kept = guards[f](raw)
-            confidence = F.when(kept.isNull() & raw.isNotNull(), F.lit(0.0)).otherwise(confidence)
-        else:
-            kept = raw
+        if f not in guards:
+            out[f] = F.expr(
+                f"cast(named_struct('value', {f}.value, 'confidence', coalesce({f}.confidence, 0.0D))"
+                f" as {cell_sql_type(f)})"
+            )
+            continue
+        raw, kept = val(f), guards[f](val(f))
+        lost = kept.isNull() & raw.isNotNull()
+        confidence = F.when(lost, F.lit(0.0)).otherwise(
+            F.coalesce(F.col(f)["confidence"], F.lit(0.0))
+        )
         out[f] = cell(kept, confidence).cast(cell_sql_type(f))
     return df.withColumns(out)
 

@@ -11,6 +11,7 @@ from docrecon.functions.names import names_agree, norm_name
 from docrecon.operators.assemble import is_phantom
 from docrecon.operators.ledger import BILL_KEY, Ledger, audit_rows
 from docrecon.operators.ordered import running_last
+from docrecon.operators.rounds import settle
 from docrecon.profile import Profile
 
 CAP = 0.3
@@ -58,8 +59,10 @@ def attach_cards(ledger: Ledger, facts: DataFrame, p: Profile) -> Ledger:
         norm_name(val("sellerName"), p.branch_suffix).alias("seller"),
         ids.check_digit_valid(ids.digits_only(val("sellerTaxId")), p.id_scheme).alias("has_id"),
     )
-    judged = owned.join(who, BILL_KEY, "left").withColumn(
-        "same", names_agree(norm_name(F.col("card_name"), p.branch_suffix), F.col("seller"), p)
+    judged = settle(
+        owned.join(who, BILL_KEY, "left").withColumn(
+            "same", names_agree(norm_name(F.col("card_name"), p.branch_suffix), F.col("seller"), p)
+        )
     )
     conflict = F.coalesce(~F.col("same"), F.lit(False))
     fills = ~conflict & F.col("card_id").isNotNull() & ~F.col("has_id")

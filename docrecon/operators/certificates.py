@@ -185,12 +185,12 @@ def link_certificates(ledger: Ledger, facts: DataFrame, p: Profile) -> tuple[Dat
     certificates are judged.  Rounds repeat with those ids until nothing changes; one is enough
     unless an attached page brings its bill a new id.
     """
-    certs = read_certificates(facts, ledger.bills, p)
+    certs = settle(read_certificates(facts, ledger.bills, p))
     cert_pages = certs.select("chunk_id", F.col("page_index").alias("chunkPageIndex"))
     bills = ledger.bills.join(cert_pages, ["chunk_id", "chunkPageIndex"], "left_anti")
-    own = tax_ids_for(bills, ledger.spans, facts, p)
+    own = settle(tax_ids_for(bills, ledger.spans, facts, p))
     base_ids = own.withColumn("since", F.lit(ALWAYS))
-    targets = find_targets(certs, bills, base_ids, p)
+    targets = settle(find_targets(certs, bills, base_ids, p))
 
     printed = facts.where(F.col("is_certificate") & (F.size("ids") > 0)).select(
         "chunk_id", "page_index", F.explode("ids").alias("tax_id")
@@ -206,7 +206,6 @@ def link_certificates(ledger: Ledger, facts: DataFrame, p: Profile) -> tuple[Dat
     extra = gained(targets)
     if extra.join(last, "chunk_id").where("since < last_cert").isEmpty():
         return certs, targets
-    targets = settle(targets)
     while True:
         again = settle(
             find_targets(certs, bills, base_ids.unionByName(gained(targets)), p)

@@ -41,23 +41,26 @@ class Ledger:
         return self.but(audit=self.audit.unionByName(rows))
 
 
+def _empty(df: DataFrame, ddl: str) -> DataFrame:
+    """No rows of the given columns, in a form the optimizer drops from unions."""
+    nulls = [f"cast(null as {c.split(' ')[1]}) as {c.split(' ')[0]}" for c in ddl.split(", ")]
+    return df.sparkSession.sql(f"select {', '.join(nulls)} where false")
+
+
 def new_ledger(bills: DataFrame) -> Ledger:
-    spark = bills.sparkSession
     spans = bills.where(F.col("chunkPageIndex").isNotNull()).select(
         *BILL_KEY, F.col("chunkPageIndex").alias("page_index")
     )
     return Ledger(
         bills=bills,
         spans=spans,
-        evidence=spark.createDataFrame(
-            [], "chunk_id string, cand_pos long, role string, page_index int"
-        ),
-        tickets=spark.createDataFrame(
-            [],
+        evidence=_empty(bills, "chunk_id string, cand_pos long, role string, page_index int"),
+        tickets=_empty(
+            bills,
             "chunk_id string, cand_pos long, item_no long, ref string, amount double, "
             "ticket_date string",
         ),
-        audit=spark.createDataFrame([], AUDIT_COLUMNS),
+        audit=_empty(bills, AUDIT_COLUMNS),
     )
 
 
@@ -72,14 +75,3 @@ def audit_rows(df: DataFrame, step: str, **cols) -> DataFrame:
         out.append(source.cast(kind).alias(name))
     return df.select(*out)
 
-
-def update_bills(bills: DataFrame, changes: DataFrame, cells: dict[str, object]) -> DataFrame:
-    """Left-join per-bill ``changes`` and replace the named columns; other columns stay.
-
-    ``changes`` has at most one row per bill.
-    """
-    fresh = [c for c in changes.columns if c not in BILL_KEY]
-    joined = bills.join(changes, BILL_KEY, "left")
-    return joined.select(
-        *[cells[c].alias(c) if c in cells else F.col(c) for c in bills.columns]
-    ) if fresh else bills

@@ -12,11 +12,12 @@ the sequential answer exactly, and needs one round when no bill crosses a block
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
-
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +28,16 @@ from docrecon.operators.ledger import BILL_KEY, Ledger, audit_rows, new_ledger
 from docrecon.operators.ordered import BLOCK, block_of, running_last
 from docrecon.operators.rounds import settle
 from docrecon.profile import Profile
-from docrecon.schema import CELL_FIELDS
+from docrecon.schema import CELL_FIELDS, cell_sql_type, is_number
+
+# Workers need not have the package installed: the fold travels by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 EXACT = {"doc": "originalDocumentNumber", "total": "originalTotal", "day": "documentDate"}
 STATE = ["doc", "seller", "total", "day"]
 _CARRY = [f"in_{c}" for c in STATE]
 _DECISION = (
-    "chunk_id string, cand_pos long, blk long, joins boolean, "
+    "chunk_id {chunk}, cand_pos long, blk long, joins boolean, "
     "doc string, seller string, total string, day string"
 )
 
@@ -167,7 +171,8 @@ def _fold_once(rows: DataFrame, carry: DataFrame | None, p: Profile) -> DataFram
     ordered = given.repartition("chunk_id", "blk").sortWithinPartitions(
         "chunk_id", "blk", "cand_pos"
     )
-    return ordered.mapInPandas(lambda it: fold_rows(it, *args), _DECISION)
+    chunk = rows.schema["chunk_id"].dataType.simpleString()
+    return ordered.mapInPandas(lambda it: fold_rows(it, *args), _DECISION.format(chunk=chunk))
 
 
 def _carry_of(decided: DataFrame) -> DataFrame:
@@ -187,7 +192,9 @@ def merge_decisions(facts: DataFrame, p: Profile, block: int = BLOCK) -> DataFra
 
     ``cand_pos`` must be gapless within a chunk.
     """
-    rows = _with_hard_breaks(facts).withColumn("blk", block_of(F.col("cand_pos"), block))
+    rows = settle(
+        _with_hard_breaks(facts).withColumn("blk", block_of(F.col("cand_pos"), block))
+    )
     nxt = rows.select(
         "chunk_id", (F.col("cand_pos") - 1).alias("cand_pos"), (~F.col("hard")).alias("next_open")
     )
@@ -218,30 +225,22 @@ def merge_spanning(
     Values already stated stay; missing cells take the first later part that states them.  Line
     items of later parts are dropped unless ``carry_line_items``.
     """
-    decisions = merge_decisions(boundary_facts(bills, pages, p), p, block)
-    marked = bills.join(decisions, BILL_KEY, "left").withColumn(
+    decisions = settle(merge_decisions(boundary_facts(bills, pages, p), p, block))
+    lean = bills.select(*BILL_KEY).join(decisions, BILL_KEY, "left").withColumn(
         "joins", F.coalesce("joins", F.lit(False))
     )
     head = F.when(~F.col("joins"), F.col("cand_pos"))
-    marked = running_last(marked, ["chunk_id"], ["cand_pos"], head, "head")
+    heads = settle(running_last(lean, ["chunk_id"], ["cand_pos"], head, "head"))
+    marked = bills.join(heads, BILL_KEY)
 
     spans = marked.where(F.col("chunkPageIndex").isNotNull()).select(
         "chunk_id", F.col("head").alias("cand_pos"), F.col("chunkPageIndex").alias("page_index")
     )
     parts = marked.where("joins")
-    later = parts.groupBy("chunk_id", F.col("head").alias("cand_pos")).agg(
-        *[
-            F.min_by(F.col(f), F.when(val(f).isNotNull(), F.col("cand_pos"))).alias(f"__{f}")
-            for f in CELL_FIELDS
-        ],
-        F.count(F.lit(1)).alias("parts"),
-    )
-    cells = {
-        f: F.when(val(f).isNull() & F.col(f"__{f}").isNotNull(), F.col(f"__{f}")).otherwise(F.col(f))
-        for f in CELL_FIELDS
-    }
+    later = _first_stated(parts)
+    cells = {f: _filled(f) for f in CELL_FIELDS}
     heads = marked.where(~F.col("joins")).select(*bills.columns)
-    merged = heads.join(later, BILL_KEY, "left").select(
+    merged = heads.join(later.drop("parts"), BILL_KEY, "left").select(
         *[cells[c].alias(c) if c in cells else F.col(c) for c in bills.columns]
     )
     if carry_line_items:
@@ -255,6 +254,41 @@ def merge_spanning(
     )
 
 
+def _first_stated(parts: DataFrame) -> DataFrame:
+    """Per bill, a map from field to the first later part's cell that states it, and the part count.
+
+    Only stated cells travel; the map has at most one entry per contract field.
+    """
+    def entry(f: str) -> str:
+        text, number = ("null", f"{f}.value") if is_number(f) else (f"{f}.value", "null")
+        return (
+            f"if({f}.value is not null, named_struct('f', '{f}', 'cell', named_struct("
+            f"'s', cast({text} as string), 'd', cast({number} as double), 'c', {f}.confidence)), null)"
+        )
+
+    stated = F.expr(f"array_compact(array({', '.join(entry(f) for f in CELL_FIELDS)}))")
+    rows = parts.select(
+        "chunk_id", F.col("head").alias("cand_pos"), F.col("cand_pos").alias("at"), stated.alias("x")
+    )
+    sizes = rows.groupBy(*BILL_KEY).agg(F.count(F.lit(1)).alias("parts"))
+    firsts = (
+        rows.select(*BILL_KEY, "at", F.explode("x").alias("x"))
+        .groupBy(*BILL_KEY, F.col("x.f").alias("f"))
+        .agg(F.min_by("x.cell", "at").alias("cell"))
+        .groupBy(*BILL_KEY)
+        .agg(F.map_from_entries(F.collect_list(F.struct("f", "cell"))).alias("fills"))
+    )
+    return sizes.join(firsts, BILL_KEY, "left")
+
+
+def _filled(f: str):
+    """The head's own cell, or the first later one where the head states nothing."""
+    given = f"fills['{f}']"
+    value = f"{given}.{'d' if is_number(f) else 's'}"
+    cell = f"cast(named_struct('value', {value}, 'confidence', {given}.c) as {cell_sql_type(f)})"
+    return F.expr(f"if({f}.value is null and {given} is not null, {cell}, {f})")
+
+
 def _carry_items(merged: DataFrame, parts: DataFrame) -> DataFrame:
     """Append later parts' line items; items of one printed bill, so the list stays short."""
     extra = parts.groupBy("chunk_id", F.col("head").alias("cand_pos")).agg(

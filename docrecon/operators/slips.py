@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docrecon.functions.fields import val
 from docrecon.operators.ledger import BILL_KEY, Ledger, audit_rows
+from docrecon.operators.rounds import settle
 from docrecon.profile import Profile
 
 
@@ -100,7 +101,7 @@ def match_slips(ledger: Ledger, facts: DataFrame, p: Profile) -> Ledger:
         "chunk_id", F.col("cand_pos").alias("bill_id"),
         val("clearingAmount").alias("paid"), val("originalTotal").alias("gross"),
     )
-    judged = match_amounts(slips, bills, p.limits.slip_money)
+    judged = settle(match_amounts(slips, bills, p.limits.slip_money))
     folded = judged.where("matched").select(
         "chunk_id", F.col("bill_id").alias("cand_pos"), F.col("slip_id").alias("page_index")
     )

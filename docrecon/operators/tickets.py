@@ -10,6 +10,7 @@ from docrecon.functions.money import to_number
 from docrecon.functions.text import blank_to_null
 from docrecon.operators.ledger import BILL_KEY, Ledger, audit_rows
 from docrecon.operators.ordered import block_of, consecutive_runs, running_count
+from docrecon.operators.rounds import settle
 from docrecon.profile import Profile
 
 DECIDED = 0.9
@@ -91,26 +92,28 @@ def sum_tickets(ledger: Ledger, facts: DataFrame, flagged: DataFrame, p: Profile
     tolls = facts.where("is_toll").join(flagged.distinct(), "chunk_id", "left_semi").select(
         "chunk_id", "page_index", "toll_text"
     )
-    pages = consecutive_runs(tolls, ["chunk_id"], "page_index")
     run = ["chunk_id", "run_start"]
-    printed = ticket_rows(pages, "toll_text", p)
-    tickets = _first_copies(printed.select(*run, "page_index", "pos", "ref", "amount",
-                                           "vat_included", "ticket_date"), run,
-                            ["page_index", "pos"])
+    members = settle(
+        consecutive_runs(
+            tolls.select("chunk_id", "page_index", ticket_images(F.col("toll_text"), p).alias("images")),
+            ["chunk_id"], "page_index",
+        )
+    )
+    placed = ticket_rows(tolls, "toll_text", p).join(members, ["chunk_id", "page_index"])
+    tickets = settle(_first_copies(placed, run, ["page_index", "pos"]))
     sums = sum_runs(tickets, run)
-    shape = pages.groupBy(*run).agg(
-        F.max("page_index").alias("run_end"), F.sum(ticket_images(F.col("toll_text"), p)).alias("images")
+    shape = members.groupBy(*run).agg(
+        F.max("page_index").alias("run_end"), F.sum("images").alias("images")
     )
-    members = pages.select("chunk_id", "run_start", "page_index")
     owners = ledger.bills.select(*BILL_KEY, F.col("chunkPageIndex").alias("page_index")).join(
-        members, ["chunk_id", "page_index"]
+        members.drop("images"), ["chunk_id", "page_index"]
     )
     bases = owners.groupBy(*run).agg(
         F.min("cand_pos").alias("base_pos"), F.count(F.lit(1)).alias("replaced")
     )
-    active = sums.join(bases, run).join(shape, run)
-    consumed = owners.join(active.select(*run, "base_pos"), run).select(
-        "chunk_id", "cand_pos", "base_pos"
+    active = settle(sums.join(bases, run).join(shape, run))
+    consumed = settle(
+        owners.join(active.select(*run, "base_pos"), run).select("chunk_id", "cand_pos", "base_pos")
     )
     others = consumed.where("cand_pos <> base_pos").select(*BILL_KEY)
     change = active.select(

@@ -16,6 +16,7 @@ from docrecon.operators.ledger import Ledger, audit_rows
 from docrecon.operators.merge import merge_spanning
 from docrecon.operators.pages import page_facts
 from docrecon.operators.readings import with_verdict
+from docrecon.operators.rounds import settle
 from docrecon.operators.slips import match_slips
 from docrecon.operators.tickets import sum_tickets
 from docrecon.profile import Profile
@@ -45,18 +46,20 @@ def reconcile(
     still read.  ``reference_gaps`` keeps the index gaps that dropped rows leave behind.
     """
     judged = judge_pages(pages, p)
-    facts = page_facts(judged, p)
+    # Page text is read and matched once; every later step works on these small rows.
+    facts = settle(page_facts(judged, p))
     usable = judged.where(F.col("verdict").isNull()).select("chunk_id", "page_index", "transcript")
-    bills = assemble(candidates.join(usable, ["chunk_id", "page_index"]), p)
+    bills = settle(assemble(candidates.join(usable, ["chunk_id", "page_index"]), p))
 
-    ledger = merge_spanning(bills, facts.select("chunk_id", "page_index", "marker"), p)
-    ledger = apply_certificates(ledger, facts, p)
-    ledger = attach_cards(ledger, facts, p)
-    ledger = match_slips(ledger, facts, p)
+    # Each step reads the bills several times, so its result is settled before the next one.
+    ledger = _settled(merge_spanning(bills, facts.select("chunk_id", "page_index", "marker"), p))
+    ledger = _settled(apply_certificates(ledger, facts, p))
+    ledger = _settled(attach_cards(ledger, facts, p))
+    ledger = _settled(match_slips(ledger, facts, p))
     if categories is not None and requests is not None:
-        ledger = sum_tickets(ledger, facts, flagged_chunks(requests, categories), p)
+        ledger = _settled(sum_tickets(ledger, facts, flagged_chunks(requests, categories), p))
 
-    owned = sp.live(ledger.spans, ledger.bills)
+    owned = settle(sp.live(ledger.spans, ledger.bills))
     owned = sp.widen(owned, sp.attach_orphans(facts, owned, ledger.bills))
     evidence = sp.tag_document_roles(
         sp.live(ledger.evidence, ledger.bills), owned, sp.page_roles(facts, p)
@@ -81,6 +84,12 @@ def reconcile(
     return ledger if reference_gaps else ledger.but(bills=renumber(ledger.bills))
 
 
+def _settled(ledger: Ledger) -> Ledger:
+    return ledger.but(
+        bills=settle(ledger.bills), spans=settle(ledger.spans), evidence=settle(ledger.evidence)
+    )
+
+
 def flagged_chunks(requests: DataFrame, categories: DataFrame) -> DataFrame:
     """Chunks whose category sums toll tickets."""
     fx = category_effect(requests.withColumn("key", category_key(F.col("category"))), categories)

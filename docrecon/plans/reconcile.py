@@ -51,11 +51,11 @@ def reconcile(
     usable = judged.where(F.col("verdict").isNull()).select("chunk_id", "page_index", "transcript")
     bills = settle(assemble(candidates.join(usable, ["chunk_id", "page_index"]), p))
 
-    # Each step reads the bills several times, so its result is settled before the next one.
+    # A step reads the bills several times, so what a step rewrote is settled before the next one.
     ledger = _settled(merge_spanning(bills, facts.select("chunk_id", "page_index", "marker"), p))
     ledger = _settled(apply_certificates(ledger, facts, p))
     ledger = _settled(attach_cards(ledger, facts, p))
-    ledger = _settled(match_slips(ledger, facts, p))
+    ledger = match_slips(ledger, facts, p)
     if categories is not None and requests is not None:
         ledger = _settled(sum_tickets(ledger, facts, flagged_chunks(requests, categories), p))
 
@@ -85,9 +85,7 @@ def reconcile(
 
 
 def _settled(ledger: Ledger) -> Ledger:
-    return ledger.but(
-        bills=settle(ledger.bills), spans=settle(ledger.spans), evidence=settle(ledger.evidence)
-    )
+    return ledger.but(bills=settle(ledger.bills))
 
 
 def flagged_chunks(requests: DataFrame, categories: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from docrecon.schema import MODEL_RESPONSE
 def read_transcripts(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
     """One row per text file: ``label`` (file name without suffix) and ``text``."""
     stem = F.regexp_extract("_metadata.file_name", rf"^(.*)\Q{suffix}\E$", 1)
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", f"*{suffix}").text(path)
+    raw = spark.read.option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True)
     return raw.select(F.url_decode(stem).alias("label"), F.col("value").alias("text"))
 
 
@@ -49,7 +49,7 @@ def category_columns(key: Column, raw: Column) -> list[Column]:
 
 def load_categories(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object of codes to rows; keys starting with ``_`` are notes."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     entries = text.select(
         F.explode(F.from_json("value", T.MapType(T.StringType(), T.StringType()))).alias("k", "v")
     ).where(~F.col("k").startswith("_"))

@@ -155,20 +155,14 @@ def legal_rate_pairs(spark, d):
         ),
         lambda v: v > 0,
     )
-    rows = li.select("l_orderkey", "l_linenumber", "l_partkey", listed.alias("amounts")).withColumn(
-        "c", money.base_and_tax(F.col("amounts"), LEGAL_RATE_PERCENTS)
+    found = money.base_and_tax(listed, LEGAL_RATE_PERCENTS)
+    rows = li.select(
+        "l_orderkey", "l_linenumber", "l_partkey",
+        F.explode(F.array_compact(F.array(found))).alias("c"),
     )
     # The SQL states the case of a single pair; with several the order of amounts decides.
-    b = F.col("c.base")
-    pairs = F.size(
-        F.filter(
-            "amounts",
-            lambda t: (t < b) & money.is_legal_rate(F.try_divide(t, b) * 100, LEGAL_RATE_PERCENTS),
-        )
-    )
-    return rows.where(F.col("c").isNotNull() & (pairs == 1)).select(
-        "l_orderkey", "l_linenumber", "l_partkey", b.alias("base"), F.col("c.tax").alias("tax"),
-        F.col("c.rate").alias("rate"),
+    return rows.where("c.fits = 1").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "c.base", "c.tax", "c.rate"
     )
 
 

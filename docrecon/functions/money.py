@@ -47,28 +47,37 @@ def is_legal_rate(rate: Column, rates: Sequence[float], tol: float = 0.01) -> Co
 
 
 def base_and_tax(amounts: Column, rates: Sequence[float]) -> Column:
-    """``struct(base, tax, rate)`` when exactly one base has a tax at a legal rate, else null.
+    """``struct(base, tax, rate, fits)`` when exactly one base has a tax at a legal rate, else null.
 
-    Taxes are filtered per base, so only the pairs that fit are kept in memory.
+    The first fitting tax in printed order counts; ``fits`` says how many fit.  Taxes are filtered per
+    base, so only the pairs that fit are kept in memory.
     """
-
-    def pairs(found):
-        def fits(base):
-            return F.transform(
-                F.filter(
-                    found, lambda t: (t < base) & is_legal_rate(F.try_divide(t, base) * 100, rates)
-                ),
-                lambda t: F.struct(
-                    base.alias("base"), t.alias("tax"), F.round(t / base * 100, 2).alias("rate")
-                ),
+    low, high = min(rates) - 0.01, max(rates) + 0.01
+
+    def per_base(found):
+        def one(base):
+            # The range test settles nearly every pair; amounts are positive, so base > tax > 0.
+            taxes = F.filter(
+                found,
+                lambda t: (t < base) & (t > base * (low / 101)) & (t < base * (high / 99))
+                & is_legal_rate(t / base * 100, rates),
             )
+            return F.struct(base.alias("base"), taxes.alias("taxes"))
+
+        return F.filter(F.transform(found, one), lambda b: F.size(b["taxes"]) > 0)
+
+    def single(bases):
+        first = F.get(bases, F.lit(0))
+        base, tax = first["base"], F.get(first["taxes"], F.lit(0))
+        return F.when(
+            F.size(bases) == 1,
+            F.struct(
+                base.alias("base"), tax.alias("tax"), F.round(tax / base * 100, 2).alias("rate"),
+                F.size(first["taxes"]).alias("fits"),
+            ),
+        )
 
-        return F.filter(F.transform(found, fits), lambda fit: F.size(fit) > 0)
-
-    per_base = bind(amounts, pairs)
-    return bind(
-        per_base, lambda b: F.when(F.size(b) == 1, F.get(F.get(b, F.lit(0)), F.lit(0)))
-    )
+    return bind(bind(amounts, per_base), single)
 
 
 def nearest_rate_gap(base: Column, tax: Column, rates: Sequence[float]) -> Column:

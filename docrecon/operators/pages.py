@@ -13,14 +13,16 @@ def page_facts(pages: DataFrame, p: Profile) -> DataFrame:
     """One row per page with classifier flags and the values printed on it.
 
     Every regular expression runs once per page; extraction for a class of page is skipped on the
-    other pages.  ``pages``: (chunk_id, page_index, transcript).
+    other pages.  ``pages``: (chunk_id, page_index, transcript), and ``verdict`` where judged.
     """
     t = F.col("transcript")
     own = p.own.tax_id
+    verdict = F.col("verdict") if "verdict" in pages.columns else F.lit(None).cast("string")
     flags = pages.select(
         "chunk_id",
         F.col("page_index").cast("int").alias("page_index"),
         "transcript",
+        verdict.alias("verdict"),
         text.is_certificate(t, p).alias("is_certificate"),
         text.is_id_card(t, p).alias("is_card"),
         text.is_transfer_slip(t, p).alias("is_slip"),
@@ -31,7 +33,7 @@ def page_facts(pages: DataFrame, p: Profile) -> DataFrame:
     slip_text = F.when(F.col("is_slip"), t)
     page_ids = ids.valid_ids(ids.extract_ids(t, p.id_scheme.length), p.id_scheme, own)
     return flags.select(
-        "chunk_id", "page_index", "is_certificate", "is_card", "is_slip", "is_toll",
+        "chunk_id", "page_index", "verdict", "is_certificate", "is_card", "is_slip", "is_toll",
         text.page_marker(t, p.page_marker, p.limits.max_marker_pages).alias("marker"),
         page_ids.alias("ids"),
         text.roles_for_page(t, p).alias("roles"),

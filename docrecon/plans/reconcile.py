@@ -45,11 +45,12 @@ def reconcile(
     ``requests``: (chunk_id, category).  Candidates of an unusable page are dropped, its text is
     still read.  ``reference_gaps`` keeps the index gaps that dropped rows leave behind.
     """
-    judged = judge_pages(pages, p)
-    # Page text is read and matched once; every later step works on these small rows.
-    facts = settle(page_facts(judged, p))
-    usable = judged.where(F.col("verdict").isNull()).select("chunk_id", "page_index", "transcript")
-    bills = settle(assemble(candidates.join(usable, ["chunk_id", "page_index"]), p))
+    # Page text is judged and matched once; later steps work on these small rows.
+    facts = settle(page_facts(judge_pages(pages, p), p))
+    page = ["chunk_id", "page_index"]
+    usable = facts.where(F.col("verdict").isNull()).select(*page)
+    texts = pages.select(*page, collapse_empty_rows(F.col("transcript")).alias("transcript"))
+    bills = settle(assemble(candidates.join(usable, page, "left_semi").join(texts, page), p))
 
     # A step reads the bills several times, so what a step rewrote is settled before the next one.
     ledger = _settled(merge_spanning(bills, facts.select("chunk_id", "page_index", "marker"), p))

@@ -129,13 +129,15 @@ def assemble(
     p: Profile,
     *,
     use_party_constant: bool = True,
+    number_on_page: bool = True,
     declared=("relatedDocumentNumber",),
 ) -> DataFrame:
     """Model candidates to bills.
 
     ``candidates``: (chunk_id, page_index, page_pos, transcript, model cells, lineItems), where
     ``page_pos`` orders the candidates of one page.  Adds ``cand_pos``, the position in the chunk,
-    and ``candidateIndex``, the position on the page.
+    and ``candidateIndex``, the position on the page (0 throughout unless ``number_on_page``, for
+    callers that number the merged bills).
     """
     keep = text.is_certificate(F.col("transcript"), p)
     df = candidates.where(has_money(BILL_MONEY, keep))
@@ -147,10 +149,13 @@ def assemble(
         df = apply_party_constant(df, F.col("transcript"), p.own)
     df = df.drop("transcript").withColumn("chunkPageIndex", F.col("page_index").cast("int"))
     df = running_count(df, ["chunk_id"], ["page_index", "page_pos"], "cand_pos")
-    df = running_count(
-        df, ["chunk_id", "page_index"], ["page_pos"], "candidateIndex"
-    ).withColumn("candidateIndex", F.col("candidateIndex").cast("int"))
-    return df.drop("page_index", "page_pos")
+    if number_on_page:
+        df = running_count(df, ["chunk_id", "page_index"], ["page_pos"], "candidateIndex")
+    else:
+        df = df.withColumn("candidateIndex", F.lit(0))
+    return df.withColumn("candidateIndex", F.col("candidateIndex").cast("int")).drop(
+        "page_index", "page_pos"
+    )
 
 
 def renumber(bills: DataFrame) -> DataFrame:

@@ -217,13 +217,12 @@ def merge_decisions(facts: DataFrame, p: Profile, block: int = BLOCK) -> DataFra
 
 
 def merge_spanning(
-    bills: DataFrame, pages: DataFrame, p: Profile, *, carry_line_items: bool = False,
-    block: int = BLOCK,
+    bills: DataFrame, pages: DataFrame, p: Profile, *, block: int = BLOCK
 ) -> Ledger:
     """Fold page-spanning bills together and number the result.
 
-    Values already stated stay; missing cells take the first later part that states them.  Line
-    items of later parts are dropped unless ``carry_line_items``.
+    Values already stated stay; missing cells take the first later part that states them.  Only
+    cells cross over, so line items of later parts are dropped.
     """
     decisions = settle(merge_decisions(boundary_facts(bills, pages, p), p, block))
     lean = bills.select(*BILL_KEY).join(decisions, BILL_KEY, "left").withColumn(
@@ -243,8 +242,6 @@ def merge_spanning(
     merged = heads.join(later.drop("parts"), BILL_KEY, "left").select(
         *[cells[c].alias(c) if c in cells else F.col(c) for c in bills.columns]
     )
-    if carry_line_items:
-        merged = _carry_items(merged, parts)
     ledger = new_ledger(merged).but(bills=renumber(merged), spans=spans)
     return ledger.log(
         audit_rows(
@@ -289,19 +286,6 @@ def _filled(f: str):
     return F.expr(f"if({f}.value is null and {given} is not null, {cell}, {f})")
 
 
-def _carry_items(merged: DataFrame, parts: DataFrame) -> DataFrame:
-    """Append later parts' line items; items of one printed bill, so the list stays short."""
-    extra = parts.groupBy("chunk_id", F.col("head").alias("cand_pos")).agg(
-        F.array_sort(F.collect_list(F.struct("cand_pos", "lineItems"))).alias("__parts")
-    )
-    items = F.concat(
-        F.col("lineItems"),
-        F.coalesce(F.flatten(F.transform("__parts", lambda x: x["lineItems"])), F.array()),
-    )
-    cols = merged.columns
-    return merged.join(extra, BILL_KEY, "left").withColumn("lineItems", items).select(*cols)
-
-
 def merge_pairwise(facts: DataFrame, p: Profile) -> DataFrame:
     """The decision against the row just before instead of the filled bill, fully built in.
 

@@ -168,19 +168,12 @@ def confidence_spread(confidences: DataFrame, column: str = "confidence") -> Dat
     counts = confidences.where(F.col(column).isNotNull()).groupBy(column).agg(
         F.count(F.lit(1)).alias("k")
     )
-    total = counts.agg(
-        F.sum("k").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")
-    )
-    upto = _cumulative(counts, column)
-    mid = (
-        upto.crossJoin(F.broadcast(total))
-        .where(F.col("upto") > F.floor(F.col("n") / 2))
-        .agg(F.min(column).alias("p50"))
-    )
-    return total.crossJoin(F.broadcast(mid)).select(
-        "n", F.col("lo").alias("min"), "p50", F.col("hi").alias("max"),
-        (F.col("lo") == F.col("hi")).alias("flat"),
-    )
+    half = F.floor(counts.agg(F.sum("k")).scalar() / 2)
+    mid = _cumulative(counts, column).where(F.col("upto") > half).agg(F.min(column)).scalar()
+    return counts.agg(
+        F.sum("k").alias("n"), F.min(column).alias("min"), F.max(column).alias("max"),
+        (F.min(column) == F.max(column)).alias("flat"),
+    ).select("n", "min", mid.alias("p50"), "max", "flat")
 
 
 def _cumulative(counts: DataFrame, column: str, width: float = 0.001) -> DataFrame:
@@ -222,12 +215,12 @@ def speed_comparison(pages: DataFrame, run: str) -> DataFrame:
         mean(F.col("stage2_s")).alias("stage2"),
         mean(total).alias("total"),
     )
-    slowest = per_run.agg(F.max("total").alias("slowest"))
-    return per_run.crossJoin(F.broadcast(slowest)).select(
+    slowest = per_run.agg(F.max("total")).scalar()
+    return per_run.select(
         run, "pages", "failed", F.round("stage1", 6).alias("stage1_s"),
         F.round("stage2", 6).alias("stage2_s"), F.round("total", 6).alias("total_s"),
         F.round(10 * F.col("total"), 6).alias("ten_pages_s"),
-        F.round(F.try_divide("slowest", "total"), 6).alias("times_faster"),
+        F.round(F.try_divide(slowest, F.col("total")), 6).alias("times_faster"),
     )
 
 
@@ -250,19 +243,17 @@ def concurrency_summary(rows: DataFrame, level: str, deadline_s: float = 600.0)
     rate = per.withColumn("per_min", 60 * F.col("pages") / F.col("wall_s")).withColumn(
         "fits", 40 * F.col("mean_s") <= deadline_s
     )
-    pick = rate.agg(
-        F.min_by("per_min", level).alias("first_rate"),
-        F.max_by(F.struct(level), F.struct("per_min", -F.col(level))).alias("best"),
-        F.max(F.when(F.col("fits"), F.col(level))).alias("largest"),
-    )
-    return rate.crossJoin(F.broadcast(pick)).select(
+    first_rate = rate.agg(F.min_by("per_min", level)).scalar()
+    best = rate.agg(F.max(F.struct("per_min", -F.col(level)))).scalar()
+    largest = rate.agg(F.max(F.when(F.col("fits"), F.col(level)))).scalar()
+    return rate.select(
         level, "pages", "errors", "failed", F.round("wall_s", 6).alias("wall_s"),
         F.round("per_min", 6).alias("pages_per_min"), F.round("mean_s", 6).alias("mean_s"),
         F.round("p95_s", 6).alias("p95_s"),
-        F.round(F.col("per_min") / F.col("first_rate"), 6).alias("ratio_to_first"),
+        F.round(F.col("per_min") / first_rate, 6).alias("ratio_to_first"),
         F.coalesce("fits", F.lit(False)).alias("fits"),
-        (F.col(level) == F.col("best")[level]).alias("best"),
-        F.col(level).eqNullSafe(F.col("largest")).alias("largest_fit"),
+        (F.struct("per_min", -F.col(level)) == best).alias("best"),
+        F.col(level).eqNullSafe(largest).alias("largest_fit"),
     )
 
 

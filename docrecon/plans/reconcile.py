@@ -50,7 +50,8 @@ def reconcile(
     page = ["chunk_id", "page_index"]
     usable = facts.where(F.col("verdict").isNull()).select(*page)
     texts = pages.select(*page, collapse_empty_rows(F.col("transcript")).alias("transcript"))
-    bills = settle(assemble(candidates.join(usable, page, "left_semi").join(texts, page), p))
+    read = candidates.join(usable, page, "left_semi").join(texts, page)
+    bills = settle(assemble(read, p, number_on_page=False))
 
     # A step reads the bills several times, so what a step rewrote is settled before the next one.
     ledger = _settled(merge_spanning(bills, facts.select("chunk_id", "page_index", "marker"), p))

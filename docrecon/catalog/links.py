@@ -143,7 +143,7 @@ def _certificates(spark, d):
     ).withColumnRenamed("o_custkey", "chunk_id")
     o = running_count(
         o, ["chunk_id"], ["o_orderdate", "o_orderkey"], "page",
-        block=F.year("o_orderdate").cast("long"),
+        block=F.unix_date(F.to_date("o_orderdate")).cast("long"),
     )
     pri, s = F.col("o_orderpriority"), F.col("o_orderstatus")
     base = F.floor(F.col("o_totalprice") / 100000).cast("double") * 1000 + 1000
@@ -263,7 +263,7 @@ def assemble_bills(spark, d):
     ).withColumnRenamed("o_custkey", "chunk_id")
     o = running_count(
         o, ["chunk_id"], ["o_orderdate", "o_orderkey"], "page_index",
-        block=F.year("o_orderdate").cast("long"),
+        block=F.unix_date(F.to_date("o_orderdate")).cast("long"),
     )
     s, pri = F.col("o_orderstatus"), F.col("o_orderpriority")
     number = F.concat(F.lit("no "), pri)

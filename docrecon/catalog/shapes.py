@@ -14,12 +14,12 @@ EV_SQL = """ev as (select *, row_number() over (partition by user_id order by ts
 
 
 def event_pages(spark, d, *cols) -> DataFrame:
-    """Events as pages: chunk = user, page = position in time.  Blocks are days, which order time."""
+    """Events as pages: chunk = user, page = position in time.  Blocks are hours, which order time."""
     e = table(spark, d, "events", "user_id", "ts", "event_id", *[c for c in cols if c not in
                                                                  ("user_id", "ts", "event_id")])
     e = e.withColumnRenamed("user_id", "chunk_id")
-    day = F.unix_date(F.to_date("ts")).cast("long")
-    return running_count(e, ["chunk_id"], ["ts", "event_id"], "page_index", block=day).withColumn(
+    hour = F.unix_date(F.to_date("ts")).cast("long") * 24 + F.hour("ts")
+    return running_count(e, ["chunk_id"], ["ts", "event_id"], "page_index", block=hour).withColumn(
         "page_index", F.col("page_index").cast("int")
     )
 

@@ -44,9 +44,9 @@ def test_base_and_tax(spark):
 
     r = one(spark, a=read("2,000.00 30.00"), b=read("100.00 7.00"), c=read("2,000.00 30.00 1,000.00"),
             d=read(None), e=read("30.00 2,000.00 60.00"))
-    assert tuple(r.a) == (2000.0, 30.0, 1.5) and r.b is None and r.d is None
+    assert tuple(r.a) == (2000.0, 30.0, 1.5, 1) and r.b is None and r.d is None
     assert r.c is None                      # 1,000.00 with 30.00 is a second base
-    assert tuple(r.e) == (2000.0, 30.0, 1.5)  # the first tax in printed order
+    assert tuple(r.e) == (2000.0, 30.0, 1.5, 2)  # the first tax in printed order
 
 
 def test_verdicts_and_readings(spark):

@@ -106,10 +106,10 @@ def identity_findings(spark, d):
 @query(
     "distrust_confidence",
     f"""with {_FINDINGS_SQL}
-    select k, case when bad_sum then 0.3 else 0.8 end as total_conf,
-      case when bad_sum or bad_vat or bad_wht then 0.3 else 0.8 end as base_conf,
-      case when bad_sum or bad_vat then 0.3 else 0.8 end as vat_conf,
-      case when bad_wht then 0.3 else 0.8 end as wht_conf
+    select k, (case when bad_sum then 0.3 else 0.8 end)::double as total_conf,
+      (case when bad_sum or bad_vat or bad_wht then 0.3 else 0.8 end)::double as base_conf,
+      (case when bad_sum or bad_vat then 0.3 else 0.8 end)::double as vat_conf,
+      (case when bad_wht then 0.3 else 0.8 end)::double as wht_conf
     from found""",
 )
 def distrust_confidence(spark, d):
@@ -239,7 +239,7 @@ def money_filters(spark, d):
 
 @query(
     "cell_values",
-    """select o_orderkey, o_totalprice as total, case when o_orderstatus = 'F' then 0.9 else 0.4 end
+    """select o_orderkey, o_totalprice as total, (case when o_orderstatus = 'F' then 0.9 else 0.4 end)::double
        as confidence, try_cast(o_orderpriority as double) as as_number from orders""",
 )
 def cell_values(spark, d):
@@ -575,8 +575,8 @@ _SEG_TYPE = {"BUILDING": "company", "MACHINERY": "individual"}
          case when valid then case when left(id, 1) = '0' then 'company' when left(id, 1) <> '9'
            then 'individual' end end) as decided from chk)
     select k, was, coalesce(decided, was) as now,
-      case when decided is not null and was is distinct from decided then 0.9
-           when was is null then 0.0 else 0.5 end as confidence,
+      (case when decided is not null and was is distinct from decided then 0.9
+           when was is null then 0.0 else 0.5 end)::double as confidence,
       (decided is not null and was is distinct from decided) as changed from t""",
 )
 def payee_types_applied(spark, d):

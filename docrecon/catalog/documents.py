@@ -248,7 +248,7 @@ def account_like_mask(spark, d):
         contains(lower(text), '@mail') or contains(lower(text), '555-')) as named from documents)
     select doc_id, named, case when named then 'Example Holdings' end as buyer_name,
            case when named then '0000000000000' end as buyer_id,
-           case when named then 1.0 else 0.0 end as confidence
+           (case when named then 1.0 else 0.0 end)::double as confidence
     from n
     """,
 )

@@ -246,12 +246,12 @@ def page_tax_ids(spark, d):
     select chunk as chunk_id, cand_pos::bigint as cand_pos, 0 as "candidateIndex",
       page::int as "chunkPageIndex", case when s <> 'P' then total end as total,
       case when s = 'O' then '4444333322221111' end as seller_id,
-      case when s = 'O' then 0.7 else 0.0 end as seller_id_conf,
+      (case when s = 'O' then 0.7 else 0.0 end)::double as seller_id_conf,
       case when pri like '4%' or s <> 'F' then 'no ' || pri end as doc_number,
-      case when pri like '4%' or s <> 'F' then 0.7 else 0.0 end as doc_number_conf,
+      (case when pri like '4%' or s <> 'F' then 0.7 else 0.0 end)::double as doc_number_conf,
       case when pri like '5%' then null else pri end as method,
       case when s = 'F' then 'Example Holdings' end as buyer,
-      case when s = 'F' then 1.0 else 0.0 end as buyer_conf, 1 as items
+      (case when s = 'F' then 1.0 else 0.0 end)::double as buyer_conf, 1 as items
     from kept
     """,
 )

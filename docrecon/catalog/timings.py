@@ -55,7 +55,7 @@ def speed_ratio(spark, d):
          quantile_cont(value, 0.95) filter (where error is null and not failed) as p95 from w group by level),
     t as (select *, 60 * pages / wall as per_min, 40 * mean <= 2000 as fits from s)
     select level, pages::bigint as pages, errors::bigint as errors, failed::bigint as failed,
-      round(wall, 6) as wall_s, round(per_min, 6) as pages_per_min, round(mean, 6) as mean_s,
+      round(wall, 6)::double as wall_s, round(per_min, 6) as pages_per_min, round(mean, 6) as mean_s,
       round(p95, 6) as p95_s, round(per_min / first_value(per_min) over (order by level), 6)
         as ratio_to_first, fits, per_min = max(per_min) over () as best,
       level is not distinct from (select max(level) from t where fits) as largest_fit

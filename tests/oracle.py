@@ -61,6 +61,20 @@ def difference(name, spark_df, con, sql) -> str | None:
     return None
 
 
+SAME_TYPE = {
+    "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
+}
+
+
+def type_notes(spark_df, con, sql) -> list[str]:
+    """Columns whose types differ between the two sides."""
+    rel = con.sql(sql)
+    want = dict(zip(rel.columns, map(str, rel.types)))
+    return [
+        f"{c} {t}/{want.get(c)}" for c, t in spark_df.dtypes if SAME_TYPE.get(t, t) != want.get(c)
+    ]
+
+
 def main(argv):
     from pyspark.sql import SparkSession
 
@@ -84,6 +98,9 @@ def main(argv):
             df = queries[name](spark, sf_dir)
             if name in sql:
                 problem = difference(name, df, con, sql[name])
+                notes = type_notes(df, con, sql[name])
+                if notes:
+                    print("types", name, *notes, flush=True)
                 n = "" if problem else f"{con.sql(f'select count(*) from ({sql[name]})').fetchall()[0][0]} rows"
             else:
                 problem, n = None, f"{len(df.collect())} rows, no SQL"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docrecon.llm import bpe
+from docrecon.llm import bpe, langid, lines, urls
 from docrecon.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -23,3 +23,76 @@ def op1_bpe(spark, sf_dir):
         "doc_id", "n_tokens", digest("ids").alias("ids_sha256"),
         digest("decoded").alias("decoded_sha256"),
     )
+
+
+LINES_SQL = r"""
+WITH line AS (
+  SELECT doc_id, pos, t, lower_az(t) AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+        FROM documents)
+), owned AS (
+  SELECT key, max(doc_id) AS owner FROM line WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+  SELECT line.*, owner IS NOT NULL AND doc_id <> owner AS gone FROM line LEFT JOIN owned USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(t, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""".replace("lower_az(t)", r"""translate(
+  regexp_replace(regexp_replace(t, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')""")
+
+
+@query("op5_lines", LINES_SQL)
+def op5_lines(spark, sf_dir):
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", digest("text").alias("kept_sha256"))
+
+
+def fold(modulus: int):
+    """Fold of a document: crc32 of its id as text, modulo; a null id is in fold 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % modulus
+
+
+@query("op8_langid")
+def op8_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = langid.learn(docs.where(fold(5) != 0))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+SITES = (
+    urls.site_rule("allow", "org", "/"), urls.site_rule("block", "example.org", "/es/"),
+    urls.site_rule("block", "example.org", "/en/1"), urls.site_rule("allow", "com", "/fr/"),
+    urls.site_rule("block", "com", "/de/"),
+)
+
+URLS_SQL = r"""
+WITH part AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN
+           substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), place AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM part
+), rule(h, p, action) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+         ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), best AS (
+  SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(action, length(h || p)) AS action
+  FROM place JOIN rule ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  GROUP BY page_id
+)
+SELECT page_id, host, path, rule,
+       coalesce(action, CASE WHEN regexp_matches(path,
+         '/(cgi-bin|wp-login\.php|wp-admin|adserver)(/|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM place LEFT JOIN best USING (page_id)
+"""
+
+
+@query("op9_urls", URLS_SQL)
+def op9_urls(spark, sf_dir):
+    return urls.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), SITES + urls.GENERIC)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docrecon.llm import bpe, langid, lines, urls
+from docrecon.llm import bpe, langid, lines, packing, urls
 from docrecon.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -96,3 +96,13 @@ FROM place LEFT JOIN best USING (page_id)
 @query("op9_urls", URLS_SQL)
 def op9_urls(spark, sf_dir):
     return urls.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), SITES + urls.GENERIC)
+
+
+def word_bpe() -> str:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+@query("op10_packing")
+def op10_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), word_bpe(), end_id=2)

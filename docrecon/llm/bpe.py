@@ -23,7 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.llm.common import batch_of, kept, raw_texts
+from docrecon.llm.common import batch_of, kept, raw_texts, sliced
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -35,10 +35,11 @@ SPLIT = (
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-CACHED = 400_000  # pieces and words, per worker process; none longer than CACHED_CHARS
+CACHED = 250_000  # pieces and words, per worker process; none longer than CACHED_CHARS
 CACHED_CHARS = 40
-CACHED_PAIRS = 500_000
+CACHED_PAIRS = 200_000
 BLOCK = 65_536  # pieces of a text that are held at once
+ROWS = 500  # of an output batch
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -208,7 +209,7 @@ def encode(df: DataFrame, vocabulary: dict, id_col: str = "doc_id", text_col: st
     def work(batches):
         encoder = kept(("bpe", id_col, len(shared.value["token"]), shared.value["merges"][-1]),
                        lambda: Encoder(shared.value))
-        for b in batches:
+        for b in sliced(batches, ROWS):
             ids = [encoder.encode(x) if x else b"" for x in b.column("text").to_pylist()]
             yield batch_of(schema, b.column("id"), [len(x) // 4 for x in ids], ids)
 
@@ -231,7 +232,7 @@ def decode(df: DataFrame, vocabulary: dict, id_col: str = "doc_id", ids_col: str
     def work(batches):
         table = dict(shared.value["token"])
         table |= {i: s.encode("utf-8") for s, i in shared.value["special"].items()}
-        for b in batches:
+        for b in sliced(batches, ROWS):
             texts = []
             for packed in raw_texts(b.column("ids")):
                 ids = np.frombuffer(packed, "<u4").tolist()

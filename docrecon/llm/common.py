@@ -62,3 +62,10 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
         [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)],
         schema=schema,
     )
+
+
+def sliced(batches, rows: int):
+    """The same rows in batches of at most ``rows``, so that little is held in Python at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

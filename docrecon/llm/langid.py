@@ -86,7 +86,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     rows and null ids pass through; other columns are not read.  No shuffle; the broadcast matrix
     has 2**bits rows and one column per language.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(tuple(model))  # plain values: no package needed
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
     letter = regex.compile(r"\p{L}")

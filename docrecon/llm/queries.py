@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docrecon.llm import bpe, langid, lines, packing, urls
+from docrecon.llm import bpe, langid, lines, lm, packing, urls
 from docrecon.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -106,3 +106,11 @@ def word_bpe() -> str:
 @query("op10_packing")
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), word_bpe(), end_id=2)
+
+
+@query("op6_lm")
+def op6_lm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    scored = lm.score(docs, docs.where(fold(10) != 0))
+    return scored.withColumn("held_out", fold(10) == 0).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -29,20 +29,20 @@ PARTIAL = pa.schema([("segment", pa.int32()), ("once", pa.binary()), ("twice", p
 PARTIAL_DDL = "segment int, once binary, twice binary"
 
 
-def positions(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
+def positions(hashes: np.ndarray, bits: int = BITS, probes: int = PROBES) -> np.ndarray:
     """Bit positions of 64-bit hashes, one row for each."""
     h = hashes.astype(np.uint64)
     low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    probes = np.arange(PROBES, dtype=np.uint64)
-    mixed = (low[:, None] + probes * high[:, None]) * np.uint64(0x9E3779B97F4A7C15)
+    step = np.arange(probes, dtype=np.uint64)
+    mixed = (low[:, None] + step * high[:, None]) * np.uint64(0x9E3779B97F4A7C15)
     return (mixed >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def partial_filters(hashes_of_batches, bits: int = BITS):
+def partial_filters(hashes_of_batches, bits: int = BITS, probes: int = PROBES):
     """Arrow batches with the filters of one task, from arrays of hashes."""
     held, size = [], 0
     for hashes in hashes_of_batches:
-        held.append(positions(hashes, bits).ravel())
+        held.append(positions(hashes, bits, probes).ravel())
         size += held[-1].size
         if size >= HELD:
             yield _packed(held)
@@ -64,8 +64,9 @@ def _packed(held) -> pa.RecordBatch:
     return batch_of(PARTIAL, names, once, twice)
 
 
-def seen_twice(partials: DataFrame, bits: int = BITS) -> np.ndarray:
-    """Merge the partial filters and return the second one as a bit array of 2**bits / 8 bytes.
+def merged(partials: DataFrame, bits: int = BITS, twice: bool = True) -> np.ndarray:
+    """Merge the partial filters and return the second one (or the first, for ``twice=False``) as a
+    bit array of 2**bits / 8 bytes.
 
     Segments are merged in a stream over sorted rows, so a task holds one segment; the driver gets
     at most the filter's fixed size.
@@ -74,35 +75,36 @@ def seen_twice(partials: DataFrame, bits: int = BITS) -> np.ndarray:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def merge(batches):
-        now = once = twice = None
+        now = once = more = None
         done: list[tuple[int, bytes]] = []
         for b in batches:
             for s, o, t in zip(*(b.column(k).to_pylist() for k in range(3))):
                 o, t = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (o, t))
                 if s == now:
-                    twice = twice | t | (once & o)
+                    more = more | t | (once & o)
                     once = once | o
                 else:
-                    if now is not None and twice.any():
-                        done.append((now, zlib.compress(twice.tobytes(), 1)))
-                    now, once, twice = s, o, t
-        if now is not None and twice.any():
-            done.append((now, zlib.compress(twice.tobytes(), 1)))
-        yield batch_of(pa.schema([("segment", pa.int32()), ("twice", pa.binary())]),
-                       [s for s, _ in done], [t for _, t in done])
-
-    merged = (
+                    if now is not None:
+                        done.append((now, more if twice else once))
+                    now, once, more = s, o, t
+        if now is not None:
+            done.append((now, more if twice else once))
+        done = [(s, x) for s, x in done if x.any()]
+        yield batch_of(pa.schema([("segment", pa.int32()), ("bits", pa.binary())]),
+                       [s for s, _ in done], [zlib.compress(x.tobytes(), 1) for _, x in done])
+
+    whole = (
         partials.repartition(n, F.col("segment")).sortWithinPartitions("segment")
-        .mapInArrow(merge, "segment int, twice binary").toArrow()
+        .mapInArrow(merge, "segment int, bits binary").toArrow()
     )
     out = np.zeros((1 << bits) // 8, np.uint8)
     width = (1 << SEGMENT) // 8
-    for s, t in zip(merged.column(0).to_pylist(), merged.column(1).to_pylist()):
+    for s, t in zip(whole.column(0).to_pylist(), whole.column(1).to_pylist()):
         out[s * width:(s + 1) * width] = np.frombuffer(zlib.decompress(t), np.uint8)
     return out
 
 
-def passes(filter_bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def passes(filter_bits: np.ndarray, hashes: np.ndarray, probes: int = PROBES) -> np.ndarray:
     """Which hashes have all their bits set."""
-    at = positions(hashes, len(filter_bits).bit_length() + 2)
+    at = positions(hashes, len(filter_bits).bit_length() + 2, probes)
     return ((filter_bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)

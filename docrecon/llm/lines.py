@@ -60,7 +60,7 @@ def dedup_lines(
              for t in raw_texts(b.column(0)) if len(t) >= min_chars), bits)
 
     partials = docs.select("text").mapInArrow(collect_bits, bloom.PARTIAL_DDL)
-    shared = spark.sparkContext.broadcast(bloom.seen_twice(partials, bits))
+    shared = spark.sparkContext.broadcast(bloom.merged(partials, bits))
     schema = pa.schema([("id", pa.int64()), ("key", pa.string())])
 
     def suspects(batches):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docrecon.llm import bpe, langid, lines, lm, ngram, packing, urls
+from docrecon.llm import bpe, langid, lines, lm, ngram, packing, quality, urls
 from docrecon.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -141,3 +141,10 @@ FROM reach LEFT JOIN size USING (doc_id) GROUP BY doc_id
 @query("op7_ngram", SHINGLES_SQL)
 def op7_ngram(spark, sf_dir):
     return ngram.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op2_quality")
+def op2_quality(spark, sf_dir):
+    judged = quality.judge(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")

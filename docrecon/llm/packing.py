@@ -9,6 +9,7 @@ one number for each class, reaches the driver.
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import zlib
@@ -20,23 +21,25 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docrecon.llm.common import batch_of, kept, settled
+from docrecon.llm.common import batch_of, kept, settled, sliced
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CAPACITY = 4096
 WIDTH = 16  # token lengths of a class
-CACHED = 500_000  # words, per worker process
+CACHED = 400_000  # words, and stems, per worker process
 CACHED_CHARS = 40
 ROUNDS = 3000  # of column generation; stopping early leaves a valid, less tight packing
 MISSES = 20_000  # new words encoded at once
+ROWS = 500  # texts encoded at once
 
 
 class WordEncoder:
     """Ids of white-space separated words by the tokenizers library, each distinct word once.
 
     The vocabulary's normalizer and splitter work within words, so a text's ids are those of its
-    words in turn.
+    words in turn.  A word of letters with plain marks after it is the ids of both parts; new
+    stems are encoded many at once, each ending with its one end-of-word token.
     """
 
     def __init__(self, spec: str):
@@ -44,32 +47,65 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = json.loads(spec)["model"].get("end_of_word_suffix")
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
 
-    def learn(self, words) -> dict[str, bytes]:
-        words = list(words)
+    def one_by_one(self, words: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        out = {w: np.array(c.ids, "<u4").tobytes() for w, c in zip(words, coded)}
+        return [np.array(c.ids, "<u4").tobytes() for c in coded]
+
+    def stems(self, stems: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(stems) or (len(ids) and ends[-1] != len(ids)):
+            return self.one_by_one(stems)
+        raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new words, by word."""
+        parts = self.parts
+        if len(parts) > CACHED:
+            parts.clear()
+            parts[""] = b""
+        plain, odd = [], []
+        for w in words:
+            stem = w.rstrip(MARKS)
+            if stem.isalpha() and (stem.isascii() or stem.lower().isalpha()):
+                plain.append((w, stem.lower() if stem.isascii() else stem, w[len(stem):]))
+            else:
+                odd.append(w)
+        new = list({s for _, s, _ in plain if s not in parts})
+        parts.update(zip(new, self.stems(new)))
+        tails = list({t for _, _, t in plain if t not in parts})
+        parts.update(zip(tails, self.one_by_one(tails)))
+        out = {w: parts[s] + parts[t] for w, s, t in plain}
+        out.update(zip(odd, self.one_by_one(odd)))
         if len(self.words) + len(out) > CACHED:
             self.words.clear()
         self.words.update((w, x) for w, x in out.items() if len(w) <= CACHED_CHARS)
         return out
 
-    def encode(self, text: str) -> bytes:
-        words = text.split(" ") if text.isascii() and not any(c in text for c in "\t\n\r\x0b\x0c") else \
-            text.translate(BLANK).split(" ")
-        known = self.words
-        out = [known.get(w) for w in words]
-        if None in out:
-            missing = list({w for w, x in zip(words, out) if x is None})
-            found: dict[str, bytes] = {}
-            for at in range(0, len(missing), MISSES):
-                found |= self.learn(missing[at:at + MISSES])
-            out = [found[w] if x is None else x for w, x in zip(words, out)]
-        return b"".join(out)
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of texts (null: none) as little-endian unsigned 32-bit integers."""
+        split = [text.translate(BLANK).split(" ") if text else [] for text in texts]
+        known = self.words.get
+        coded = [[known(w) for w in words] for words in split]
+        missing = list({w for words, out in zip(split, coded) if None in out
+                        for w, x in zip(words, out) if x is None})
+        found: dict[str, bytes] = {}
+        for at in range(0, len(missing), MISSES):
+            found |= self.learn(missing[at:at + MISSES])
+        return [b"".join([found[w] if x is None else x for w, x in zip(words, out)] if None in out else out)
+                for words, out in zip(split, coded)]
 
 
-BLANK = dict.fromkeys(range(9, 14), " ")  # words end at ASCII white space
+MARKS = ".,;:!?#*$%&|"
+BLANK = str.maketrans("\t\n\v\f\r", "     ")  # words end at ASCII white space
 
 
 def pieces_of(df: DataFrame, spec: str, end_id: int, id_col: str, text_col: str,
@@ -87,10 +123,10 @@ def pieces_of(df: DataFrame, spec: str, end_id: int, id_col: str, text_col: str,
         task = TaskContext.get().partitionId()
         ranks: dict[int, int] = {}
         end = int(end_id).to_bytes(4, "little")
-        for b in batches:
+        for b in sliced(batches, ROWS):
             out = []
-            for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
-                ids = (encoder.encode(text) if text else b"") + end
+            for i, ids in zip(b.column("id").to_pylist(), encoder.encode_all(b.column("text").to_pylist())):
+                ids += end
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
                     part = ids[4 * start:4 * (start + capacity)]

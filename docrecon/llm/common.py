@@ -10,6 +10,7 @@ import uuid
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Workers need not have the package installed: functions of this module travel by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -69,3 +70,30 @@ def sliced(batches, rows: int):
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+def text_map(df: DataFrame, work, ddl: str, id_col: str, text_col: str, keep: bool) -> DataFrame:
+    """Rows of ``df`` with what ``work`` makes of their texts.
+
+    ``work`` gets lists of texts and yields one Arrow batch of the columns ``ddl`` for each.  The
+    result has the id as well or, with ``keep``, ``row`` with all columns of the input.
+    """
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row") if keep else \
+        F.col(f"`{id_col}`").cast("long").alias("row")
+    rows = df.select(own, F.col(f"`{text_col}`").alias("text"))
+
+    def mapped(batches):
+        waiting = []
+
+        def texts():
+            for b in batches:
+                waiting.append(b.column("row"))
+                yield b.column("text").to_pylist()
+
+        for made in work(texts()):
+            yield pa.RecordBatch.from_arrays(
+                [waiting.pop(0), *made.columns], names=["row", *made.schema.names])
+
+    kind = rows.schema["row"].dataType.simpleString()
+    out = rows.mapInArrow(mapped, f"row {kind}, {ddl}")
+    return out if keep else out.withColumnRenamed("row", id_col)

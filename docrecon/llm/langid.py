@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.llm.common import batch_of
+from docrecon.llm.common import batch_of, text_map
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -78,17 +78,19 @@ def learn(df: DataFrame, lang_col: str = "lang", text_col: str = "text", bits: i
     return Model(langs, logp.astype(np.float32), np.log(docs / docs.sum()) if langs else docs)
 
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
+             keep: bool = False) -> DataFrame:
     """``(id, lang_pred, score)``: the likeliest language and its posterior probability.
 
+    With ``keep``, ``row`` holds all columns of the input row in place of the id.
+
     A text that is null or has no letter, and any text under a model without languages, is ``und``
     with score 0.  Ties go to the first language in order.  Rows are scored one by one; repeated
     rows and null ids pass through; other columns are not read.  No shuffle; the broadcast matrix
     has 2**bits rows and one column per language.
     """
     shared = df.sparkSession.sparkContext.broadcast(tuple(model))  # plain values: no package needed
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+    schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
     letter = regex.compile(r"\p{L}")
 
     def work(batches):
@@ -107,8 +109,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     # the n-grams that begin in the last two characters of a text would cross over
                     total[owner, k] += run[np.maximum(ends - 2, starts)] - run[starts]
 
-        for b in batches:
-            texts = b.column("text").to_pylist()
+        for texts in batches:
             total = np.tile(prior, (len(texts), 1)) if langs else np.zeros((len(texts), 1))
             known = np.array([bool(langs) and t is not None and letter.search(t) is not None for t in texts], bool)
             codes, owner, held = [], [], 0
@@ -125,7 +126,6 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             spread = np.exp(total - total.max(axis=1, keepdims=True))
             score = np.where(known, 1 / spread.sum(axis=1), 0.0)
             names = [langs[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), known.tolist())]
-            yield batch_of(schema, b.column("id"), names, score)
+            yield batch_of(schema, names, score)
 
-    out = rows.mapInArrow(work, "id long, lang_pred string, score double")
-    return out.withColumnRenamed("id", id_col)
+    return text_map(df, work, "lang_pred string, score double", id_col, text_col, keep)

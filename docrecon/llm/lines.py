@@ -37,10 +37,12 @@ def hashed(keys) -> np.ndarray:
 
 def dedup_lines(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    min_chars: int = 20, min_docs: int = 3, bits: int = bloom.BITS,
+    min_chars: int = 20, min_docs: int = 3, bits: int = bloom.BITS, keep: bool = False,
 ) -> DataFrame:
     """``(id, text, n_lines, n_dropped)``: texts without repeated lines.
 
+    With ``keep``, ``row`` holds all columns of the input row in place of the id.
+
     A key of at least ``min_chars`` code points in at least ``min_docs`` rows loses all its lines
     except those of the largest id that holds it.  Null and empty texts are one empty line.  Every
     row is one document: rows that share the largest id all keep the line; a null id counts as
@@ -86,13 +88,16 @@ def dedup_lines(
         .groupBy("id").agg(F.collect_set("key").alias("keys"))
         .select(F.col("id").alias("of"), "keys")
     )
-    met = docs.join(losing, F.col("id").eqNullSafe(F.col("of")), "left").select("id", "text", "keys")
-    out_schema = pa.schema([("id", pa.int64()), ("text", pa.large_string()), ("n_lines", pa.int64()),
-                            ("n_dropped", pa.int64())])
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns]) if keep else F.col(f"`{id_col}`").cast("long")
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), own.alias("row"),
+                     F.col(f"`{text_col}`").alias("text"))
+    met = rows.join(losing, F.col("id").eqNullSafe(F.col("of")), "left").select("row", "text", "keys")
+    out_schema = [("text", pa.large_string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())]
 
     def drop(batches):
         for b in batches:
             texts, lines, dropped = [], [], []
+            schema = pa.schema([b.schema.field("row"), *out_schema])
             for t, gone in zip(raw_texts(b.column("text")), b.column("keys").to_pylist()):
                 parts = t.split(b"\n")
                 left = parts
@@ -102,7 +107,8 @@ def dedup_lines(
                 texts.append(b"\n".join(left).decode())
                 lines.append(len(parts))
                 dropped.append(len(parts) - len(left))
-            yield batch_of(out_schema, b.column("id"), texts, lines, dropped)
+            yield batch_of(schema, b.column("row"), texts, lines, dropped)
 
-    out = met.mapInArrow(drop, "id long, text string, n_lines long, n_dropped long")
-    return out.withColumnsRenamed({"id": id_col, "text": text_col})
+    kind = met.schema["row"].dataType.simpleString()
+    out = met.mapInArrow(drop, f"row {kind}, text string, n_lines long, n_dropped long")
+    return out if keep else out.withColumnsRenamed({"row": id_col, "text": text_col})

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docrecon.llm import bpe, langid, lines, lm, ngram, packing, quality, urls
+from docrecon.llm import bpe, fingerprints, langid, licenses, lines, lm, ngram, packing, quality, urls
 from docrecon.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -148,3 +148,25 @@ def op2_quality(spark, sf_dir):
     judged = quality.judge(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+@query("op3_licenses")
+def op3_licenses(spark, sf_dir):
+    found = licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    places = F.filter("matches", lambda m: m["phrase"])
+    joined = lambda of: F.array_join(F.array_sort(F.array_distinct(F.transform(of, lambda m: m["label"]))), ",")
+    return found.select(
+        "doc_id", "n_words", F.size(places).cast("long").alias("n_base"),
+        F.array_min(F.transform(places, lambda m: m["first"])).alias("first_word"),
+        F.array_max(F.transform(places, lambda m: m["first"])).alias("last_word"),
+        joined(places).alias("base_labels"), joined("matches").alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
+@query("op4_fingerprints")
+def op4_fingerprints(spark, sf_dir):
+    compared = fingerprints.compare_edited(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return compared.select(
+        "doc_id", "n_chars", digest("edited").alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "near_edited", "near_next", "bands_edited", "bands_next")

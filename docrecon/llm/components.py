@@ -17,10 +17,11 @@ def _star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("low").alias("high"), F.col("high").alias("low")))
     both = both.toDF("node", "other")
     least = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("least"))
+    least = settled(least, "least")  # a written side leaves the other one's partitions free to split
     large = both.where(F.col("other") > F.col("node")).join(least, "node").select(
         F.col("other").alias("high"), F.col("least").alias("low")).distinct()
     large = settled(large, "large-star")
-    least = large.groupBy("high").agg(F.min("low").alias("least"))
+    least = settled(large.groupBy("high").agg(F.min("low").alias("least")), "least")
     joined = large.join(least, "high")
     small = joined.select(F.col("low").alias("high"), F.col("least").alias("low")).where("high <> low")
     return small.union(least.select("high", F.col("least").alias("low"))).distinct()

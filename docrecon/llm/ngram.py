@@ -356,7 +356,9 @@ def jaccard_components(
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     all_docs = settled(described(docs, words, num, den), "ngram-sets")
     cells = settled(shared_cells(all_docs), "ngram-cells")
-    least = cells.groupBy("cell").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last")
+    # Written first, so that the join below can split a cell that holds a large part of all rows.
+    least = settled(cells.groupBy("cell").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
+                    .where("lead <> last"), "ngram-leads")
     star = settled(
         cells.join(least, "cell").where("node <> lead")
         .select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "ngram-star")
@@ -374,7 +376,7 @@ def jaccard_components(
         F.expr("bit_xor(xxhash64(node))").alias("same1"), F.sum(F.expr("shiftright(xxhash64(node), 24)")).alias("same2"),
     ).where("members > 2 and low <> high")
     # Cells with the same members need one search.
-    once = mixed_cells.groupBy("members", "main", "same1", "same2").agg(F.min("cell").alias("cell"))
+    once = settled(mixed_cells.groupBy("members", "main", "same1", "same2").agg(F.min("cell").alias("cell")), "ngram-mixed")
     rest = settled(
         labelled.join(once.select("cell", "members", "main"), "cell").join(at, "node"), "ngram-rest")
     pages = F.ceil(F.col("members") / PAGE).cast("int")

@@ -78,10 +78,11 @@ def dedup_lines(
 
     suspected = settled(docs.mapInArrow(suspects, "id long, key string"), "line-suspects")
     lowest = F.lit(-(1 << 63))
-    owner = (
+    # Written first, so that the join below can split a key that holds a large part of all rows.
+    owner = settled(
         suspected.groupBy("key")
         .agg(F.count(F.lit(1)).alias("docs"), F.max(F.coalesce("id", lowest)).alias("owner"))
-        .where(F.col("docs") >= min_docs).select("key", "owner")
+        .where(F.col("docs") >= min_docs).select("key", "owner"), "line-owners",
     )
     losing = (
         suspected.join(owner, "key").where(F.coalesce("id", lowest) < F.col("owner"))

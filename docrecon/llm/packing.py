@@ -29,7 +29,8 @@ CAPACITY = 4096
 WIDTH = 16  # token lengths of a class
 CACHED = 400_000  # words, and stems, per worker process
 CACHED_CHARS = 40
-ROUNDS = 3000  # of column generation; stopping early leaves a valid, less tight packing
+ROUNDS = 20_000  # basis changes; stopping early leaves a valid, less tight packing
+GAP = 1e-3  # the program's value is at least its present one divided by the best pattern's worth
 MISSES = 20_000  # new words encoded at once
 ROWS = 500  # texts encoded at once
 
@@ -139,7 +140,7 @@ def pieces_of(df: DataFrame, spec: str, end_id: int, id_col: str, text_col: str,
 
 
 def price(values: np.ndarray, sizes: np.ndarray, units: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack: the most valuable pattern of ``sizes`` within ``units``."""
+    """Unbounded knapsack: the worth of the best pattern, and for each class the best one that has it."""
     best, last = np.zeros(units + 1), np.full(units + 1, -1)
     for room in range(1, units + 1):
         fit = np.searchsorted(sizes, room, "right")
@@ -149,41 +150,60 @@ def price(values: np.ndarray, sizes: np.ndarray, units: int) -> tuple[float, np.
             k = int(worth.argmax())
             if worth[k] > best[room] + 1e-12:
                 best[room], last[room] = worth[k], k
-    pattern, room = np.zeros(len(sizes)), units
-    while room > 0:
-        if last[room] < 0:
-            room -= 1
-        else:
-            pattern[last[room]] += 1
-            room -= sizes[last[room]]
-    return float(best[units]), pattern
+    patterns = np.zeros((len(sizes), len(sizes)))
+    for k, size in enumerate(sizes.tolist()):
+        patterns[k, k], room = 1, units - size
+        while room > 0:
+            if last[room] < 0:
+                room -= 1
+            else:
+                patterns[last[room], k] += 1
+                room -= sizes[last[room]]
+    return float(best[units]), patterns
 
 
 def solve(demand: np.ndarray, sizes: np.ndarray, units: int, rounds: int = ROUNDS):
-    """Patterns (columns) and how often to use each: the linear program's optimum over all patterns."""
+    """Patterns (columns) and how often to use each: the linear program over all patterns.
+
+    Patterns that the knapsack has priced so far enter the basis one by one; when none improves it,
+    the knapsack prices new ones, until its best proves the basis optimal to within GAP.
+    """
     m = len(sizes)
-    basis = np.diag((units // sizes).astype(float))
+    basis, cost = np.diag((units // sizes).astype(float)), np.ones(m)
     inverse = np.diag(1 / np.diag(basis))
-    x = inverse @ demand
+    # A little noise keeps basis changes from going in circles; it is far below one piece.
+    need = demand + np.random.default_rng(1).random(m) * 1e-3
+    x = inverse @ need
+    pool = np.zeros((m, 0))
     for done in range(rounds):
-        worth, pattern = price(np.maximum(inverse.sum(axis=0), 0), sizes, units)
-        if worth <= 1 + 1e-7:
-            break
-        step = inverse @ pattern
+        values = cost @ inverse
+        low = int(values.argmin())
+        if values[low] < -1e-9:  # fewer pieces of a class than a pattern has slots
+            column, price_of = -np.eye(m)[low], 0.0
+        else:
+            worths = values @ pool
+            if not len(worths) or worths.max() <= 1 + GAP / 10:
+                worth, fresh = price(np.maximum(values, 0), sizes, units)
+                if worth <= 1 + GAP:
+                    break
+                pool = np.concatenate([pool[:, worths > 0.9], fresh], axis=1)
+                worths = values @ pool
+            column, price_of = pool[:, int(worths.argmax())].copy(), 1.0
+        step = inverse @ column
         up = step > 1e-9
         if not up.any():
             break
-        ratio = np.where(up, x / np.where(up, step, 1), np.inf)
-        k = int(ratio.argmin())
-        basis[:, k] = pattern
-        if done % 50 == 49:
+        k = int(np.where(up, x / np.where(up, step, 1), np.inf).argmin())
+        basis[:, k], cost[k] = column, price_of
+        if done % 100 == 99:
             inverse = np.linalg.inv(basis)
         else:
             row = inverse[k] / step[k]
             inverse -= np.outer(step, row)
             inverse[k] = row
-        x = np.maximum(inverse @ demand, 0)
-    return basis.astype(int), x if m else np.zeros(0)
+        x = np.maximum(inverse @ need, 0)
+    patterns = cost > 0
+    return basis[:, patterns].astype(int), x[patterns]
 
 
 def plan(histogram: dict[int, int], units: int) -> list[tuple[dict[int, int], int]]:

@@ -18,7 +18,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.llm.common import batch_of
+from docrecon.llm.cells import grouped, linked, meetings
+from docrecon.llm.common import batch_of, settled
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -248,3 +249,48 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         work, "id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, "
               "near_edited double, near_next double, bands_edited long, bands_next long")
     return out.withColumnRenamed("id", id_col)
+
+
+def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, fingerprint, class_id)``: the least id that links of near fingerprints reach.
+
+    Rows that share a band are candidates; fingerprints with at least ``threshold`` of their
+    coordinates equal link.  At 0.8 a pair has a common band but for one in ten million pairs.
+    Equal fingerprints are one item, so copies cost nothing; every row is in a class, null ids in
+    one whose least id may be null.  Null texts are empty.
+    """
+    printed = settled(fingerprint(df, id_col, text_col).select(
+        F.col(id_col).alias("id"), "fingerprint", F.xxhash64("fingerprint").alias("node"), "bands"), "fingerprints")
+    items = settled(printed.groupBy("node").agg(
+        F.min("id").alias("own"), F.first("fingerprint").alias("print"), F.first("bands").alias("bands")), "prints")
+    cells = settled(meetings(items.select(F.explode("bands").alias("cell"), "node")), "bands")
+    at = settled(items.select("node", F.transform(
+        F.sequence(F.lit(0), F.lit(COORDINATES - 1)),
+        lambda k: F.conv(F.substring("print", 2 * k + 1, F.lit(2)), 16, 10).cast("int")).alias("at")), "print-points")
+    need = -(-int(round(threshold * COORDINATES * 1000)) // 1000)
+
+    def holds(pairs):
+        left = at.select(F.col("node").alias("a"), F.col("at").alias("x"))
+        right = at.select(F.col("node").alias("b"), F.col("at").alias("y"))
+        same = F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda z: z))
+        return pairs.join(left, "a").join(right, "b").where(same >= need).select("a", "b")
+
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def search(members):
+        def work(batches):
+            for _, known, part in grouped(batches, ["node", "label"], "at", COORDINATES):
+                for node, label, own in zip(*part):
+                    near = ((known[2] == own).sum(axis=1) >= need) & (known[1] != label)
+                    other = known[0][near]
+                    yield batch_of(schema, np.minimum(other, node), np.maximum(other, node))
+
+        dealt = members.repartition(n, "cell", "page").sortWithinPartitions("cell", "page", "probe")
+        return dealt.mapInArrow(work, "a long, b long").distinct()
+
+    label = linked(cells, lambda pairs: (holds, at), search)
+    joined = items.select("node", "own").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lowest = joined.groupBy("component").agg(F.min("own").alias("class_id"))
+    named = joined.join(lowest, "component").select("node", "class_id")
+    return printed.join(named, "node").select(F.col("id").alias(id_col), "fingerprint", "class_id")

@@ -21,15 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docrecon.llm import bloom
+from docrecon.llm.cells import grouped, linked, meetings
 from docrecon.llm.common import batch_of, raw_texts, settled
-from docrecon.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 AXES = 32  # coordinates of a point
-PAGE = 512  # points of one R-tree
 FAN = 16  # entries of a tree node
-FILTER_BITS = 28  # of the filters over cells and sets; 32 MB
+FILTER_BITS = 28  # of the filter over sets; 32 MB
 HELD = 1 << 20  # bytes of text shingled at once
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0xD1342543DE82EF95)
@@ -209,36 +208,6 @@ def described(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(work, "id long, size long, node long, keys array<long>")
 
 
-def flat_keys(column) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-
-
-def shared_cells(described_: DataFrame) -> DataFrame:
-    """``(cell, node)`` for cells that at least two sets name.
-
-    A filter of fixed size, seen twice, removes most cells that only one set names before anything
-    shuffles; exact counts follow.
-    """
-    keyed = described_.where(F.size("keys") > 0).select("node", "keys")
-
-    def bits(batches):
-        yield from bloom.partial_filters((flat_keys(b.column("keys")) for b in batches), FILTER_BITS, probes=1)
-
-    twice = bloom.merged(keyed.mapInArrow(bits, bloom.PARTIAL_DDL), FILTER_BITS)
-    shared = keyed.sparkSession.sparkContext.broadcast(twice)
-    schema = pa.schema([("cell", pa.int64()), ("node", pa.int64())])
-
-    def passing(batches):
-        for b in batches:
-            lists = b.column("keys")
-            keys = flat_keys(lists)
-            owner = np.repeat(b.column("node").to_numpy(), pa.compute.list_value_length(lists).to_numpy())
-            ok = bloom.passes(shared.value, keys, probes=1)
-            yield batch_of(schema, _signed(keys[ok]), owner[ok])
-
-    return keyed.mapInArrow(passing, "cell long, node long").distinct()
-
-
 def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """``(node, shingles)`` of the named sets, once each.
 
@@ -300,37 +269,20 @@ def bounded(pairs: DataFrame, at: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def searched(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs across components that R-tree search finds in cells.
-
-    ``members(cell, page, probe, node, label, size, at)``: each page of a cell is one tree; rows with
-    ``probe`` are looked up in it.  A task holds one page and a batch of probes.
-    """
+    """Pairs across components that R-tree search finds; each page of a cell is one tree, and a task
+    holds one page and a batch of probes."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def work(batches):
-        group, held, tree = None, [], None
-        for b in batches:
-            cell, page, probe, node, label, size = (
-                b.column(k).to_numpy(zero_copy_only=False) for k in ("cell", "page", "probe", "node", "label", "size"))
-            at = b.column("at").flatten().to_numpy().reshape(-1, AXES)
-            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(page) != 0) | (np.diff(probe) != 0)) + 1
-            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cell)]):
-                if i == j:
-                    continue
-                if (cell[i], page[i]) != group:
-                    group, held, tree = (cell[i], page[i]), [], None
-                part = [x[i:j] for x in (node, label, size, at)]
-                if not probe[i]:
-                    held.append(part)
-                elif held:
-                    if tree is None:
-                        known = [np.concatenate(x) for x in zip(*held)]
-                        tree = RTree(known[3], known[2], num, den)
-                    q, p = tree.near(part[3], part[2])
-                    apart = part[1][q] != known[1][p]
-                    a, c = part[0][q[apart]], known[0][p[apart]]
-                    yield batch_of(schema, np.minimum(a, c), np.maximum(a, c))
+        of, tree = None, None
+        for group, known, part in grouped(batches, ["node", "label", "size"], "at", AXES):
+            if group != of:
+                of, tree = group, RTree(known[3], known[2], num, den)
+            q, p = tree.near(part[3], part[2])
+            apart = part[1][q] != known[1][p]
+            a, c = part[0][q[apart]], known[0][p[apart]]
+            yield batch_of(schema, np.minimum(a, c), np.maximum(a, c))
 
     dealt = members.repartition(n, "cell", "page").sortWithinPartitions("cell", "page", "probe")
     return dealt.mapInArrow(work, "a long, b long").distinct()
@@ -348,48 +300,19 @@ def jaccard_components(
     row's own included.  Rows are told apart by their sets, so repeated rows and ids are one class.
     A null id is no least id; where a component has no other, its ``component_id`` is null.  Other
     columns are not read.  Shingles and sets are told apart by 64-bit hashes.
-
-    In each cell all sets are first compared with the least one.  That settles groups of near copies
-    with as many pairs as members.  Cells whose members are then still in several components go
-    through R-trees, page by page: all members outside the least one's component look up all pages.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     all_docs = settled(described(docs, words, num, den), "ngram-sets")
-    cells = settled(shared_cells(all_docs), "ngram-cells")
-    # Written first, so that the join below can split a cell that holds a large part of all rows.
-    least = settled(cells.groupBy("cell").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
-                    .where("lead <> last"), "ngram-leads")
-    star = settled(
-        cells.join(least, "cell").where("node <> lead")
-        .select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "ngram-star")
-    nodes = star.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = settled(sets_of(docs, nodes, words), "ngram-shingles")
-    at = settled(pointed(sets), "ngram-points")
-    links = settled(verified(bounded(star, at, num, den), sets, num, den), "ngram-links")
-    first = settled(components(links), "ngram-first")
-
-    labelled = cells.join(first, "node", "left").select(
-        "cell", "node", F.coalesce("component", "node").alias("label"))
-    mixed_cells = labelled.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"),
-        F.min_by("label", "node").alias("main"),
-        F.expr("bit_xor(xxhash64(node))").alias("same1"), F.sum(F.expr("shiftright(xxhash64(node), 24)")).alias("same2"),
-    ).where("members > 2 and low <> high")
-    # Cells with the same members need one search.
-    once = settled(mixed_cells.groupBy("members", "main", "same1", "same2").agg(F.min("cell").alias("cell")), "ngram-mixed")
-    rest = settled(
-        labelled.join(once.select("cell", "members", "main"), "cell").join(at, "node"), "ngram-rest")
-    pages = F.ceil(F.col("members") / PAGE).cast("int")
-    indexed = rest.select(
-        "cell", F.pmod(F.xxhash64("node"), pages).cast("int").alias("page"), F.lit(False).alias("probe"),
-        "node", "label", "size", "at")
-    probes = rest.where("label <> main").select(
-        "cell", F.explode(F.sequence(F.lit(0), pages - 1)).alias("page"), F.lit(True).alias("probe"),
-        "node", "label", "size", "at")
-    found = searched(indexed.union(probes), num, den).join(star, ["a", "b"], "left_anti")
-    more = settled(verified(found, sets, num, den), "ngram-more")
-    label = settled(components(links.union(more)), "ngram-components")
+    named = all_docs.where(F.size("keys") > 0).select(F.explode("keys").alias("cell"), "node")
+    cells = settled(meetings(named), "ngram-cells")
+
+    def prepare(pairs):
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = settled(sets_of(docs, nodes, words), "ngram-shingles")
+        at = settled(pointed(sets), "ngram-points")
+        return lambda p: verified(bounded(p, at, num, den), sets, num, den), at
 
+    label = linked(cells, prepare, lambda members: searched(members, num, den))
     by_set = all_docs.where("size > 0").groupBy("node").agg(F.min("id").alias("own"))
     joined = by_set.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = joined.groupBy("component").agg(F.min("own").alias("low"))

@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.llm.common import batch_of, settled
+from docrecon.llm.common import batch_of, forget, settled
 from docrecon.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -65,7 +65,7 @@ def meetings(named: DataFrame) -> DataFrame:
 
 def linked(
     cells: DataFrame,
-    prepare: Callable[[DataFrame], tuple[Callable[[DataFrame], DataFrame], DataFrame]],
+    prepare: Callable[[DataFrame], tuple[Callable[[DataFrame], DataFrame], DataFrame, list]],
     search: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """``(node, component)`` of all nodes with a link; ``cells`` is what ``meetings`` returns, written.
@@ -77,19 +77,20 @@ def linked(
     cell is either compared or excluded by the search's bound.
 
     ``prepare(pairs)`` gets the first pairs ``(a, b)``.  It returns a function from pairs to those
-    that hold, and a table ``(node, ...)`` of what a search needs.  ``search`` gets rows
+    that hold, a table ``(node, ...)`` of what a search needs, and tables to forget afterwards.  ``search`` gets rows
     ``(cell, page, probe, node, label, ...)`` and returns pairs ``(a, b)`` with ``a < b``.
     """
     star = settled(
         cells.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "cell-star")
-    holds, known = prepare(star)
-    links = settled(holds(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "cell-links")
-    label = settled(components(links), "cell-components")
+    holds, known, used = prepare(star)
+    sure = settled(holds(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "cell-links")
+    label = components(sure)
     ends = [label.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}")) for k in "ab"]
     apart = star.join(ends[0], "a", "left").join(ends[1], "b", "left").where(
         F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    links = links.union(settled(holds(apart), "cell-links"))
-    first = settled(components(links), "cell-components")
+    also = settled(holds(apart), "cell-links")
+    links = sure.union(also)
+    first = components(links)
 
     labelled = cells.join(first, "node", "left").select(
         "cell", "node", F.coalesce("component", "node").alias("label"))
@@ -112,8 +113,10 @@ def linked(
         "cell", F.explode(F.sequence(F.lit(0), pages - 1)).alias("page"), F.lit(True).alias("probe"),
         "node", "label", *others)
     found = search(indexed.union(probes)).join(star, ["a", "b"], "left_anti")
-    more = settled(holds(found), "cell-more")
-    return settled(components(links.union(more)), "cell-all")
+    more = settled(holds(found), "cell-links")
+    out = components(links.union(more))
+    forget(star, sure, also, more, label, first, once, rest, *used)
+    return out
 
 
 def grouped(batches, fields: list[str], flat: str, width: int):

@@ -5,30 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.llm.common import settled
+from docrecon.llm.common import forget, settled
 
 
 def _star(edges: DataFrame) -> DataFrame:
     """One round: every node's larger neighbours, then its smaller ones, move to its least one.
 
     ``edges`` has ``high > low``.  The least neighbour is a sum over each task first; the joins are
-    on the node, and Spark splits a node with many edges.
+    on the node, and Spark splits a node with many edges, as the other side is written before.
     """
     both = edges.union(edges.select(F.col("low").alias("high"), F.col("high").alias("low")))
     both = both.toDF("node", "other")
-    least = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("least"))
-    least = settled(least, "least")  # a written side leaves the other one's partitions free to split
+    least = settled(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("least")), "least")
     large = both.where(F.col("other") > F.col("node")).join(least, "node").select(
         F.col("other").alias("high"), F.col("least").alias("low")).distinct()
     large = settled(large, "large-star")
-    least = settled(large.groupBy("high").agg(F.min("low").alias("least")), "least")
-    joined = large.join(least, "high")
+    own = settled(large.groupBy("high").agg(F.min("low").alias("least")), "least")
+    joined = large.join(own, "high")
     small = joined.select(F.col("low").alias("high"), F.col("least").alias("low")).where("high <> low")
-    return small.union(least.select("high", F.col("least").alias("low"))).distinct()
+    out = settled(small.union(own.select("high", F.col("least").alias("low"))).distinct(), "star")
+    forget(least, large, own, edges)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``(node, component)`` for all nodes of ``links(a, b)``; the component is its least node.
+    """``(node, component)``, written, for all nodes of ``links(a, b)``; the component is its least
+    node.
 
     Alternating large and small stars; rounds grow with the logarithm of the nodes.  Only a count
     and a checksum of the edges reach the driver.
@@ -38,11 +40,13 @@ def components(links: DataFrame) -> DataFrame:
         .distinct(), "links")
     before = None
     while True:
-        edges = settled(_star(edges), "star")
+        edges = _star(edges)
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(high, low))")).first()
         if now == before:
             break
         before = now
     found = edges.select(F.col("high").alias("node"), F.col("low").alias("component"))
     roots = edges.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct()
-    return found.union(roots)
+    out = settled(found.union(roots), "components")
+    forget(edges)
+    return out

@@ -289,7 +289,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
         dealt = members.repartition(n, "cell", "page").sortWithinPartitions("cell", "page", "probe")
         return dealt.mapInArrow(work, "a long, b long").distinct()
 
-    label = linked(cells, lambda pairs: (holds, at), search)
+    label = linked(cells, lambda pairs: (holds, at, []), search)
     joined = items.select("node", "own").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = joined.groupBy("component").agg(F.min("own").alias("class_id"))
     named = joined.join(lowest, "component").select("node", "class_id")

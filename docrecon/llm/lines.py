@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docrecon.llm import bloom
-from docrecon.llm.common import batch_of, raw_texts, settled
+from docrecon.llm.common import batch_of, forget, raw_texts, settled
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -84,11 +84,12 @@ def dedup_lines(
         .agg(F.count(F.lit(1)).alias("docs"), F.max(F.coalesce("id", lowest)).alias("owner"))
         .where(F.col("docs") >= min_docs).select("key", "owner"), "line-owners",
     )
-    losing = (
+    losing = settled(
         suspected.join(owner, "key").where(F.coalesce("id", lowest) < F.col("owner"))
         .groupBy("id").agg(F.collect_set("key").alias("keys"))
-        .select(F.col("id").alias("of"), "keys")
+        .select(F.col("id").alias("of"), "keys"), "line-losers",
     )
+    forget(suspected, owner)
     own = F.struct(*[F.col(f"`{c}`") for c in df.columns]) if keep else F.col(f"`{id_col}`").cast("long")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), own.alias("row"),
                      F.col(f"`{text_col}`").alias("text"))

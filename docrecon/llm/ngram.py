@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from docrecon.llm import bloom
 from docrecon.llm.cells import grouped, linked, meetings
-from docrecon.llm.common import batch_of, raw_texts, settled
+from docrecon.llm.common import batch_of, forget, raw_texts, settled
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -310,14 +310,16 @@ def jaccard_components(
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = settled(sets_of(docs, nodes, words), "ngram-shingles")
         at = settled(pointed(sets), "ngram-points")
-        return lambda p: verified(bounded(p, at, num, den), sets, num, den), at
+        return lambda p: verified(bounded(p, at, num, den), sets, num, den), at, [sets, at]
 
     label = linked(cells, prepare, lambda members: searched(members, num, den))
     by_set = all_docs.where("size > 0").groupBy("node").agg(F.min("id").alias("own"))
-    joined = by_set.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    joined = settled(
+        by_set.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "ngram-named")
     lowest = joined.groupBy("component").agg(F.min("own").alias("low"))
     named = joined.join(lowest, "component").select("node", "low")
-    out = all_docs.select("id", "size", "node").join(named, "node", "left")
-    return out.select(
+    out = settled(all_docs.select("id", "size", "node").join(named, "node", "left").select(
         F.col("id").alias(id_col), F.col("size").alias("n_shingles"),
-        F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("low")).alias("component_id"))
+        F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("low")).alias("component_id")), "ngram-components")
+    forget(all_docs, cells, label, joined)
+    return out

@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.llm.common import settled
+from docrecon.llm.common import forget, settled
 
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -163,6 +163,7 @@ def learn(labelled: DataFrame, rules: int = RULES, literals: int = LITERALS) ->
             break
         found.append(heads[at])
         left = left.where(~test(heads[at]))
+    forget(rows)
     return [[Literal(c, above, float(cuts[c][k - 1])) for c, above, k in rule] for rule in found]
 
 
@@ -216,4 +217,5 @@ def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     narrow = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     stats = settled(statistics(narrow).select("row.doc_id", *STATISTICS), "quality-statistics")
     rules = learn_from(stats, labels)
+    forget(stats)
     return featured(statistics(df, text_col)).where(~base_failed() & verdict(rules).isNull()).select("row.*")

@@ -77,8 +77,13 @@ def test_near_duplicates_share_a_class(spark):
     for g, t in enumerate(base):
         rows += [(100 * g + k, t[:350 + k] + t[351 + k:]) for k in range(12)] + [(100 * g + 50, t), (100 * g + 51, t)]
     got = {r.doc_id: r.class_id for r in fp.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert len(got) == len(rows)
-    assert sum(got[i] == 100 * (i // 100) for i in got) > 0.97 * len(got)
+    prints = fp.fingerprints([t for _, t in rows])
+    near = (prints[:, None] == prints[None]).mean(axis=2) >= 0.8
+    least = np.array([i for i, _ in rows])
+    for _ in range(len(rows)):  # brute force: all pairs, until the least ids stand still
+        least = np.where(near, least[None], 1 << 40).min(axis=1)
+    assert got == dict(zip([i for i, _ in rows], least.tolist()))
+    assert sum(got[i] == 100 * (i // 100) for i in got) > 0.9 * len(got)
     assert all(got[i] // 100 == i // 100 for i in got)
 
 

@@ -79,10 +79,10 @@ def slip_unique_match(spark, d):
     f"""with {_SLIPS_SQL}, m as (select user_id, page, event_type, max(case when event_type = 'purchase'
         then page end) over (partition by user_id order by page rows between unbounded preceding and
         1 preceding) as owner from ev where event_type in ('error', 'purchase')),
-    a as (select 'slip' as step, matched as attached, case when amount is null then 'no amount could be read'
-        when hits = 0 then 'no bill states this amount'
-        when hits > 1 then concat(hits, ' bills state this amount')
-        when rivals > 1 then concat(rivals, ' slips match this bill') else 'slip folded' end as reason
+    a as (select 'slip' as step, matched as attached, case when amount is null then 'amount-unread'
+        when hits = 0 then 'no-bill'
+        when hits > 1 then 'many-bills'
+        when rivals > 1 then 'many-slips' else 'folded' end as reason
         from judged
       union all select 'card', owner is not null, case when owner is null then 'no bill before the card'
         else 'page attached' end from m where event_type = 'error')
@@ -94,7 +94,7 @@ def guard_audit_query(spark, d):
         judged, "slip", page_index=F.col("slip_id"), cand_pos=F.col("bill_id"),
         attached=F.col("matched"),
         reason=F.coalesce(
-            slips.slip_reason(F.col("amount"), F.col("hits"), F.col("rivals")), F.lit("slip folded")
+            slips.slip_reason(F.col("amount"), F.col("hits"), F.col("rivals")), F.lit("folded")
         ),
     )
     owned = card_asof_attach(spark, d)

@@ -1,4 +1,7 @@
-"""Account categories: which rule text and which behaviour a request's code switches on."""
+"""Account categories: which rule text and which behaviour a request's code switches on.
+
+Spark broadcasts a category table by its size in bytes; no plan depends on a row count.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +10,6 @@ from pyspark.sql import functions as F
 
 from docrecon.functions.text import category_key, strip
 
-# A category list is a hand-kept file of some dozens of codes; only a list this small is broadcast.
-BROADCAST_ROWS = 100_000
-
 
 def category_rules(categories: DataFrame) -> DataFrame:
     """Only the categories that say something; a blank rule is no rule."""
@@ -32,7 +32,7 @@ def _per_key(categories: DataFrame) -> DataFrame:
 
 def category_lookup(requests: DataFrame, categories: DataFrame) -> DataFrame:
     """Left join on the normalised code: ``rule`` or null.  ``requests`` carries ``key``."""
-    return requests.join(_sized(_per_key(categories).select("key", "rule")), "key", "left")
+    return requests.join(_per_key(categories).select("key", "rule"), "key", "left")
 
 
 def category_effect(requests: DataFrame, categories: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def category_effect(requests: DataFrame, categories: DataFrame) -> DataFrame:
 
     ``requests`` carries ``category`` and ``key``.
     """
-    keyed = _sized(_per_key(categories).withColumnRenamed("rule", "__rule"))
+    keyed = _per_key(categories).withColumnRenamed("rule", "__rule")
     joined = requests.join(keyed, "key", "left")
     stated = F.col("category").isNotNull() & (strip(F.col("category")) != "")
     fired = F.concat_ws(
@@ -55,9 +55,3 @@ def category_effect(requests: DataFrame, categories: DataFrame) -> DataFrame:
         .otherwise(fired).alias("effect"),
         (F.coalesce(stated, F.lit(False)) & F.coalesce("sums", F.lit(False))).alias("sums_tickets"),
     )
-
-
-def _sized(dim: DataFrame) -> DataFrame:
-    """Broadcast a category table only after counting that it is small."""
-    small = dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(dim) if small else dim

@@ -9,7 +9,6 @@ from docrecon.functions import money
 from docrecon.functions.fields import typed_cell, val
 from docrecon.functions.names import payee_from_id, payee_from_name
 from docrecon.profile import Profile
-from docrecon.schema import NUMBER_FIELDS
 
 DECIDED = 0.9
 SUSPECT = 0.3
@@ -68,7 +67,3 @@ def distrust(checked: DataFrame, cap: float = SUSPECT) -> DataFrame:
         ).otherwise(F.col(field))
     return checked.withColumns(out)
 
-
-def numeric_value(field: str):
-    """Value of a cell used in arithmetic; text fields have none."""
-    return val(field) if field in NUMBER_FIELDS else F.lit(None).cast("double")

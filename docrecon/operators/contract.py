@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docrecon.operators.ledger import BILL_KEY, Ledger
-from docrecon.operators.spans import PIECE, live, valid_box, whole_page
+from docrecon.operators.spans import live, valid_box, whole_page
 from docrecon.schema import CELL_FIELDS, ITEM_FIELDS, PAYEE_TYPES
 
 SHARD = 500  # bills per response document
@@ -45,19 +45,14 @@ def _ticket_item() -> Column:
     )
 
 
-def nest(ledger: Ledger, role_rank: DataFrame | None = None, piece: int = PIECE) -> DataFrame:
-    """Bills with ``regions``, ``evidence`` and ticket line items nested: (chunk_id, cand_pos, piece).
+def nest(ledger: Ledger, role_rank: DataFrame | None = None) -> DataFrame:
+    """Bills with ``regions``, ``evidence`` and ticket line items nested: one row for each bill.
 
-    A bill over ``piece`` pages or tickets goes on in further rows, numbered by ``piece``; nearly
-    every bill is one row.  ``role_rank``: (chunk_id, page_index, role, rank) orders the roles of a
-    page.
+    ``role_rank``: (chunk_id, page_index, role, rank) orders the roles of a page.  A row holds what
+    one bill owns, never a whole chunk.
     """
-    spans = live(ledger.spans, ledger.bills).withColumn(
-        "piece", F.floor(F.col("page_index") / piece).cast("int")
-    )
-    # Pieces count from the bill's first piece, so that every bill has a piece 0.
-    start = spans.groupBy(*BILL_KEY).agg(F.min("piece").alias("lo"))
-    regions = spans.groupBy(*BILL_KEY, "piece").agg(
+    spans = live(ledger.spans, ledger.bills)
+    regions = spans.groupBy(*BILL_KEY).agg(
         F.transform(F.array_sort(F.collect_list("page_index")), whole_page).alias("regions")
     )
     tags = live(ledger.evidence, ledger.bills)
@@ -71,9 +66,7 @@ def nest(ledger: Ledger, role_rank: DataFrame | None = None, piece: int = PIECE)
     stage = F.lit(2)
     for role, n in _STAGE.items():
         stage = F.when(F.col("role") == role, F.lit(n)).otherwise(stage)
-    evidence = tags.groupBy(
-        *BILL_KEY, F.floor(F.col("page_index") / piece).cast("int").alias("piece")
-    ).agg(
+    evidence = tags.groupBy(*BILL_KEY).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct(stage.alias("s"), "page_index",
                                                  F.coalesce("rank", F.lit(0)).alias("r"), "role"))),
@@ -82,27 +75,19 @@ def nest(ledger: Ledger, role_rank: DataFrame | None = None, piece: int = PIECE)
             ),
         ).alias("evidence")
     )
-    tickets = ledger.tickets.groupBy(
-        *BILL_KEY, F.floor(F.col("item_no") / piece).cast("int").alias("t_piece")
-    ).agg(
+    tickets = ledger.tickets.groupBy(*BILL_KEY).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("item_no", _ticket_item().alias("item")))),
             lambda e: e["item"],
         ).alias("items")
     )
-    keyed = regions.join(evidence, [*BILL_KEY, "piece"], "left").join(start, BILL_KEY)
-    keyed = keyed.withColumn("t_piece", F.col("piece") - F.col("lo")).drop("piece", "lo")
-    keyed = keyed.join(tickets, [*BILL_KEY, "t_piece"], "full_outer").withColumnRenamed(
-        "t_piece", "piece"
-    )
     keep = [c for c in ledger.bills.columns if c not in ("lineItems", "regions", "evidence")]
-    out = ledger.bills.join(keyed, BILL_KEY, "left")
-    first = F.coalesce(F.col("piece"), F.lit(0)) == 0
-    own = F.when(first, F.col("lineItems")).otherwise(F.slice("lineItems", 1, 0))
+    out = ledger.bills
+    for side in (regions, evidence, tickets):
+        out = out.drop(side.columns[-1]).join(side, BILL_KEY, "left")
     return out.select(
         *keep,
-        F.coalesce("piece", F.lit(0)).alias("piece"),
-        F.concat(own, F.coalesce("items", F.array().cast(_items_type(ledger)))).alias("lineItems"),
+        F.concat("lineItems", F.coalesce("items", F.array().cast(_items_type(ledger)))).alias("lineItems"),
         F.coalesce("regions", F.array()).alias("regions"),
         F.coalesce("evidence", F.array()).alias("evidence"),
     )
@@ -118,16 +103,14 @@ def response_documents(
     """(chunk_id, part, response): ``{"billCandidates": [...]}`` per chunk.
 
     A chunk of more than ``shard`` positions becomes several documents, so no row holds a chunk of
-    unbounded size; a chunk without bills gives an empty list.  ``piece`` rows of one bill are
-    separate entries.
+    unbounded size; a chunk without bills gives an empty list.
     """
-    extra = ["piece"] if "piece" in bills.columns else []
     body = (
         bills.withColumn("part", F.floor(F.col(order) / shard).cast("int"))
         .groupBy("chunk_id", "part")
         .agg(
             F.array_sort(
-                F.collect_list(F.struct(order, *extra, F.struct(*columns).alias("body")))
+                F.collect_list(F.struct(order, F.struct(*columns).alias("body")))
             ).alias("rows")
         )
         .select("chunk_id", "part", F.transform("rows", lambda r: r["body"]).alias("list"))

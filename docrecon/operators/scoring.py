@@ -261,6 +261,3 @@ def guard_audit(audit: DataFrame) -> DataFrame:
     """Decisions per step and reason."""
     return audit.groupBy("step", "attached", "reason").agg(F.count(F.lit(1)).alias("n"))
 
-
-def normal_text(c: Column) -> Column:
-    return F.lower(strip(c))

@@ -78,19 +78,20 @@ def match_amounts(slips: DataFrame, bills: DataFrame, tol: float) -> DataFrame:
 
 
 def slip_reason(amount, hits, rivals):
+    """Code of why a slip stands by itself, else null; the number of rivals goes to the detail."""
     return (
-        F.when(amount.isNull(), F.lit("no amount could be read"))
-        .when(hits == 0, F.lit("no bill states this amount"))
-        .when(hits > 1, F.format_string("%d bills state this amount", hits))
-        .when(rivals > 1, F.format_string("%d slips match this bill", rivals))
+        F.when(amount.isNull(), F.lit("amount-unread"))
+        .when(hits == 0, F.lit("no-bill"))
+        .when(hits > 1, F.lit("many-bills"))
+        .when(rivals > 1, F.lit("many-slips"))
     )
 
 
 def match_slips(ledger: Ledger, facts: DataFrame, p: Profile) -> Ledger:
     """Fold matched slips; the others keep their rows and are tagged either way.
 
-    The rivals of a refused slip are the audit rows of the same bill, so the reason states their
-    number only.
+    A refused slip's reason is a code; its detail has how many bills and slips compete.  The rival
+    slips are the audit rows of the same bill.
     """
     slips = facts.where("is_slip").select(
         "chunk_id", F.col("page_index").alias("slip_id"), F.col("slip_amount").alias("amount"),
@@ -117,9 +118,9 @@ def match_slips(ledger: Ledger, facts: DataFrame, p: Profile) -> Ledger:
         "chunk_id", F.col("slip_id").alias("page_index"), F.col("bill_id").alias("cand_pos"),
         F.col("matched").alias("attached"),
         F.coalesce(
-            slip_reason(F.col("amount"), F.col("hits"), F.col("rivals")), F.lit("slip folded")
+            slip_reason(F.col("amount"), F.col("hits"), F.col("rivals")), F.lit("folded")
         ).alias("reason"),
-        F.to_json(F.struct("amount", "slip_reference")).alias("detail"),
+        F.to_json(F.struct("amount", "slip_reference", "hits", "rivals")).alias("detail"),
     )
     return ledger.but(
         bills=kept,

@@ -11,7 +11,6 @@ from docrecon.profile import CERTIFICATE_ROLE, Profile
 
 # The one box that can be drawn honestly: the whole page.
 FULL_PAGE = {"xMin": 0, "yMin": 0, "xMax": 1000, "yMax": 1000}
-PIECE = 5000  # pages of one bill nested into one row; a longer bill continues in the next piece
 
 
 def whole_page(page: Column) -> Column:
@@ -48,11 +47,11 @@ def attach_orphans(pages: DataFrame, spans: DataFrame, bills: DataFrame) -> Data
     )
 
 
-def page_span(spans: DataFrame, piece: int = PIECE) -> DataFrame:
-    """Sorted unique pages per bill; a bill over more than ``piece`` pages takes several rows."""
+def page_span(spans: DataFrame) -> DataFrame:
+    """Sorted unique pages per bill, one row for each bill wherever its pages lie."""
     return (
         spans.distinct()
-        .groupBy(*BILL_KEY, F.floor(F.col("page_index") / piece).cast("int").alias("piece"))
+        .groupBy(*BILL_KEY)
         .agg(F.array_sort(F.collect_list("page_index")).alias("pages"))
     )
 

@@ -77,7 +77,6 @@ EVIDENCE_ROLES = (
     "exchange_rate_evidence", "approval_document", "other",
 )
 CERTIFICATE_ROLE = "withholding_certificate"
-RENDER_SIZES = (1500, 1300, 2000)
 # --------------------------------------------------------------------------- end of fixed values
 
 

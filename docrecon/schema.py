@@ -42,9 +42,6 @@ LINE_ITEM = T.StructType(
 REGION = T.StructType(
     [T.StructField(f, T.IntegerType()) for f in ("chunkPageIndex", "xMin", "yMin", "xMax", "yMax")]
 )
-EVIDENCE = T.StructType(
-    [T.StructField("role", T.StringType()), T.StructField("regions", T.ArrayType(REGION))]
-)
 
 # What the model returns for one bill.
 MODEL_CANDIDATE = T.StructType(

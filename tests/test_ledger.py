@@ -117,7 +117,7 @@ def test_whole_path_and_sinks(spark, tmp_path):
     assert docs["none"] == {"billCandidates": []}
     assert docs["up"]["billCandidates"][0]["sellerTaxId"]["value"] == A
     reasons = {(r.step, r.reason) for r in ledger.audit.collect()}
-    assert ("slip", "slip folded") in reasons and ("certificate", "certificate attached") in reasons
+    assert ("slip", "folded") in reasons and ("certificate", "certificate attached") in reasons
 
 
 def test_sources(spark, tmp_path):

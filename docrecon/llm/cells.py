@@ -90,7 +90,7 @@ def linked(
         F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
     also = settled(holds(apart), "cell-links")
     links = sure.union(also)
-    first = components(links)
+    first = label if also.isEmpty() else components(links)
 
     labelled = cells.join(first, "node", "left").select(
         "cell", "node", F.coalesce("component", "node").alias("label"))
@@ -114,8 +114,9 @@ def linked(
         "node", "label", *others)
     found = search(indexed.union(probes)).join(star, ["a", "b"], "left_anti")
     more = settled(holds(found), "cell-links")
-    out = components(links.union(more))
-    forget(star, sure, also, more, label, first, once, rest, *used)
+    out = first if more.isEmpty() else components(links.union(more))
+    older = {id(x): x for x in (label, first) if x is not out}
+    forget(star, sure, also, more, *older.values(), once, rest, *used)
     return out
 
 

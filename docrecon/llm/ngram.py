@@ -107,7 +107,7 @@ class Cells:
             high = max(low + 1, low * 3 // 2)
             small = high - 1
             differ = (small + small * den // num) * (den - num) // (den + num)
-            spare = math.ceil(0.05 * differ) + 1 if differ else 0
+            spare = math.ceil(0.21 * differ) + 1 if differ else 0  # about as many groups are weak
             self.edges.append(high)
             # No difference allowed: equal sets only, which need no cell.
             self.groups.append(differ + 1 + spare if differ else 0)
@@ -122,8 +122,9 @@ class Cells:
     def keys(self, s: np.ndarray) -> np.ndarray:
         """Cells of a sorted set.
 
-        Empty groups agree too easily.  With e spare groups at least e + 1 agree, so a set with no
-        more than e empty groups needs no cell for them; a set with more gets them all.
+        Weak groups, of one shingle or none, agree too easily: a common passage would make their
+        cells meet.  With e spare groups at least e + 1 agree, so a set with no more than e weak
+        groups needs no cell for them; a set with more gets them all.
         """
         out = []
         for c in self.classes(len(s)):
@@ -131,12 +132,14 @@ class Cells:
             if not groups:
                 continue
             at = ((s >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
-            names, starts = np.unique(at, return_index=True)
+            names, starts, counts = np.unique(at, return_index=True, return_counts=True)
             content = np.add.reduceat(mixed(s ^ STEP), starts)
-            out.append(mixed(content ^ mixed(names + np.uint64(c << 40) + np.uint64(1))))
-            if groups - len(names) > self.spare[c]:
+            cell = mixed(content ^ mixed(names + np.uint64(c << 40) + np.uint64(1)))
+            if groups - int((counts > 1).sum()) <= self.spare[c]:
+                out.append(cell[counts > 1])
+            else:
                 empty = np.setdiff1d(np.arange(groups, dtype=np.uint64), names)
-                out.append(mixed(mixed(empty + np.uint64(c << 40) + np.uint64(1))))
+                out += [cell, mixed(mixed(empty + np.uint64(c << 40) + np.uint64(1)))]
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 

@@ -25,6 +25,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ORDER = 4  # bytes of context
 NODES = 1 << 15  # a context is in the trie when it has 1/NODES of all bytes: at most NODES of a length
+WARM = 1 << 22  # a gram with 1/WARM of all bytes is broadcast with its probability: at most WARM of them
+GROUPED = 1 << 20  # grams that are gathered, in whole groups, before their probabilities are found
 HELD = 1 << 22  # bytes whose grams are sorted at once
 START = b"\n" * ORDER  # context before a text
 END = 0xFF  # ends a text; never a byte of UTF-8
@@ -45,17 +47,22 @@ class Ppm(NamedTuple):
     rows: np.ndarray
 
 
-def model_score(model: Ppm, text: bytes) -> float:
-    """Log10 probability of a text and its end: each byte by the longest context in the trie."""
+def model_score(model: Ppm, text: bytes) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log10 probability of those bytes of a text and its end whose whole context is in the trie;
+    the packed grams of the other bytes, and how often each occurs."""
     child, first, rows = model
     b = np.frombuffer(START + text + bytes([END]), np.uint8).astype(np.int32)
     size, at = len(b) - len(START), len(START)
     node = np.ones(size, np.int32)
-    row = np.full(size, first[0] + 1, np.int32)
     for d, table in enumerate(child):
         node = table[node * 256 + b[at - d - 1:at - d - 1 + size]]
-        row = np.where(node > 0, node + first[d + 1], row)
-    return float(rows[row, b[at:]].sum(dtype=np.float64))
+    inside = node > 0
+    points = float(rows[node[inside] + first[ORDER], b[at:][inside]].sum(dtype=np.float64))
+    cold = np.flatnonzero(~inside) + at
+    packed = np.zeros(len(cold), np.int64)
+    for d in range(ORDER + 1):
+        packed |= b[cold - d].astype(np.int64) << 8 * d
+    return points, *np.unique(packed, return_counts=True)
 
 
 def blend(counts: list[np.ndarray]) -> np.ndarray:
@@ -189,9 +196,92 @@ def trie_levels(grams: DataFrame, nodes: int = NODES):
         yield got.column("gram").to_numpy(), got.column("n").to_numpy()
 
 
+def found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each asked value stands in the sorted keys (anywhere when absent), and whether it does."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
+def gram_points(asked: np.ndarray, grams: np.ndarray, n: np.ndarray, low) -> np.ndarray:
+    """Log10 probability of the byte of each asked gram after its context, by method C with exclusion.
+
+    ``grams`` and ``n`` are all counts of full grams that share their two latest context bytes with
+    an asked one; ``low`` has the counts of the two shortest depths, sorted.  The bytes that a
+    context has seen were also seen by all shorter ones, so what exclusion leaves of a shorter one
+    is a difference of two sums.
+    """
+    levels = list(low)
+    for d in range(2, ORDER + 1):
+        names, at = np.unique(grams & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        levels.append((names, np.bincount(at, n, len(names)).astype(np.int64)))
+    points = np.zeros(len(asked))
+    open_ = np.ones(len(asked), bool)
+    out_kinds, out_sum = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)  # left out at this depth
+    for d in range(ORDER, -1, -1):
+        names, times = levels[d]
+        contexts, starts = np.unique(names >> 8, return_index=True)
+        if not len(contexts):
+            continue
+        kinds, whole = np.diff(starts, append=len(names)), np.add.reduceat(times, starts)
+        gram = asked & ((1 << 8 * (d + 1)) - 1)
+        context, known = found(contexts, gram >> 8)
+        left = np.where(known, kinds[context] - out_kinds, 0)
+        rest = np.log10(np.maximum(whole[context] - out_sum + left, 1))
+        place, seen = found(names, gram)
+        hit, miss = open_ & seen, open_ & ~seen & (left > 0)
+        points[hit] += np.log10(times[place[hit]]) - rest[hit]
+        points[miss] += np.log10(left[miss]) - rest[miss]
+        open_ &= ~seen
+        out_kinds = np.where(known, kinds[context], 0)
+        if d:
+            shorter, there = found(levels[d - 1][0], names & ((1 << 8 * d) - 1))
+            assert there.all()
+            out_sum = np.where(known, np.add.reduceat(levels[d - 1][1][shorter], starts)[context], 0)
+    points[open_] -= np.log10(256 - out_kinds[open_])
+    return points
+
+
+def probabilities(asked: DataFrame, grams: DataFrame, low) -> DataFrame:
+    """``(gram, points)`` of the asked grams, each with its log10 probability under all ``grams``.
+
+    Grams meet in groups of two latest context bytes: each gram once, however often it occurs.
+    """
+    spark = asked.sparkSession
+    shared = spark.sparkContext.broadcast(low)
+    schema = pa.schema([("gram", pa.int64()), ("points", pa.float64())])
+
+    def work(batches):
+        def done(gram, n):
+            known = n > 0
+            asked = gram[~known]
+            return batch_of(schema, asked, gram_points(asked, gram[known], n[known], shared.value))
+
+        held, size = [], 0
+        for b in batches:
+            held.append((b.column("gram").to_numpy(), b.column("n").to_numpy()))
+            size += b.num_rows
+            if size >= GROUPED:
+                gram, n = (np.concatenate(x) for x in zip(*held))
+                group = gram >> 8 & 0xFFFF
+                cut = int(np.flatnonzero(group == group[-1])[0])
+                if cut:
+                    yield done(gram[:cut], n[:cut])
+                held, size = [(gram[cut:], n[cut:])], len(gram) - cut
+        if held:
+            yield done(*(np.concatenate(x) for x in zip(*held)))
+
+    both = grams.select("gram", "n").union(asked.select("gram", F.lit(0).cast("long").alias("n")))
+    both = both.withColumn("group", F.shiftright("gram", 8).bitwiseAND(0xFFFF))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = both.repartition(parts, "group").sortWithinPartitions("group").select("gram", "n")
+    return dealt.mapInArrow(work, "gram long, points double")
+
+
 def score(
     df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    share: int = SHARE, adaptive: bool = False,
+    share: int = SHARE, adaptive: bool = False, nodes: int = NODES, warm: int = WARM,
 ) -> DataFrame:
     """``(id, n_tokens, n_known, train_tokens, base_score, score)`` of every row of ``df``.
 
@@ -200,32 +290,40 @@ def score(
     is a smoothed unigram model over words and the end.  Null texts are empty.  Each row counts by
     itself, so rows may repeat and ids may be null; other columns are not read.
 
-    All of ``training`` is counted.  The byte trie has at most NODES contexts of a length (1 KB each)
-    and is broadcast; so are
-    tokens with at least 1/``share`` of all, of which there are at most ``share``.  Occurrences of
-    the rest, summed per row, meet their counts in a shuffle join: no such token is hot.
+    All of ``training`` is counted, and every context counts in the score, however rare it is.
+    Only what is broadcast is bounded: a trie of the contexts that have 1/``nodes`` of all bytes (1 KB
+    each), the probabilities of other grams with 1/``warm`` of them, and tokens with at least
+    1/``share`` of all.  Occurrences of the rest, summed per row, meet the probabilities of their
+    grams and the counts of their tokens in shuffle joins.
     """
     spark = df.sparkSession
     counts = settled(train_counts(training, text_col), "lm-counts")
     tokens = counts.where(F.col("token").isNotNull()).select("token", "n")
     whole = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"),
                        F.coalesce(F.sum(F.when(F.col("token") == F.lit(STOP), F.col("n"))), F.lit(0)).alias("stops")).first()
-    model = build(list(trie_levels(counts.where(F.col("gram").isNotNull()).select("gram", "n"))))
+    grams = counts.where(F.col("gram").isNotNull()).select("gram", "n")
+    levels = list(trie_levels(grams, nodes))
+    model = build(levels)
+    low = [(g[order], n[order]) for g, n in levels[:2] for order in [np.argsort(g)]]  # complete
+    size = int(levels[0][1].sum())
+    often = probabilities(grams.where(F.col("n") * warm >= size), grams, low).toArrow().sort_by("gram")
+    often = (often.column("gram").to_numpy(), often.column("points").to_numpy())
     common = tokens.where((F.col("n") * share >= whole.n) & (F.length("token") <= SHORT))
     common = common.toArrow()
     known = dict(zip(common.column("token").to_pylist(), common.column("n").to_pylist()))
     scale = math.log10(whole.n + 0.1 * (whole.v + 1))
-    shared = spark.sparkContext.broadcast((tuple(model), known, whole.stops, scale, adaptive))
+    shared = spark.sparkContext.broadcast((tuple(model), often, known, whole.stops, scale, adaptive))
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = pa.schema([
         ("row", pa.int64()), ("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
         ("base_score", pa.float64()), ("score", pa.float64()),
         ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int64())),
+        ("grams", pa.list_(pa.int64())), ("occur", pa.list_(pa.int64())),
     ])
 
     def work(batches):
-        model, known, stops, scale, adaptive = shared.value
+        model, often, known, stops, scale, adaptive = shared.value
         logs = {t: math.log10(n + 0.1) - scale for t, n in known.items()}
         row = TaskContext.get().partitionId() << 40
         for b in batches:
@@ -241,24 +339,37 @@ def score(
                     else:
                         seen += n
                         base += n * p
-                points = adaptive_score(text) if adaptive else model_score(model, text)
-                out.append((row, i, sum(words.values()) + 1, seen, base, points, list(rare), list(rare.values())))
+                if adaptive:
+                    points, cold, occur = adaptive_score(text), [], []
+                else:
+                    points, cold, occur = model_score(model, text)
+                    at, here = found(often[0], cold)
+                    points += float((often[1][at[here]] * occur[here]).sum())
+                    cold, occur = cold[~here], occur[~here]
+                out.append((row, i, sum(words.values()) + 1, seen, base, points, list(rare), list(rare.values()),
+                            cold, occur))
                 row += 1
             yield batch_of(schema, *(list(zip(*out)) or [[]] * len(schema)))
 
     scored = settled(rows.mapInArrow(
         work, "row long, id long, n_tokens long, n_known long, base_score double, score double, "
-              "rare array<binary>, times array<long>"), "lm-rows")
+              "rare array<binary>, times array<long>, grams array<long>, occur array<long>"), "lm-rows")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("t")).select(
         "row", F.col("t.rare").alias("token"), F.col("t.times").alias("times"))
     n = F.coalesce("n", F.lit(0))
     sums = rare.join(tokens, "token", "left").groupBy("row").agg(
         F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more"),
         F.sum(F.col("times") * (F.log10(n + 0.1) - F.lit(scale))).alias("points"))
-    done = scored.drop("rare", "times").join(sums, "row", "left")
+    cold = scored.select("row", F.explode(F.arrays_zip("grams", "occur")).alias("t")).select(
+        "row", F.col("t.grams").alias("gram"), F.col("t.occur").alias("occur"))
+    chances = settled(probabilities(cold.select("gram").distinct(), grams, low), "lm-points")
+    more = cold.join(chances.withColumnRenamed("points", "each"), "gram").groupBy("row").agg(
+        F.sum(F.col("occur") * F.col("each")).alias("cold"))
+    done = scored.drop("rare", "times", "grams", "occur").join(sums, "row", "left").join(more, "row", "left")
     return done.select(
         F.col("id").alias(id_col), "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(whole.n).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("points", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base_score") + F.coalesce("points", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("cold", F.lit(0.0))).alias("score"),
     )

@@ -103,3 +103,56 @@ def test_awkward_rows(awkward, nothing):
     assert {(r.n_known, r.train_tokens) for r in untaught} == {(0, 0)} and all(math.isfinite(r.score) for r in untaught)
     assert lm.score(nothing, awkward).count() == 0
     assert lm.score(awkward.limit(3), awkward, adaptive=True).count() == 3
+
+
+def whole_ppm(train, texts):
+    """PPM in plain dictionaries with every context that was ever seen."""
+    counts = defaultdict(Counter)
+    for t in train:
+        b = lm.START + t + bytes([lm.END])
+        for k in range(len(lm.START), len(b)):
+            for d in range(lm.ORDER + 1):
+                counts[b[k - d:k]][b[k]] += 1
+    for text in texts:
+        b, points = lm.START + text + bytes([lm.END]), 0.0
+        for k in range(len(lm.START), len(b)):
+            out, done = set(), False
+            for d in range(lm.ORDER, -1, -1):
+                here = {s: n for s, n in counts.get(b[k - d:k], {}).items() if s not in out}
+                if not here:
+                    continue
+                whole = sum(here.values()) + len(here)
+                done = b[k] in here
+                points += math.log10((here[b[k]] if done else len(here)) / whole)
+                if done:
+                    break
+                out |= set(here)
+            if not done:
+                points -= math.log10(256 - len(out))
+        yield points
+
+
+def test_rare_contexts_count_too(spark):
+    draw = np.random.default_rng(3)
+    rare = ["".join(draw.choice(list("qwxzjkvß漢 "), 40)) for _ in range(30)]
+    texts = rare + rare[:10] + made(4000)  # most contexts of the first ones are seen once or twice
+    train = [low(t) for i, t in enumerate(texts) if i % 3]
+    assert sum(len(t) + 1 for t in train) > 2 * lm.NODES
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = list(whole_ppm(train, [low(t) for t in texts[:60]]))
+    for more in ({}, {"warm": 1 << 12}, {"nodes": 50, "warm": 50}):  # ever more of them meet in the join
+        got = {r.doc_id: r.score for r in lm.score(df.where("doc_id < 60"), df.where("doc_id % 3 <> 0"), **more).collect()}
+        assert np.allclose([got[i] for i in range(60)], want, rtol=1e-4, atol=1e-4)
+
+
+def test_gram_points_sum_to_one():
+    grams, n = lm.gram_counts([low(t) for t in made(30)])
+    levels = []
+    for d in range(2):
+        names, at = np.unique(grams & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        levels.append((names, np.bincount(at, n).astype(np.int64)))
+    for context in (int(grams[0]) >> 8, int(grams[5]) >> 8 | 0xFE << 24, int(grams[9]) >> 8 & 0xFF | 0xFEFE00, 0xFEFEFEFE):
+        asked = np.arange(256) + (context << 8)
+        assert math.isclose((10 ** lm.gram_points(asked, grams, n, levels)).sum(), 1, rel_tol=1e-9)
+    none = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
+    assert np.allclose(lm.gram_points(asked, grams[:0], n[:0], none), -math.log10(256))

@@ -23,6 +23,9 @@ RULES = 8
 LITERALS = 3
 PRECISION = 0.9  # of a rule on the pruning rows
 COVER = 0.005  # of the bad rows; rules that cover less are noise
+CHANCE = 0.05  # toxic words that chance alone would be expected to name, of all words together
+AROUND = WHITE + "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())  # taken off the ends of words
+HITS = (1.0, 2.0, 4.0)  # thresholds of toxic words besides the quantiles, as most texts have none
 
 
 class Literal(NamedTuple):
@@ -39,7 +42,44 @@ def removed(text: Column, chars: str) -> Column:
     return F.length(F.translate(text, chars, ""))
 
 
-def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
+def word_list(t: Column) -> Column:
+    inner = F.btrim(t, F.lit(WHITE))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+"))
+
+
+def plain(word: Column) -> Column:
+    """A word in lower case, without ASCII marks at its ends."""
+    return F.lower(F.btrim(word, F.lit(AROUND)))
+
+
+def toxic_words(docs: DataFrame, labels: DataFrame) -> list[str]:
+    """Words of ``docs(doc_id, text)`` found in toxic labelled texts and hardly elsewhere.
+
+    Of the labelled texts that hold such a word, a share of PRECISION or more is toxic, and by the
+    Chernoff bound fewer than CHANCE of all words would reach its counts by chance.  All labelled
+    rows count; their texts meet the labels in one join, and only the words found reach the driver.
+    """
+    known = labels.where("toxic is not null").groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
+    words = F.array_distinct(F.transform(word_list(F.coalesce("text", F.lit(""))), plain))
+    # Every text holds the empty word, whose counts are those of the classes.
+    words = F.array_union(words, F.array(F.lit("")))
+    counts = settled(
+        docs.join(known, "doc_id").select("toxic", F.explode(words).alias("word")).groupBy("word").agg(
+            F.count("*").alias("n"), F.sum(F.col("toxic").cast("long")).alias("t")), "quality-words")
+    of, kinds = counts.where("word = ''").first(), counts.count()
+    if of is None or not 0 < of.t < of.n:
+        forget(counts)
+        return []
+    p, q = of.t / of.n, F.col("t") / F.col("n")
+    far = q * F.log(q / p) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
+    found = counts.where((F.col("word") != "") & (F.col("t") > 0) & (q > p) & (q >= PRECISION)).where(
+        F.col("n") * far >= math.log(kinds / CHANCE))
+    out = [r.word for r in found.orderBy("word").collect()]
+    forget(counts)
+    return out
+
+
+def statistics(df: DataFrame, text_col: str = "text", toxic: list[str] = ()) -> DataFrame:
     """Pack the columns of ``df`` into ``row`` and add the statistics of its text (null: empty).
 
     Words are runs without ASCII white space.  Three-word windows are compared by 64-bit hashes,
@@ -48,8 +88,7 @@ def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     n = F.size("words")
     start = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
                       F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
-    inner = F.btrim("t", F.lit(WHITE))
-    words = F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+"))
+    words = word_list(F.col("t"))
     lines = F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
     counted = start.select(
         "row", words.alias("words"), lines.alias("lines"), F.length("t").alias("n_chars"),
@@ -63,10 +102,12 @@ def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
                      F.slice("words", F.lit(3), F.greatest(n, F.lit(1))).alias("c")), F.lit(1), F.greatest(n - 2, F.lit(0))))
     hashes = F.transform(windows, lambda w: F.xxhash64(w["a"], w["b"], w["c"]))
     keep = ["row", "n_chars", "word_chars", "n_symbols", "n_upper", "n_marks"]
+    hits = F.size(F.filter("words", lambda w: plain(w).isin(list(toxic)))) if toxic else F.lit(0)
     hashed = counted.select(
         *keep, n.alias("n_words"), F.size("lines").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), hashes.alias("h"))
-    keep += ["n_words", "n_lines", "n_dup_lines"]
+        (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), hits.alias("n_toxic_words"),
+        hashes.alias("h"))
+    keep += ["n_words", "n_lines", "n_dup_lines", "n_toxic_words"]
     ordered = hashed.select(*keep, F.when(
         F.size(F.array_distinct("h")) < F.size("h"),
         F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))).alias("o"))
@@ -87,6 +128,7 @@ FEATURES = {
     "upper": lambda: F.col("n_upper") / F.greatest("word_chars", F.lit(1)),
     "repeated": lambda: F.col("n_repeat_words") / F.greatest("n_words", F.lit(1)),
     "same_lines": lambda: F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
+    "toxic_words": lambda: F.col("n_toxic_words").cast("double"),
     "line_words": lambda: F.col("n_words") / F.greatest("n_lines", F.lit(1)),
 }
 
@@ -115,7 +157,7 @@ def learn(labelled: DataFrame, rules: int = RULES, literals: int = LITERALS) ->
         *[F.percentile_approx(c, shares, 10_000).alias(c) for c in names], F.sum(F.col("bad").cast("int")).alias("n")
     ).first()
     total = got["n"] or 0
-    cuts = {c: sorted(set(got[c] or [])) for c in names}
+    cuts = {c: sorted({*(got[c] or []), *(HITS if c == "f_toxic_words" else ())}) for c in names}
     if not total:
         return []
     bins = [sum(((F.col(c) >= F.lit(x)).cast("int") for x in cuts[c]), F.lit(0)).alias(c) for c in names]
@@ -185,8 +227,11 @@ def base_failed() -> Column:
 
 def learn_from(stats: DataFrame, labels: DataFrame) -> list[list[Literal]]:
     """Decision list from the statistics ``(doc_id, ...)`` of documents that ``labels(doc_id,
-    quality)`` covers; quality 0 is bad.  Rows without a label or an id teach nothing."""
-    known = labels.where("quality is not null").groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
+    quality, toxic)`` covers; quality 0 is bad, and so is toxic 1.  Rows without a label or an id
+    teach nothing."""
+    toxic = F.coalesce(F.col("toxic") == 1, F.lit(False))
+    known = labels.where(F.col("quality").isNotNull() | toxic).groupBy("doc_id").agg(
+        F.max(toxic | F.coalesce(F.col("quality") == 0, F.lit(False))).alias("bad"))
     rows = featured(stats).join(known, "doc_id").withColumn("prune", F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0)
     return learn(rows.select("bad", "prune", *[f"f_{name}" for name in FEATURES]))
 
@@ -197,10 +242,11 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     A row fails with fewer than 50 words, or when more than half of them stand in repeated
     three-word windows; else the learned list decides (``rule`` is the one that rejects it).  Null
     and empty texts have no words and fail.  Rows are judged one by one: repeated rows and null ids
-    pass through; other columns are not read.  The only shuffle is that of the labelled statistics.
+    pass through; other columns are not read.  Texts are shuffled once, to meet their labels, from
+    which the toxic words are learned; else only labelled statistics are.
     """
     narrow = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    stats = statistics(narrow).select("row.doc_id", *[c for c in STATISTICS])
+    stats = statistics(narrow, toxic=toxic_words(narrow, labels)).select("row.doc_id", *[c for c in STATISTICS])
     stats = settled(stats, "quality-statistics")
     rules = learn_from(stats, labels)
     judged = featured(stats).select(
@@ -209,13 +255,14 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 STATISTICS = ("n_chars", "word_chars", "n_symbols", "n_upper", "n_marks", "n_words", "n_lines", "n_dup_lines",
-              "n_repeat_words")
+              "n_toxic_words", "n_repeat_words")
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``df`` that ``judge`` keeps, with all their columns and no join on the id."""
     narrow = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    stats = settled(statistics(narrow).select("row.doc_id", *STATISTICS), "quality-statistics")
+    toxic = toxic_words(narrow, labels)
+    stats = settled(statistics(narrow, toxic=toxic).select("row.doc_id", *STATISTICS), "quality-statistics")
     rules = learn_from(stats, labels)
     forget(stats)
-    return featured(statistics(df, text_col)).where(~base_failed() & verdict(rules).isNull()).select("row.*")
+    return featured(statistics(df, text_col, toxic)).where(~base_failed() & verdict(rules).isNull()).select("row.*")

@@ -70,3 +70,22 @@ def test_awkward_rows(awkward, nothing, spark):
     assert quality.judge(awkward, labels).count() == awkward.count()
     assert quality.judge(nothing, labels).count() == 0
     assert quality.keep_good(awkward, labels).columns == awkward.columns
+
+
+def test_rejects_toxic_texts_of_good_shape(spark):
+    draw = random.Random(4)
+    pool, insults = [f"word{chr(97 + k % 26)}{k}" for k in range(400)], ["grub", "Knave", "oaf"]
+    rows, labels = [], []
+    for i in range(1500):
+        words = [draw.choice(pool) for _ in range(draw.randint(60, 120))]
+        if i % 10 == 0:
+            words[draw.randrange(len(words))] = draw.choice(insults).upper() + draw.choice(["", ",", "!!"])
+        rows.append((i, " ".join(words)))
+        if i % 2 == 0 and i < 1000:
+            labels.append((i, None if i % 4 else 1, int(i % 10 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert quality.toxic_words(df, labels) == ["grub", "knave", "oaf"]
+    assert {r.doc_id for r in quality.judge(df, labels).collect() if not r.kept} == set(range(0, 1500, 10))
+    assert {r.doc_id for r in quality.keep_good(df, labels).collect()} == {i for i in range(1500) if i % 10}
+    assert quality.toxic_words(df, labels.where("toxic = 0")) == [] == quality.toxic_words(df, labels.limit(0))

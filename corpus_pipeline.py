@@ -31,9 +31,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that three or more share; the largest id keeps them.  ``n_chars``
-    follows the text; a document that had a text and loses all of it goes."""
+    follows the text.  Every row stays, also one that loses all its text."""
     kept = lines.dedup_lines(docs, keep=True)
-    whole = kept.where((F.col("n_dropped") == 0) | (F.col("text") != ""))
     changed = F.col("n_dropped") > 0
     columns = [
         F.when(changed, F.col("text")).otherwise(F.col("row.text")).alias(c) if c == "text"
@@ -41,7 +40,7 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         if c == "n_chars" else F.col(f"row.`{c}`").alias(c)
         for c in docs.columns
     ]
-    return whole.select(*columns)
+    return kept.select(*columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,12 @@ def test_packing_holds_what_is_left(stages):
 
 def test_every_operator_has_a_query():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+
+
+def test_lines_stage_keeps_every_row(spark):
+    a, b = "a line that three documents share", "and another one that they share"
+    rows = [(1, f"{a}\n{b}"), (2, f"{a}\nown words"), (3, a), (4, b), (5, b), (6, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.distinct_lines(spark, docs, SF).collect()}
+    assert got == {1: ("", 0), 2: ("own words", 9), 3: (a, len(a)), 4: ("", 0), 5: (b, len(b)), 6: ("", 0), None: (None, 0)}

@@ -44,11 +44,13 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near copies on five-word shingles."""
-    grouped = ngram.jaccard_components(docs, words=5, num=80, den=100)
-    # A document with words leads its group when its id is the group's; those without stay.
-    going = grouped.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(going, F.col("doc_id") == F.col("gone"), "left_anti")
+    """One row of each group of near copies on five-word shingles: that of the least id, where a null
+    id comes last and one of several rows with that id stays.  Rows without words all stay."""
+    rows = settled(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    grouped = ngram.jaccard_components(rows, id_col="_row", words=5, num=80, den=100)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    first = grouped.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").drop("_row")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

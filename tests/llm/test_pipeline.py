@@ -64,3 +64,16 @@ def test_lines_stage_keeps_every_row(spark):
                                  "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.distinct_lines(spark, docs, SF).collect()}
     assert got == {1: ("", 0), 2: ("own words", 9), 3: (a, len(a)), 4: ("", 0), 5: (b, len(b)), 6: ("", 0), None: (None, 0)}
+
+
+def test_near_copies_are_removed_by_row(spark):
+    copied, own = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    null = " ".join(f"u{k}" for k in range(60))
+    rows = [(1, copied), (2, copied + " end"), (2, own), (3, own), (3, own), (None, copied), (None, null),
+            (None, null), (4, ""), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.one_of_each(spark, docs, SF)
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert out.columns == docs.columns
+    assert got == sorted([(1, copied), (2, own), (None, null), (4, ""), (4, None)], key=repr)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docrecon.llm import bpe, fingerprints, langid, licenses, lines, lm, ngram, packing, quality, urls
+from docrecon.llm import bpe, fingerprints, langid, licenses, lines, lm, merkle, ngram, packing, quality, urls
 from docrecon.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -170,3 +170,76 @@ def op4_fingerprints(spark, sf_dir):
     return compared.select(
         "doc_id", "n_chars", digest("edited").alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         "near_edited", "near_next", "bands_edited", "bands_next")
+
+
+# A table of the SQL has one row a node; crc32 is worked out bit by bit.
+MERKLE_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, lang, n_chars, row_number() OVER () AS row_id, list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), list_transform(range(8), lambda k: 0::BIGINT)),
+        lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))) AS crc,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM documents
+), hashed AS (
+  SELECT *, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN
+      sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS changed
+  FROM doc
+), leaf AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, row_id) - 1 AS rank,
+         count(*) OVER (PARTITION BY lang) AS n FROM hashed
+), node(lang, height, rank, n, digest) AS (
+  SELECT lang, 0, rank, n, leaf FROM leaf
+  UNION ALL
+  SELECT lang, height + 1, rank // 2, (any_value(n) + 1) // 2, sha256(string_agg(digest, '' ORDER BY rank))
+  FROM node WHERE n > 1 GROUP BY lang, height, rank // 2
+), top AS (
+  SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS rank, count(*) OVER () AS n
+  FROM node WHERE n = 1
+), upper(height, rank, n, digest) AS (
+  SELECT 0, rank, n, subroot FROM top
+  UNION ALL
+  SELECT height + 1, rank // 2, (any_value(n) + 1) // 2, sha256(string_agg(digest, '' ORDER BY rank))
+  FROM upper WHERE n > 1 GROUP BY height, rank // 2
+), step AS (
+  SELECT own.lang, own.rank, a.height, CASE WHEN b.digest IS NULL THEN 'S' WHEN b.rank < a.rank THEN 'L' || b.digest
+           ELSE 'R' || b.digest END AS sibling
+  FROM leaf own JOIN node a ON a.lang IS NOT DISTINCT FROM own.lang AND a.rank = own.rank >> a.height AND a.n > 1
+  LEFT JOIN node b ON b.lang IS NOT DISTINCT FROM a.lang AND b.height = a.height AND b.rank = xor(a.rank, 1)
+), lower_part AS (
+  SELECT lang, rank, list(sibling ORDER BY height) AS part FROM step GROUP BY lang, rank
+), upper_part AS (
+  SELECT top.lang, any_value(top.subroot) AS subroot, list(CASE WHEN b.digest IS NULL THEN 'S' WHEN b.rank < a.rank THEN 'L' || b.digest
+           ELSE 'R' || b.digest END ORDER BY a.height) FILTER (a.n IS NOT NULL) AS part
+  FROM top LEFT JOIN upper a ON a.rank = top.rank >> a.height AND a.n > 1
+  LEFT JOIN upper b ON b.height = a.height AND b.rank = xor(a.rank, 1) GROUP BY top.lang
+), proven AS (
+  SELECT doc_id, leaf, changed, subroot, (SELECT digest FROM upper WHERE n = 1) AS root,
+         coalesce(l.part, []) || coalesce(u.part, []) AS proof
+  FROM leaf LEFT JOIN lower_part l ON l.lang IS NOT DISTINCT FROM leaf.lang AND l.rank = leaf.rank
+  JOIN upper_part u ON u.lang IS NOT DISTINCT FROM leaf.lang
+), done AS (
+  SELECT *, list_reduce(list_prepend(coalesce(changed, leaf), proof), lambda x, s: CASE s[1] WHEN 'S' THEN sha256(x)
+    WHEN 'L' THEN sha256(s[2:] || x) ELSE sha256(x || s[2:]) END) AS folded_root FROM proven
+)
+SELECT doc_id, leaf, subroot, root,
+       sha256(array_to_string(list_transform(proof, lambda s: s[2:]), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified FROM done
+"""
+
+
+@query("op13_merkle", MERKLE_SQL)
+def op13_merkle(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", *merkle.FIELDS)
+    more = [(F.col(c) + 1) if c == "n_chars" else F.col(c) for c in merkle.FIELDS]
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    made = merkle.manifest(docs, carry={"changed": F.when(hit, merkle.leaf_of(more))})
+    folded = made.withColumn("folded_root", merkle.folded(F.coalesce("changed", "leaf"), F.col("proof")))
+    siblings = F.transform("proof", lambda s: F.coalesce(merkle.shown(s["sibling"]), F.lit("")))
+    return folded.select(
+        "doc_id", *[merkle.shown(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")],
+        F.sha2(F.array_join(siblings, "").cast("binary"), 256).alias("proof_sha256"),
+        merkle.shown(F.col("folded_root")).alias("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docrecon.llm import bpe, fingerprints, langid, licenses, lines, lm, merkle, ngram, packing, quality, urls
+from docrecon.llm import bpe, fingerprints, langid, licenses, lines, lm, merkle, ngram, packing, quality, search, urls
 from docrecon.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -243,3 +243,34 @@ def op13_merkle(spark, sf_dir):
         "doc_id", *[merkle.shown(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")],
         F.sha2(F.array_join(siblings, "").cast("binary"), 256).alias("proof_sha256"),
         merkle.shown(F.col("folded_root")).alias("folded_root"), (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+SEARCH_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, row_number() OVER () AS row_id, regexp_extract_all(terms_in(text)) AS terms FROM documents
+), item AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(terms_in(text))) AS term FROM benchmark
+), whole AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM doc WHERE len(terms) > 0
+), held AS (
+  SELECT doc_id, row_id, term, count(*) AS tf, any_value(n) AS n
+  FROM (SELECT doc_id, row_id, len(terms) AS n, unnest(terms) AS term FROM doc) GROUP BY doc_id, row_id, term
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM held, whole GROUP BY term, n_docs
+), scored AS (
+  SELECT item_id, doc_id, row_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM item JOIN held USING (term) JOIN weight USING (term), whole GROUP BY item_id, doc_id, row_id
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, row_id) AS place
+  FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM placed WHERE place <= 50
+""".replace("terms_in(text)", r"""translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'""")
+
+
+@query("op11_search", SEARCH_SQL)
+def op11_search(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))

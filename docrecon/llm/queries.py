@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docrecon.llm import bpe, fingerprints, langid, licenses, lines, lm, merkle, ngram, packing, quality, search, urls
+from docrecon.llm import bpe, fingerprints, langid, licenses, lines, lm, merkle, ngram, packing, quality, search, toxicity, urls
 from docrecon.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -274,3 +274,11 @@ SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM placed WHERE
 @query("op11_search", SEARCH_SQL)
 def op11_search(spark, sf_dir):
     return search.search(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@query("op12_toxicity")
+def op12_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels", "doc_id", "toxic").where(fold(4) != 2))
+    return toxicity.score(docs, model).select(
+        "doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

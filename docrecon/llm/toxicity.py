@@ -37,13 +37,14 @@ DECAY = 0.7  # for every character that a subsequence stretches over
 REACH = 7  # characters from the first to the last of a subsequence, at most
 CLASS_BITS = 7  # characters fall into 2**7 classes
 WIDTH = 24  # characters of a string; longer words are cut in overlapping ones
-SAMPLE = 8_000  # labelled documents learned from: half of it toxic, half not
-STRINGS = 20_000  # strings of one text each that the machine is trained on, of either class
+SAMPLE = 6_000  # labelled documents learned from: half of it toxic, half not
+STRINGS = 20_000  # rare strings of either class that the machine is trained on, and half the frequent ones
 LANDMARKS = 256
 ROUNDS = 3
 STRICT = 2.0  # weight of clean strings once toxic texts are represented by their highest
 RIDGE = 1.0
 HIGHEST = 4  # words of a text that its score rests on
+BLOCK = 1 << 13  # strings mapped at once in training
 LEAST = -1.0  # value of a missing word, and of any lower one
 MARKS = {k: None for k in range(33, 127) if not chr(k).isalnum()}
 APART = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")  # three or more single characters
@@ -163,8 +164,11 @@ class Landmarks:
         return out
 
     def mapped(self, strings: list[str]) -> np.ndarray:
-        """The Nyström map of strings."""
-        return self.kernel(strings) @ self.turn
+        """The Nyström map of strings, and a last column of ones."""
+        out = np.ones((len(strings), self.turn.shape[1] + 1), np.float32)
+        for at in range(0, len(strings), BLOCK):
+            out[at:at + BLOCK, :-1] = self.kernel(strings[at:at + BLOCK]) @ self.turn
+        return out
 
     def table(self, w: np.ndarray) -> np.ndarray:
         """One weight for each subsequence, for a machine with weights ``w`` on the map."""
@@ -173,19 +177,28 @@ class Landmarks:
         return out
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float, steps: int = 30) -> np.ndarray:
-    """Weights of the squared-hinge machine, the offset last: Newton's method on the rows within."""
-    x = np.column_stack([x, np.ones(len(x), np.float32)])
-    w, within = np.zeros(x.shape[1]), np.ones(len(x), bool)
+def svm(x: np.ndarray, up: np.ndarray, down: np.ndarray, ridge: float, steps: int = 30) -> np.ndarray:
+    """Weights of the squared-hinge machine, the offset last: Newton's method on the rows within.
+
+    Each row of ``x`` costs ``up`` where its value is below 1 and ``down`` where it is above -1.
+    """
+    w, value = np.zeros(x.shape[1]), np.zeros(len(x))
     hold = np.eye(x.shape[1]) * ridge
     hold[-1, -1] = 1e-6
+    before = None
     for _ in range(steps):
-        part = x[within] * cost[within, None]
-        w = np.linalg.solve(part.T @ x[within] + hold, part.T @ y[within])
-        now = y * (x @ w) < 1
-        if (now == within).all():
+        within = np.stack([value < 1, value > -1])
+        if before is not None and (within == before).all():
             break
-        within = now
+        before = within
+        cost, pull = up * within[0] + down * within[1], up * within[0] - down * within[1]
+        left, right = hold.copy(), np.zeros(len(w))
+        for at in range(0, len(x), BLOCK):
+            part = x[at:at + BLOCK].astype(np.float64)
+            left += (part * cost[at:at + BLOCK, None]).T @ part
+            right += part.T @ pull[at:at + BLOCK]
+        w = np.linalg.solve(left, right)
+        value = x @ w.astype(np.float32)
     return w
 
 
@@ -227,26 +240,28 @@ def machine(bags: list[list[str]], toxic: np.ndarray) -> tuple[np.ndarray, float
     marks += sorted((s for s in in_clean if s not in held), key=lambda s: (-in_clean[s], s))[:LANDMARKS - len(marks)]
     space = Landmarks(marks)
 
-    # All strings that more than one text holds, and of the others of either class at most STRINGS.
-    often = {s for s, n in (in_toxic + in_clean).items() if n > 1}
-    pos, neg = ([*kept, *_share([s for s in sorted(of) if s not in often])]
-                for of, kept in ((in_toxic, sorted(often & in_toxic.keys())), (in_clean, sorted(often & in_clean.keys()))))
-    x_neg, x_pos = space.mapped(neg), space.mapped(pos)
+    # The strings that most texts hold, and about STRINGS of the others of either class.
+    held = in_toxic + in_clean
+    names = sorted((s for s, n in held.items() if n > 1), key=lambda s: (-held[s], s))[:2 * STRINGS]
+    often = set(names)
+    for of in (in_toxic, in_clean):
+        names += _share([s for s in sorted(of) if s not in often])
+    names = list(dict.fromkeys(names))
+    x = space.mapped(names)
     # A string counts against the class once for every clean text that holds it; both classes weigh
     # alike.  At first all strings of toxic texts count for it, then only each text's highest.
-    c_neg = np.array([in_clean[s] for s in neg], np.float64) * rate
-    c_pos = np.array([in_toxic[s] for s in pos], np.float64)
-    number = {s: k for k, s in enumerate(pos)}
+    up = np.array([in_toxic[s] for s in names], np.float64)
+    down = np.array([in_clean[s] for s in names], np.float64) * rate
+    number = {s: k for k, s in enumerate(names)}
     mine = [np.array([number[s] for s in bag if s in number], np.int64) for bag, t in zip(bags, toxic.tolist()) if t]
-    y = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
     for k in range(ROUNDS):
-        w = svm(np.concatenate([x_pos, x_neg]), y, np.concatenate([c_pos, c_neg * (1 if k == 0 else STRICT)]), RIDGE)
+        w = svm(x, up, down * (1 if k == 0 else STRICT), RIDGE)
         if k < ROUNDS - 1:
-            found = x_pos @ w[:-1] + w[-1]
-            c_pos = np.zeros(len(pos))
+            value = x @ w.astype(np.float32)
+            up = np.zeros(len(names))
             for held in mine:
-                top = held[np.argsort(-found[held], kind="stable")[:HIGHEST]]
-                c_pos[top[found[top] > 0]] += 1
+                top = held[np.argsort(-value[held], kind="stable")[:HIGHEST]]
+                up[top[value[top] > 0]] += 1
     return space.table(w[:-1]), float(w[-1])
 
 

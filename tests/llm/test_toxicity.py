@@ -55,7 +55,7 @@ def test_the_table_gives_the_value_of_the_map():
     space = tox.Landmarks(["idiot", "moron", "scum", "there"])
     w = np.array([1.0, -2.0, 0.5, 0.25])
     words = ["idiot", "morons", "sccum", "other", "zzz"]
-    assert np.allclose(space.mapped(words) @ w, tox.values(words, space.table(w), 0.0), atol=1e-4)
+    assert np.allclose(space.mapped(words) @ np.append(w, 0.0), tox.values(words, space.table(w), 0.0), atol=1e-4)
 
 
 def test_strings():

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+from difflib import SequenceMatcher
+
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +14,9 @@ from docrecon.functions.text import blank_to_null, contains_any, no_space, squee
 from docrecon.functions.udfs import sequence_ratio
 from docrecon.profile import OwnParty, Profile
 
+# Workers need not have the package installed: the name rule travels by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def norm_name(value: Column, branch_suffix: str) -> Column:
     """Spaces squeezed, trailing branch words removed however often repeated, lower case."""
@@ -51,6 +58,20 @@ def names_agree(a: Column, b: Column, p: Profile) -> Column:
     )
 
 
+def name_rule(p: Profile):
+    """``names_agree`` for two normal names in Python, for folds that carry a name from row to row."""
+    lim = p.limits
+    long_enough, same, different = lim.name_prefix_chars, lim.name_same, lim.name_different
+
+    def verdict(a: str, b: str) -> bool | None:
+        if min(len(a), len(b)) >= long_enough and (a.startswith(b) or b.startswith(a)):
+            return True
+        ratio = 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+        return True if ratio >= same else None if ratio >= different else False
+
+    return verdict
+
+
 def names_agree_by_edits(a: Column, b: Column, p: Profile) -> Column:
     """The same three answers from edit distance alone, for plans that must stay in the JVM."""
     bound = similarity_bound(a, b)

@@ -2,30 +2,34 @@
 
 The rule is an ordered fold: the first candidate of a page may continue the bill that ended the
 page before, judged against the bill *as filled so far*.  Only four identity values of the open
-bill matter to the decision, so the fold carries a few strings and streams over sorted rows.
-
-How it spreads: most rows are settled by built-in tests (``hard break``), and only rows between two
-hard breaks are folded.  Folding runs per block of positions, never per chunk; a block takes the
-open bill of the block before it, and rounds repeat until no block's outcome changes.  That gives
-the sequential answer exactly, and needs one round when no bill crosses a block border.
+bill matter to the decision.
+
+How it spreads: built-in tests on neighbouring rows find most page breaks that part bills whatever
+is open (``hard``).  Rows between two of them form an island, and islands know nothing of each
+other.  An island of two rows is decided in columns.  Longer ones are folded in streams, and one
+that runs over several blocks of positions is folded block by block: rows that depend on the bill open before their block are
+summed up by what any such bill would meet there, one pass over these summaries gives every block
+its open bill, and these rows are folded again.  The number of passes is the same for any data.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docrecon.functions.fields import norm_identity, val
-from docrecon.functions.names import norm_name
+from docrecon.functions.names import name_rule, names_agree, names_agree_by_edits, norm_name
 from docrecon.operators.assemble import renumber
 from docrecon.operators.ledger import BILL_KEY, Ledger, audit_rows, new_ledger
-from docrecon.operators.ordered import BLOCK, block_of, running_last
+from docrecon.operators.ordered import BLOCK, block_of, neighbours, running_last
 from docrecon.operators.rounds import settle
 from docrecon.profile import Profile
 from docrecon.schema import CELL_FIELDS, cell_sql_type, is_number
@@ -35,61 +39,148 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 EXACT = {"doc": "originalDocumentNumber", "total": "originalTotal", "day": "documentDate"}
 STATE = ["doc", "seller", "total", "day"]
-_CARRY = [f"in_{c}" for c in STATE]
-_DECISION = (
-    "chunk_id {chunk}, cand_pos long, blk long, joins boolean, "
-    "doc string, seller string, total string, day string"
-)
-
-
-def _names_agree(a: str, b: str, prefix_chars: int, same: float, different: float):
-    if a == b:
-        return True
-    shorter, longer = (a, b) if len(a) <= len(b) else (b, a)
-    if len(shorter) >= prefix_chars and longer.startswith(shorter):
-        return True
-    ratio = SequenceMatcher(None, a, b).ratio()
-    return True if ratio >= same else False if ratio < different else None
-
-
-def fold_rows(batches: Iterator[pd.DataFrame], prefix_chars: int, same: float, different: float):
-    """Fold sorted rows; the only memory is the open bill's identity values.
+SELLER = STATE.index("seller")
+
+
+def take(tail: list | None, values: list, continues: bool, same_name) -> list | None:
+    """The open bill's values with a row's filled in, or null where the row does not join it."""
+    if tail is None:
+        return None
+    agree = 0
+    for at, (left, right) in enumerate(zip(tail, values)):
+        if left is None or right is None:
+            continue
+        verdict = same_name(left, right) if at == SELLER else left == right
+        if verdict is False:
+            return None
+        agree += verdict is True
+    if not continues and agree < 2:
+        return None
+    return [b if a is None else a for a, b in zip(tail, values)]
+
+
+class Piece:
+    """Rows of an island within one block, summed up for any bill that may be open before them.
+
+    While rows join, a combination of values that has joined once joins again: what it states, the
+    open bill states too.  So only the first row of each combination can break.  Two values of an
+    exact field break every bill, so nothing after them depends on what was open.
+    """
 
-    Each row leaves with its decision and the identity values of the bill open after it.
+    def __init__(self, rows: list[tuple], same_name):
+        self.rows, self.same_name, self.ends = rows, same_name, {}
+
+    def end(self, head: int) -> list:
+        """The bill open after the last row when a new one starts at row ``head``."""
+        heads = []
+        while head not in self.ends:
+            heads.append(head)
+            tail, at = self.rows[head][1], head + 1
+            while at < len(self.rows):
+                joined = take(tail, self.rows[at][1], self.rows[at][0], self.same_name)
+                if joined is None:
+                    break
+                tail, at = joined, at + 1
+            if at == len(self.rows):
+                self.ends[head] = tail
+            else:
+                head = at
+        for h in heads:
+            self.ends[h] = self.ends[head]
+        return self.ends[head]
+
+    def summary(self) -> list[dict]:
+        """First rows of each combination up to the certain break, each with the bill open after the
+        last row should the row break.  Values travel as lists of four."""
+        seen, stated, out = set(), [None] * len(STATE), []
+        for at, (continues, values) in enumerate(self.rows):
+            mark = (continues, *values)
+            if mark in seen:
+                continue
+            seen.add(mark)
+            out.append({"continues": continues, "values": values, "end": self.end(at)})
+            if any(a is not None and b is not None and a != b
+                   for k, (a, b) in enumerate(zip(stated, values)) if k != SELLER):
+                break
+            stated = [b if a is None else a for a, b in zip(stated, values)]
+        return out
+
+
+def after(tail: list | None, summary: list[dict], same_name) -> list:
+    """The bill open after a piece, given the one open before it."""
+    for row in summary:
+        joined = take(tail, row["values"], row["continues"], same_name)
+        if joined is None:
+            return row["end"]
+        tail = joined
+    return tail
+
+
+_STRINGS = pa.list_(pa.string())
+_ROW = pa.struct([("continues", pa.bool_()), ("values", _STRINGS), ("end", _STRINGS)])
+_SUMMARY = "array<struct<continues boolean, values array<string>, end array<string>>>"
+
+
+def _rows(batches: Iterator[pa.RecordBatch]):
+    for b in batches:
+        yield from b.to_pylist()
+
+
+def _out(schema: pa.Schema, rows, size: int = 4096):
+    """Arrow batches of the rows of a generator."""
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held = []
+    yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
+def folded_blocks(rows: Iterator[dict], same_name):
+    """First pass over rows sorted by chunk, block and position.
+
+    Rows from a block's first hard row on are decided.  Rows before it depend on the bill open before
+    the block: they leave undecided.  A block that takes a bill from the one before, or hands one to
+    the next, adds a row without a position: its summary, and the bill open at its end where that
+    does not depend on what came before.
     """
-    open_key, tail = None, None
-    for pdf in batches:
-        joins, after = [], []
-        cols = ["chunk_id", "blk", "hard", "continues", *STATE, *_CARRY, "has_carry"]
-        for row in pdf[cols].itertuples(index=False, name=None):
-            key, hard, continues = row[:2], row[2], row[3]
-            values = [None if v is None or v != v else v for v in row[4:8]]
-            if key != open_key:
-                open_key = key
-                tail = list(row[8:12]) if row[12] else None
-                tail = tail and [None if v is None or v != v else v for v in tail]
-            agree = conflict = 0
-            if not hard and tail is not None:
-                for name, left, right in zip(STATE, tail, values):
-                    if left is None or right is None:
-                        continue
-                    verdict = (
-                        _names_agree(left, right, prefix_chars, same, different)
-                        if name == "seller" else left == right
-                    )
-                    agree += verdict is True
-                    conflict += verdict is False
-            join = (
-                not hard and tail is not None and not conflict and (continues or agree >= 2)
-            )
-            tail = [a if a is not None else b for a, b in zip(tail, values)] if join else values
-            joins.append(join)
-            after.append(tail)
-        out = pdf[["chunk_id", "cand_pos", "blk"]].copy()
-        out["joins"] = joins
-        for i, name in enumerate(STATE):
-            out[name] = [t[i] for t in after]
-        yield out
+    for (chunk, blk), group in groupby(rows, key=itemgetter("chunk_id", "blk")):
+        place = {"chunk_id": chunk, "blk": blk}
+        leading, tail, handed = [], None, False
+        for r in group:
+            values = [r[c] for c in STATE]
+            handed = not r["a1_hard"] and r["ends_block"]
+            if tail is None and not r["hard"]:
+                leading.append((r["continues"], values))
+                yield {**place, "cand_pos": r["cand_pos"], **{c: r[c] for c in ("continues", *STATE)}}
+                continue
+            joined = None if r["hard"] else take(tail, values, r["continues"], same_name)
+            tail = values if joined is None else joined
+            yield {**place, "cand_pos": r["cand_pos"], "joins": joined is not None}
+        if leading or handed:
+            yield {**place, "summary": Piece(leading, same_name).summary(), "end": tail}
+
+
+def scanned(blocks: Iterator[dict], same_name):
+    """The bill open before each block that has undecided rows, from its chunk's sorted summaries."""
+    for _, group in groupby(blocks, key=itemgetter("chunk_id")):
+        tail = None
+        for r in group:
+            if r["summary"]:
+                yield {"chunk_id": r["chunk_id"], "blk": r["blk"], "before": tail}
+            tail = after(tail, r["summary"], same_name) if r["end"] is None else r["end"]
+
+
+def folded(rows: Iterator[dict], same_name):
+    """Decisions on the rows left undecided; ``before`` is the bill open before their block."""
+    for _, group in groupby(rows, key=itemgetter("chunk_id", "blk")):
+        tail = None
+        for at, r in enumerate(group):
+            values = [r[c] for c in STATE]
+            joined = take(tail if at else r["before"], values, r["continues"], same_name)
+            tail = values if joined is None else joined
+            yield {"chunk_id": r["chunk_id"], "cand_pos": r["cand_pos"], "joins": joined is not None}
 
 
 def boundary_facts(bills: DataFrame, pages: DataFrame, p: Profile) -> DataFrame:
@@ -97,12 +188,13 @@ def boundary_facts(bills: DataFrame, pages: DataFrame, p: Profile) -> DataFrame:
 
     ``pages`` must list every page read, also those without bills: (chunk_id, page_index, marker).
     """
-    here = pages.select("chunk_id", F.col("page_index").alias("chunkPageIndex"), "marker")
-    before = pages.select(
-        "chunk_id",
-        (F.col("page_index") + 1).alias("chunkPageIndex"),
-        F.col("marker").alias("prev_marker"),
-        F.lit(True).alias("prev_read"),
+    # Each page goes to its own place and to that of the page after it.
+    here = pages.select(
+        "chunk_id", "page_index", "marker", F.explode(F.array(F.lit(0), F.lit(1))).alias("ahead")
+    ).groupBy("chunk_id", (F.col("page_index") + F.col("ahead")).alias("chunkPageIndex")).agg(
+        F.max(F.when(F.col("ahead") == 0, F.col("marker"))).alias("marker"),
+        F.max(F.when(F.col("ahead") == 1, F.col("marker"))).alias("prev_marker"),
+        F.max(F.col("ahead") == 1).alias("prev_read"),
     )
     rows = bills.select(
         *BILL_KEY, "chunkPageIndex",
@@ -115,10 +207,7 @@ def boundary_facts(bills: DataFrame, pages: DataFrame, p: Profile) -> DataFrame:
         F.max("cand_pos").alias("last_pos"),
         F.count(F.lit(1)).alias("n_on_page"),
     )
-    edges = (
-        ends.join(here, ["chunk_id", "chunkPageIndex"], "left")
-        .join(before, ["chunk_id", "chunkPageIndex"], "left")
-    )
+    edges = ends.join(here, ["chunk_id", "chunkPageIndex"], "left")
     m, q = F.col("marker"), F.col("prev_marker")
     return rows.join(edges, ["chunk_id", "chunkPageIndex"]).select(
         *BILL_KEY, "chunkPageIndex", *STATE, "n_on_page",
@@ -131,89 +220,77 @@ def boundary_facts(bills: DataFrame, pages: DataFrame, p: Profile) -> DataFrame:
     )
 
 
-def _with_hard_breaks(facts: DataFrame) -> DataFrame:
-    """Mark rows that cannot join whatever the open bill looks like.
+def _hard(row: Column, before: Column) -> Column:
+    """Can this row join whatever the open bill looks like?  ``before`` is the row before it.
 
-    The row just before is part of the open bill, so an exact value it states is the open bill's
-    value too; a different one here is a conflict for certain.
+    That row is part of the open bill, so an exact value it states is the open bill's value too; a
+    different one here is a conflict for certain.
     """
-    prev = facts.select(
-        "chunk_id",
-        (F.col("cand_pos") + 1).alias("cand_pos"),
-        *[F.col(c).alias(f"p_{c}") for c in EXACT],
-        F.lit(True).alias("has_prev"),
-    )
-    stated = sum((F.col(c).isNotNull().cast("int") for c in STATE), F.lit(0))
+    stated = sum((row[c].isNotNull().cast("int") for c in STATE), F.lit(0))
     clash = F.lit(False)
     for c in EXACT:
-        clash = clash | F.coalesce(F.col(c) != F.col(f"p_{c}"), F.lit(False))
-    can = (
-        F.col("is_first") & F.col("prev_read") & F.coalesce("has_prev", F.lit(False))
-        & (F.col("continues") | (stated >= 2)) & ~clash
-    )
-    return facts.join(prev, BILL_KEY, "left").select(
-        *BILL_KEY, "chunkPageIndex", *STATE, "continues", (~can).alias("hard")
-    )
+        clash = clash | F.coalesce(row[c] != before[c], F.lit(False))
+    can = row["is_first"] & row["prev_read"] & before.isNotNull() & (row["continues"] | (stated >= 2)) & ~clash
+    return ~F.coalesce(can, F.lit(False))
 
 
-def _fold_once(rows: DataFrame, carry: DataFrame | None, p: Profile) -> DataFrame:
-    """One round over all blocks; ``carry`` gives a block the bill left open before it."""
-    if carry is None:
-        given = rows.withColumns({c: F.lit(None).cast("string") for c in _CARRY}).withColumn(
-            "has_carry", F.lit(False)
-        )
-    else:
-        given = rows.join(carry, ["chunk_id", "blk"], "left").withColumn(
-            "has_carry", F.coalesce("has_carry", F.lit(False))
-        )
-    lim = p.limits
-    args = (lim.name_prefix_chars, lim.name_same, lim.name_different)
-    ordered = given.repartition("chunk_id", "blk").sortWithinPartitions(
-        "chunk_id", "blk", "cand_pos"
-    )
-    chunk = rows.schema["chunk_id"].dataType.simpleString()
-    return ordered.mapInPandas(lambda it: fold_rows(it, *args), _DECISION.format(chunk=chunk))
-
-
-def _carry_of(decided: DataFrame) -> DataFrame:
-    """The bill open at the end of each block, addressed to the next block."""
-    last = decided.groupBy("chunk_id", "blk").agg(
-        F.max_by(F.struct(*STATE), "cand_pos").alias("s")
-    )
-    return last.select(
-        "chunk_id", (F.col("blk") + 1).alias("blk"),
-        *[F.col("s")[c].alias(f"in_{c}") for c in STATE],
-        F.lit(True).alias("has_carry"),
-    )
+def _verdicts(row: Column, before: Column, names: Column) -> Column:
+    """Does the row join a bill that is nothing but the row before it?"""
+    verdicts = [before[c] == row[c] for c in EXACT] + [names]
+    agree = sum((F.coalesce(v.cast("int"), F.lit(0)) for v in verdicts), F.lit(0))
+    conflict = sum((F.coalesce((~v).cast("int"), F.lit(0)) for v in verdicts), F.lit(0))
+    return (conflict == 0) & (row["continues"] | (agree >= 2))
 
 
 def merge_decisions(facts: DataFrame, p: Profile, block: int = BLOCK) -> DataFrame:
     """(chunk_id, cand_pos, joins): does the row continue the bill before it?
 
-    ``cand_pos`` must be gapless within a chunk.
+    ``cand_pos`` must be gapless within a chunk.  Rows that stand alone are left out.
     """
-    rows = settle(
-        _with_hard_breaks(facts).withColumn("blk", block_of(F.col("cand_pos"), block))
+    rule = name_rule(p)
+    row = F.struct(*STATE, "is_first", "prev_read", "continues")
+    near = neighbours(facts, ["chunk_id"], "cand_pos", row, {"b2": -2, "b1": -1, "a1": 1, "a2": 2}, width=block)
+    here = near.select(*BILL_KEY, row.alias("row"), "b2", "b1", "a1", "a2")
+    row, b1, b2, a1, a2 = (F.col(c) for c in ("row", "b1", "b2", "a1", "a2"))
+    # A row that is missing ends an island as a hard one does.
+    marked = here.select(
+        *BILL_KEY, "row", "b1", _hard(row, b1).alias("hard"), _hard(b1, b2).alias("b1_hard"),
+        _hard(a1, row).alias("a1_hard"), _hard(a2, a1).alias("a2_hard"),
+    ).where("not hard or not a1_hard")
+    # Written once: the pairs and the longer islands both read it.
+    marked = settle(marked.select(
+        *BILL_KEY, "row", "b1", "hard", "a1_hard",
+        F.when(F.col("hard"), F.col("a2_hard")).otherwise(F.col("b1_hard") & F.col("a1_hard")).alias("short"),
+    ))
+    pairs = marked.where("short and not hard").select(
+        *BILL_KEY, _verdicts(F.col("row"), F.col("b1"), names_agree(F.col("b1")["seller"], F.col("row")["seller"], p)).alias("joins")
     )
-    nxt = rows.select(
-        "chunk_id", (F.col("cand_pos") - 1).alias("cand_pos"), (~F.col("hard")).alias("next_open")
-    )
-    # Rows that can join, and the rows they could join to; everything else stays out of Python.
-    rows = rows.join(nxt, BILL_KEY, "left").where(
-        ~F.col("hard") | F.coalesce("next_open", F.lit(False))
-    ).drop("next_open")
-    decided = _fold_once(rows, None, p)
-    crossing = rows.where(~F.col("hard") & (F.col("cand_pos") % block == 0) & (F.col("cand_pos") > 0))
-    if crossing.isEmpty():
-        return decided.select(*BILL_KEY, "joins")
-    decided = settle(decided)
-    while True:
-        carry = _carry_of(decided)
-        again = _fold_once(rows, carry, p)
-        again = settle(again)
-        if _carry_of(again).exceptAll(carry).isEmpty():
-            return again.select(*BILL_KEY, "joins")
-        decided = again
+    blk = block_of(F.col("cand_pos"), block)
+    long = marked.where("not short").select(
+        *BILL_KEY, blk.alias("blk"), "hard", "a1_hard", (F.pmod(F.col("cand_pos"), F.lit(block)) == block - 1).alias("ends_block"),
+        "row.continues", *[F.col("row")[c].alias(c) for c in STATE])
+
+    name = long.schema["chunk_id"].dataType.simpleString()
+    kind = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[name]
+    key = [("chunk_id", kind), ("blk", pa.int64())]
+
+    def stream(df: DataFrame, by: list[str], order: list[str], fields, ddl: str, work) -> DataFrame:
+        schema = pa.schema(fields)
+        return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(
+            lambda batches: _out(schema, work(_rows(batches), lru_cache(maxsize=1 << 16)(rule))), f"chunk_id {name}, {ddl}")
+
+    first = settle(stream(
+        long, ["chunk_id", "blk"], ["cand_pos"],
+        [*key, ("cand_pos", pa.int64()), ("joins", pa.bool_()), ("continues", pa.bool_()), *[(c, pa.string()) for c in STATE],
+         ("summary", pa.list_(_ROW)), ("end", _STRINGS)],
+        f"blk long, cand_pos long, joins boolean, continues boolean, {', '.join(f'{c} string' for c in STATE)}, "
+        f"summary {_SUMMARY}, end array<string>", folded_blocks))
+    blocks = first.where("cand_pos is null").select("chunk_id", "blk", "summary", "end")
+    before = stream(blocks, ["chunk_id"], ["blk"], [*key, ("before", _STRINGS)], "blk long, before array<string>", scanned)
+    left = first.where("cand_pos is not null and joins is null").select("chunk_id", "blk", "cand_pos", "continues", *STATE)
+    late = stream(left.join(before, ["chunk_id", "blk"]), ["chunk_id", "blk"], ["cand_pos"],
+                  [key[0], ("cand_pos", pa.int64()), ("joins", pa.bool_())], "cand_pos long, joins boolean", folded)
+    return pairs.unionByName(first.where("joins is not null").select(*BILL_KEY, "joins")).unionByName(late)
 
 
 def merge_spanning(
@@ -291,19 +368,9 @@ def merge_pairwise(facts: DataFrame, p: Profile) -> DataFrame:
 
     Same answer as the fold for bills of two pages.  Names are compared by edit distance.
     """
-    from docrecon.functions.names import names_agree_by_edits
-
-    prev = facts.select(
-        "chunk_id", (F.col("cand_pos") + 1).alias("cand_pos"),
-        *[F.col(c).alias(f"p_{c}") for c in STATE],
-    )
-    j = facts.join(prev, BILL_KEY, "left")
-    verdicts = [F.col(f"p_{c}") == F.col(c) for c in EXACT]
-    verdicts.append(names_agree_by_edits(F.col("p_seller"), F.col("seller"), p))
-    agree = sum((F.coalesce(v.cast("int"), F.lit(0)) for v in verdicts), F.lit(0))
-    conflict = sum((F.coalesce((~v).cast("int"), F.lit(0)) for v in verdicts), F.lit(0))
-    joins = (
-        F.col("is_first") & F.col("prev_read") & (F.col("cand_pos") > 0)
-        & (conflict == 0) & (F.col("continues") | (agree >= 2))
-    )
-    return j.select(*BILL_KEY, joins.alias("joins"))
+    row = F.struct(*STATE, "continues")
+    near = neighbours(facts, ["chunk_id"], "cand_pos", row, {"before": -1})
+    row, before = F.struct(*STATE, "continues"), F.col("before")
+    names = names_agree_by_edits(before["seller"], F.col("seller"), p)
+    joins = F.col("is_first") & F.col("prev_read") & (F.col("cand_pos") > 0) & _verdicts(row, before, names)
+    return near.select(*BILL_KEY, joins.alias("joins"))

@@ -94,3 +94,37 @@ def consecutive_runs(
     marked = df.join(before, [*keys, pos], "left")
     start = F.when(F.col("__has").isNull(), F.col(pos))
     return running_last(marked, keys, [pos], start, name).drop("__has")
+
+
+def neighbours(
+    df: DataFrame, keys: Sequence[str], pos: str, value: Column, names: dict[str, int], *, width: int = BLOCK
+) -> DataFrame:
+    """Add the ``value`` of the rows at ``pos + step`` for each ``name: step``; null where there is none.
+
+    Rows near the edge of a block are copied to the block beside it, so one exchange serves all steps
+    in both directions and no key sits in one task.  ``(keys, pos)`` must be unique, ``pos`` whole.
+    """
+    keys = list(keys)
+    back, ahead = max(0, -min(names.values())), max(0, max(names.values()))
+    home, place = block_of(F.col(pos), width), F.pmod(F.col(pos), F.lit(width))
+    beside = [home]
+    if back:
+        beside.append(F.when(place >= width - back, home + 1))
+    if ahead:
+        beside.append(F.when(place < ahead, home - 1))
+    rows = df.withColumn("__v", F.struct(F.col(pos).alias("at"), value.alias("v"))).withColumn(
+        _B, F.explode(F.array_compact(F.array(*beside)))
+    )
+    inside = Window.partitionBy(*keys, _B).orderBy(pos)
+    steps = sorted({d for k in names.values() for d in (range(1, k + 1) if k > 0 else range(k, 0))})
+    seen = {d: (F.lead if d > 0 else F.lag)("__v", abs(d)).over(inside) for d in steps}
+    wide = rows.select("*", *[c.alias(f"__n{d}") for d, c in seen.items()]).where(F.col(_B) == home)
+
+    def found(k: int) -> Column:
+        # A gap moves rows closer in the window; the one at the exact position is looked for.
+        near = [d for d in steps if (d > 0) == (k > 0)]
+        return F.coalesce(*[
+            F.when(F.col(f"__n{d}")["at"] == F.col(pos) + k, F.col(f"__n{d}")["v"]) for d in near
+        ])
+
+    return wide.select(*df.columns, *[found(k).alias(name) for name, k in names.items()])

@@ -1,7 +1,7 @@
 import random
 from difflib import SequenceMatcher
 
-from docrecon.operators.merge import boundary_facts, merge_decisions, merge_spanning
+from docrecon.operators.merge import Piece, after, boundary_facts, merge_decisions, merge_spanning, take
 from docrecon.operators.pages import page_facts
 from docrecon.profile import Profile
 
@@ -164,3 +164,59 @@ def test_fold_equals_sequential_rule(spark):
         for name, heads in want.items():
             here = {r[1] for r in rows if r[0] == name}
             assert sorted(p for p in here if (name, p) not in joins) == heads, (name, block)
+
+
+# --- islands over many blocks -----------------------------------------------------------------
+
+def chain(rng, n, names):
+    """A long chunk whose pages all continue: one island, broken only by what the bill has gathered."""
+    rows, pages, chunk, markers = [], [], [], {}
+    for i in range(n):
+        markers[i] = (i + 1, n)
+        pages.append(("hot", i, f"page {i + 1} of {n}"))
+        v = {
+            "originalDocumentNumber": rng.choice([None] * 6 + ["n1"]) if i % 97 else "n2",
+            "sellerName": rng.choice(names), "originalTotal": None,
+            "documentDate": rng.choice([None] * 5 + ["2026-01-01"]) if i % 61 else "2026-01-02",
+        }
+        if i and chunk[-1][2]["originalDocumentNumber"] not in (None, v["originalDocumentNumber"]):
+            v["originalDocumentNumber"] = None
+        if i and chunk[-1][2]["documentDate"] not in (None, v["documentDate"]):
+            v["documentDate"] = None
+        rows.append(bill("hot", i, i, **v))
+        chunk.append((i, i, v))
+    return rows, pages, sequential(chunk, list(range(n)), markers)
+
+
+def test_one_island_over_many_blocks(spark):
+    rng = random.Random(11)
+    rows, pages, heads = chain(rng, 600, ["golden harvest stores", "golden harvest store", None, "golden marvest storez"])
+    assert 10 < len(heads) < 300
+    facts = boundary_facts(bills_df(spark, rows), pages_df(spark, pages).selectExpr(
+        "chunk_id", "page_index", "named_struct('page', page_index + 1, 'of', 600) AS marker"), P)
+    facts = facts.cache()
+    jobs = []
+    for block in (6, 12):
+        spark.sparkContext.setJobGroup(f"blocks of {block}", "")
+        got = merge_decisions(facts, P, block).where("joins").select("cand_pos").collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"blocks of {block}")))
+        assert sorted(set(range(600)) - {r.cand_pos for r in got}) == heads
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # 100 blocks need no more rounds than 50; adaptive plans run a job for each exchange that has rows.
+    assert jobs[0] <= jobs[1] + 3 and jobs[0] < 30, jobs
+
+
+def test_summaries_give_the_bill_open_after_a_block():
+    rng = random.Random(5)
+    same = lambda a, b: True if a[0] == b[0] else None if {a[0], b[0]} == {"x", "y"} else False
+    draw = lambda p, values: rng.choice(values) if rng.random() < p else None
+    for _ in range(400):
+        rows = [(rng.random() < 0.5, [draw(0.3, ["1", "2"]), draw(0.4, ["x1", "y1", "x2", "z"]), draw(0.3, ["5"]), draw(0.3, ["d", "e"])])
+                for _ in range(rng.randint(1, 12))]
+        summary = Piece(rows, same).summary()
+        for _ in range(5):
+            tail = [draw(0.5, ["1", "2"]), draw(0.5, ["x1", "y2", "z"]), draw(0.5, ["5", "6"]), draw(0.5, ["d"])]
+            now = tail
+            for continues, values in rows:
+                now = take(now, values, continues, same) or values
+            assert after(tail, summary, same) == now

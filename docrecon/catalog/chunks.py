@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docrecon.catalog.demo import PROSE, RECEIPTS
 from docrecon.catalog.registry import query, table
@@ -14,11 +15,12 @@ from docrecon.functions.fields import val
 from docrecon.operators import merge, spans, tickets
 from docrecon.operators.assemble import renumber
 from docrecon.operators.certificates import candidate_on_page
-from docrecon.operators.contract import response_documents, strip_internal
+from docrecon.operators.contract import response_documents, response_lines, strip_internal
 from docrecon.operators.ledger import new_ledger
 from docrecon.operators.ordered import consecutive_runs
 from docrecon.operators.rounds import settle
 from docrecon.profile import CERTIFICATE_ROLE, EVIDENCE_ROLES
+from docrecon.schema import LINE_ITEM
 
 
 @query(
@@ -342,6 +344,59 @@ def response_nest(spark, d):
     )
 
 
+_WHOLE_PAGE_SQL = """concat('{"chunkPageIndex":', turn, ',"xMin":0,"yMin":0,"xMax":1000,"yMax":1000}')"""
+
+
+@query(
+    "response_lines",
+    f"""with {_OWNED_SQL},
+    chunk as (select distinct conv_id from conversations),
+    bill as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as nth
+             from conversations where role = 'user'),
+    toll as (select conv_id, turn, unnest(range(turn % 3)) as i from bill),
+    tag as (select conv_id, cand_pos, turn, 2 as stage, 'receipt' as role from owned where length(text) % 2 = 0
+      union all select conv_id, cand_pos, turn, 1, 'transfer_slip' from owned where length(text) % 3 = 0),
+    line as (
+      select conv_id, -9223372036854775808 as cand_pos, 0 as kind, 0 as a, 0 as b, 0 as c, '' as d,
+        concat('{{"chunk_id":', to_json(conv_id), ',"response":{{"billCandidates":[') as line from chunk
+      union all select conv_id, turn, 1, 0, 0, 0, '', concat(case when nth > 1 then ',' else '' end,
+        '{{"candidateIndex":', turn, ',"lineItems":[') from bill
+      union all select conv_id, turn, 2, 1, i, 0, '', concat(case when i > 0 then ',' else '' end,
+        '{{"description":{{"value":"TOLLFARE T', i, '","confidence":0.9}},"quantity":{{"value":null,"confidence":1.0}},',
+        '"unit":{{"value":null,"confidence":1.0}},"unitPrice":{{"value":null,"confidence":1.0}},',
+        '"discount":{{"value":null,"confidence":1.0}},"amount":{{"value":', i, '.5,"confidence":0.9}}}}') from toll
+      union all select conv_id, turn, 3, 0, 0, 0, '', '],"regions":[' from bill
+      union all select conv_id, cand_pos, 4, turn, 0, 0, '',
+        concat(case when turn > min(turn) over (partition by conv_id, cand_pos) then ',' else '' end, {_WHOLE_PAGE_SQL}) from owned
+      union all select conv_id, turn, 5, 0, 0, 0, '', '],"evidence":[' from bill
+      union all select conv_id, cand_pos, 6, stage, turn, 0, role, concat(
+        case when row_number() over (partition by conv_id, cand_pos order by stage, turn) > 1 then ',' else '' end,
+        '{{"role":"', role, '","regions":[', {_WHOLE_PAGE_SQL}, ']}}') from tag
+      union all select conv_id, turn, 7, 0, 0, 0, '', ']}}' from bill
+      union all select conv_id, 9223372036854775807, 8, 0, 0, 0, '', ']}}}}' from chunk)
+    select conv_id as chunk_id, cand_pos::bigint as cand_pos, kind::int as kind, a::bigint as a, b::bigint as b,
+      c::bigint as c, d, line from line""",
+)
+def response_lines_query(spark, d):
+    """User turns as bills with the pages after them, made-up tolls and tags by text length."""
+    pages, bills, owned = _owned(spark, d)
+    items = F.array().cast(T.ArrayType(LINE_ITEM))
+    ledger = new_ledger(bills.select(
+        "chunk_id", "cand_pos", F.col("page_index").alias("chunkPageIndex"),
+        F.col("cand_pos").cast("int").alias("candidateIndex"), items.alias("lineItems")))
+    tolls = bills.select("chunk_id", "cand_pos", F.explode(F.expr("sequence(0L, cand_pos % 3)")).alias("item_no")).where(
+        "item_no < cand_pos % 3")
+    tags = [(2, "receipt"), (3, "transfer_slip")]
+    held = owned.join(pages.select("chunk_id", "page_index", F.length("text").alias("chars")), ["chunk_id", "page_index"])
+    evidence = held.select("chunk_id", "cand_pos", F.explode(F.array_compact(F.array(*[
+        F.when(F.col("chars") % n == 0, F.lit(role)) for n, role in tags]))).alias("role"), "page_index")
+    ledger = ledger.but(
+        spans=owned, evidence=evidence,
+        tickets=tolls.select("chunk_id", "cand_pos", "item_no", F.concat(F.lit("T"), "item_no").alias("ref"),
+                             (F.col("item_no") + 0.5).alias("amount"), F.lit(None).cast("string").alias("ticket_date")))
+    return response_lines(pages, ledger, heads=["candidateIndex"]).select("chunk_id", "cand_pos", "kind", "at.*", "line")
+
+
 @query(
     "contract_columns",
     """select conv_id as chunk_id, turn::int as "candidateIndex", turn::int as "chunkPageIndex"

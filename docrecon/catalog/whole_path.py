@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docrecon.catalog.registry import query, table
 from docrecon.catalog.shapes import event_pages
 from docrecon.functions.fields import typed_cell, val
-from docrecon.operators.contract import nest, validate_contract
+from docrecon.operators.contract import ledger_errors
 from docrecon.plans.reconcile import reconcile
 from docrecon.profile import OwnParty, Profile
 from docrecon.schema import CELL_FIELDS, LINE_ITEM
@@ -88,14 +88,12 @@ def _ledger(spark, d):
 def reconcile_bills(spark, d):
     """Reconciled bills with their page counts and contract check."""
     _, ledger = _ledger(spark, d)
-    nested = nest(ledger)
     roles = (*PROFILE.declared_roles, "withholding_certificate")
-    return validate_contract(nested, roles).select(
+    return ledger_errors(ledger, roles).select(
         "chunk_id", "cand_pos", "candidateIndex", "chunkPageIndex",
         val("originalTotal").alias("total"), val("withholdingTax").alias("withholding"),
         val("sellerTaxId").alias("seller_id"), val("payeeType").alias("payee"),
-        F.size("regions").alias("pages"), F.size("evidence").alias("tags"),
-        F.size("lineItems").alias("items"), "ok", "error",
+        "pages", "tags", "items", "ok", "error",
     )
 
 
@@ -108,6 +106,6 @@ def reconcile_audit(spark, d):
 
 @query("reconcile_responses")
 def reconcile_responses(spark, d):
-    """The contract JSON per chunk."""
+    """The contract JSON per chunk, line by line."""
     pages, ledger = _ledger(spark, d)
     return ledger_responses(ledger, pages)

@@ -111,6 +111,6 @@ def attach_cards(ledger: Ledger, facts: DataFrame, p: Profile) -> Ledger:
         bills=out,
         spans=ledger.spans.unionByName(pages.select(*ledger.spans.columns)),
         evidence=ledger.evidence.unionByName(
-            pages.withColumn("role", F.lit("id_document")).select(*ledger.evidence.columns)
+            pages.withColumns({"role": F.lit("id_document"), "rank": F.lit(0)}).select(*ledger.evidence.columns)
         ),
     ).log(audit_rows(audit, "card"))

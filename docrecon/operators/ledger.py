@@ -23,7 +23,7 @@ AUDIT_COLUMNS = (
 class Ledger:
     """``bills``: cells and nested line items, one row per bill, ordered by ``cand_pos``.
     ``spans``: (chunk_id, cand_pos, page_index), pages owned besides or including the own page.
-    ``evidence``: (chunk_id, cand_pos, role, page_index).
+    ``evidence``: (chunk_id, cand_pos, role, page_index, rank); ``rank`` orders the roles of a page.
     ``tickets``: (chunk_id, cand_pos, item_no, ref, amount, ticket_date), items of summed toll rows.
     ``audit``: one row per decision.
     """
@@ -54,7 +54,7 @@ def new_ledger(bills: DataFrame) -> Ledger:
     return Ledger(
         bills=bills,
         spans=spans,
-        evidence=_empty(bills, "chunk_id string, cand_pos long, role string, page_index int"),
+        evidence=_empty(bills, "chunk_id string, cand_pos long, role string, page_index int, rank int"),
         tickets=_empty(
             bills,
             "chunk_id string, cand_pos long, item_no long, ref string, amount double, "

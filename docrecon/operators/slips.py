@@ -111,8 +111,8 @@ def match_slips(ledger: Ledger, facts: DataFrame, p: Profile) -> Ledger:
     standing = kept.join(on_slip, ["chunk_id", "chunkPageIndex"], "left_semi").select(
         *BILL_KEY, F.col("chunkPageIndex").alias("page_index")
     )
-    tags = folded.select(*BILL_KEY, "page_index").unionByName(standing).withColumn(
-        "role", F.lit("transfer_slip")
+    tags = folded.select(*BILL_KEY, "page_index").unionByName(standing).withColumns(
+        {"role": F.lit("transfer_slip"), "rank": F.lit(0)}
     )
     audit = judged.select(
         "chunk_id", F.col("slip_id").alias("page_index"), F.col("bill_id").alias("cand_pos"),

@@ -48,7 +48,11 @@ def attach_orphans(pages: DataFrame, spans: DataFrame, bills: DataFrame) -> Data
 
 
 def page_span(spans: DataFrame) -> DataFrame:
-    """Sorted unique pages per bill, one row for each bill wherever its pages lie."""
+    """Sorted unique pages per bill, one row for each bill wherever its pages lie.
+
+    For reports on bills of few pages: a row holds all pages of its bill.  The whole path keeps
+    spans as rows.
+    """
     return (
         spans.distinct()
         .groupBy(*BILL_KEY)

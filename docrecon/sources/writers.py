@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.operators.contract import CONTRACT_KEYS, nest, response_documents
+from docrecon.operators.contract import LINE_ORDER, response_lines
 from docrecon.operators.ledger import Ledger
 
 
-def ledger_responses(ledger: Ledger, chunks: DataFrame, role_rank: DataFrame | None = None) -> DataFrame:
-    """Contract JSON per chunk from a reconciled ledger."""
-    nested = nest(ledger, role_rank)
-    keys = [c for c in CONTRACT_KEYS if c in nested.columns]
-    return response_documents(chunks, nested, "cand_pos", keys)
+def ledger_responses(ledger: Ledger, chunks: DataFrame) -> DataFrame:
+    """Contract JSON of every chunk of a reconciled ledger, as ordered lines."""
+    return response_lines(chunks, ledger)
 
 
-def write_response(responses: DataFrame, path: str) -> None:
-    """One JSON document per line, with its chunk and part."""
-    responses.write.mode("errorifexists").json(path)
+def write_response(lines: DataFrame, path: str) -> None:
+    """Text files whose lines, in order of file name, are one JSON document after another.
+
+    Lines are sorted by range over all tasks and streamed out, so a document may begin in one file
+    and end in the next, and no task holds a chunk or a bill.
+    """
+    ordered = lines.repartitionByRange(*LINE_ORDER).sortWithinPartitions(*LINE_ORDER)
+    ordered.select("line").write.mode("errorifexists").text(path)
 
 
 def write_scoring_inputs(golden: DataFrame, predictions: DataFrame, out: str) -> None:

@@ -77,6 +77,54 @@ def model_candidate(**values):
     )
 
 
+def documents(folder):
+    """Responses by chunk, from the files in order of name."""
+    text, out = "".join(f.read_text(encoding="utf-8") for f in sorted(folder.glob("part-*"))), {}
+    while text := text.strip():
+        doc, end = json.JSONDecoder().raw_decode(text)
+        assert set(doc) == {"chunk_id", "response"} and doc["chunk_id"] not in out
+        out[doc["chunk_id"]] = doc["response"]
+        text = text[end:]
+    return out
+
+
+def test_one_response_at_every_size(spark, tmp_path):
+    """One bill that owns nearly all pages, and bills on either side of position 500, in a document each."""
+    from docrecon.operators.contract import ledger_errors
+
+    hot = [bill("hot", 0, 0, originalTotal=5), bill("hot", 1, 19_999, originalTotal=6)]
+    many = [bill('m"any', i, i, originalTotal=i) for i in range(700)]
+    ledger = new_ledger(bills_df(spark, hot + many))
+    more = spark.range(20_000).selectExpr("'hot' AS chunk_id", "cast(0 as bigint) AS cand_pos", "cast(id as int) AS page_index")
+    tag = lambda role, n, rank: more.where(f"page_index % {n} = 0").selectExpr(
+        "chunk_id", "cand_pos", f"'{role}' AS role", "page_index", f"{rank} AS rank")
+    # Headings of a page keep their order; a role found twice counts once.
+    tags = tag("receipt", 2, 1).unionByName(tag("cash_bill", 10, 3)).unionByName(tag("receipt", 4, 2)).unionByName(
+        tag("transfer_slip", 5, 0))
+    tolls = spark.createDataFrame([("hot", 0, i, f"r{i}", i + 0.5, None) for i in range(1200)], ledger.tickets.schema)
+    ledger = ledger.but(spans=ledger.spans.unionByName(more.where("page_index < 19999")), evidence=tags, tickets=tolls)
+    chunks = spark.createDataFrame([("hot",), ('m"any',), ("none",)], "chunk_id string")
+    lines = writers.ledger_responses(ledger, chunks)
+    assert "collect_" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    writers.write_response(lines, str(tmp_path / "out"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "out").glob("part-*"))) > 1
+    docs = documents(tmp_path / "out")
+    assert docs["none"] == {"billCandidates": []}
+    assert [b["originalTotal"]["value"] for b in docs['m"any']["billCandidates"]] == list(range(700))
+    first, second = docs["hot"]["billCandidates"]
+    assert [r["chunkPageIndex"] for r in first["regions"]] == list(range(19_999))
+    assert [e["role"] for e in first["evidence"]] == ["transfer_slip"] * 4000 + (["receipt", "cash_bill"] + ["receipt"] * 4) * 2000
+    assert [i["amount"]["value"] for i in first["lineItems"]] == [i + 0.5 for i in range(1200)]
+    assert len(second["regions"]) == 1 and second["evidence"] == [] and second["lineItems"] == []
+    got = {(r.chunk_id, r.cand_pos): r for r in ledger_errors(ledger, EVIDENCE_ROLES).collect()}
+    assert (got["hot", 0].pages, got["hot", 0].tags, got["hot", 0].items, got["hot", 0].ok) == (19_999, 16_000, 1200, True)
+    wrong = ledger.but(evidence=tags.selectExpr("chunk_id", "cand_pos", "'else' AS role", "page_index", "rank"), spans=more.limit(1))
+    got = {(r.chunk_id, r.cand_pos): r.error for r in ledger_errors(wrong, EVIDENCE_ROLES).collect()}
+    assert got["hot", 0] == "evidence/role" and got["hot", 1] == "regions"
+
+
 def test_whole_path_and_sinks(spark, tmp_path):
     filler = "a page long enough to have said something, with words that differ from line to line here. "
     texts = {
@@ -112,8 +160,7 @@ def test_whole_path_and_sinks(spark, tmp_path):
     chunks = spark.createDataFrame([("up",), ("none",)], "chunk_id string")
     responses = writers.ledger_responses(ledger, chunks)
     writers.write_response(responses, str(tmp_path / "out"))
-    docs = {r.chunk_id: json.loads(r.response)
-            for r in spark.read.json(str(tmp_path / "out")).collect()}
+    docs = documents(tmp_path / "out")
     assert docs["none"] == {"billCandidates": []}
     assert docs["up"]["billCandidates"][0]["sellerTaxId"]["value"] == A
     reasons = {(r.step, r.reason) for r in ledger.audit.collect()}

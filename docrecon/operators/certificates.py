@@ -77,21 +77,39 @@ def _bucket(v):
     return F.floor(v * 100).cast("long")
 
 
-def find_targets(certs: DataFrame, bills: DataFrame, bill_ids: DataFrame, p: Profile) -> DataFrame:
-    """(chunk_id, page_index, cand_pos) for every certificate with exactly one fitting purchase.
+ASK = ["chunk_id", "base", "tax_id", "day", "name"]
 
-    ``bill_ids``: (chunk_id, cand_pos, tax_id, since); an id counts for certificates on pages after
-    ``since``.
-    """
-    known = bill_ids.groupBy(*BILL_KEY).agg(F.min("since").alias("first_since"))
+
+def bill_side(bills: DataFrame, p: Profile) -> DataFrame:
+    """What certificates are compared with: keys, base, day, normal name, and who the purchase is."""
     base, day = val("amountBeforeVat"), val("documentDate")
-    side = bills.select(
+    return bills.select(
         *BILL_KEY,
         base.alias("base"),
         text.blank_to_null(day).alias("day"),
         norm_name(val("sellerName"), p.branch_suffix).alias("name"),
         F.struct(val("sellerTaxId").alias("i"), base.alias("b"), day.alias("d")).alias("who"),
-    ).join(known, BILL_KEY, "left")
+    )
+
+
+def find_targets(certs: DataFrame, bills: DataFrame, bill_ids: DataFrame, p: Profile) -> DataFrame:
+    """(chunk_id, page_index, cand_pos) for every certificate with exactly one fitting purchase.
+
+    ``bill_ids``: (chunk_id, cand_pos, tax_id, since); an id counts for certificates on pages after
+    ``since``.
+    """
+    return targets_among(certs, bill_side(bills, p), bill_ids, p)
+
+
+def targets_among(certs: DataFrame, side: DataFrame, bill_ids: DataFrame, p: Profile) -> DataFrame:
+    """``find_targets`` on ``bill_side``.
+
+    Certificates that state the same are one question, and bills that look the same under a key one
+    answer, so a join meets distinct questions and answers however often either is repeated.  Only
+    answers that hold for some pages and not for others meet single certificates.
+    """
+    known = bill_ids.groupBy(*BILL_KEY).agg(F.min("since").alias("first_since"))
+    side = side.join(known, BILL_KEY, "left")
     # Id part of the key: c = the certificate is silent, b = the bill is silent, else the id.
     with_id = side.join(bill_ids, BILL_KEY).select(
         *side.columns, F.concat(F.lit("="), "tax_id").alias("k_id"), F.col("since").alias("after"),
@@ -118,21 +136,6 @@ def find_targets(certs: DataFrame, bills: DataFrame, bill_ids: DataFrame, p: Pro
                 F.struct(F.concat(F.lit("="), "day").alias("k"), F.lit(1).alias("eq")))
     )
     eq_base = F.col("base").isNotNull().cast("int")
-    looks = (
-        emitted.withColumn("d", F.explode(days))
-        .select(
-            "chunk_id", "cand_pos", "who", "name", "base", "after", "upto",
-            _key(k_base, F.col("k_id"), F.col("d.k")).alias("key"),
-            (eq_base + F.col("eq_id") + F.col("d.eq")).alias("exact"),
-        )
-        .where("exact > 0")
-        .groupBy("chunk_id", "key", "exact", "name", "base", "after", "upto")
-        .agg(
-            F.min("cand_pos").alias("cand_pos"),
-            F.min("who").alias("who_min"),
-            F.max("who").alias("who_max"),
-        )
-    )
     c_base = F.concat(
         F.array(F.lit("b")),
         F.transform(
@@ -146,73 +149,108 @@ def find_targets(certs: DataFrame, bills: DataFrame, bill_ids: DataFrame, p: Pro
     c_day = F.when(F.col("day").isNull(), F.array(F.lit("c"))).otherwise(
         F.array(F.lit("b"), F.concat(F.lit("="), "day"))
     )
+    # A question's text names it, nulls included.
+    named = certs.where(F.col("base").isNotNull()).withColumn(
+        "ask", F.to_json(F.struct("base", "tax_id", "day", "name"), {"ignoreNullFields": "false"}))
     asks = (
-        certs.where(F.col("base").isNotNull())
-        .select("chunk_id", "page_index", F.col("base").alias("c_base"),
-                F.col("name").alias("c_name"), F.explode(c_base).alias("kb"),
+        named.select("ask", *ASK).distinct()
+        .select("chunk_id", "ask", F.col("base").alias("c_base"), F.col("name").alias("c_name"), F.explode(c_base).alias("kb"),
                 "base", "tax_id", "day")
-        .select("chunk_id", "page_index", "c_base", "c_name", "kb", "day",
-                F.explode(c_id).alias("ki"))
-        .select("chunk_id", "page_index", "c_base", "c_name", "kb", "ki",
-                F.explode(c_day).alias("kd"))
-        .select("chunk_id", "page_index", "c_base", "c_name",
-                _key(F.col("kb"), F.col("ki"), F.col("kd")).alias("key"))
-    )
-    pairs = asks.join(looks, ["chunk_id", "key"]).where(
-        (F.col("page_index") > F.col("after"))
-        & (F.col("upto").isNull() | (F.col("page_index") <= F.col("upto")))
-        & (F.col("base").isNull()
-           | (F.abs(F.col("base") - F.col("c_base")) < p.limits.certificate_money))
-    )
-    same = names_agree(F.col("c_name"), F.col("name"), p)
-    hits = pairs.withColumn("same", same).where(
+        .select("chunk_id", "ask", "c_base", "c_name", "kb", "day", F.explode(c_id).alias("ki"))
+        .select("chunk_id", "ask", "c_base", "c_name", "kb", "ki", F.explode(c_day).alias("kd"))
+        .select("chunk_id", "ask", "c_base", "c_name", _key(F.col("kb"), F.col("ki"), F.col("kd")).alias("key"))
+    )
+    looks = (
+        emitted.withColumn("d", F.explode(days))
+        .select(
+            "chunk_id", "cand_pos", "who", "name", "base", "after", "upto",
+            _key(k_base, F.col("k_id"), F.col("d.k")).alias("key"),
+            (eq_base + F.col("eq_id") + F.col("d.eq")).alias("exact"),
+        )
+        .where("exact > 0")
+        .join(asks.select("chunk_id", "key").distinct(), ["chunk_id", "key"], "left_semi")
+        .groupBy("chunk_id", "key", "exact", "name", "base", "after", "upto")
+        .agg(
+            F.min("cand_pos").alias("cand_pos"),
+            F.min("who").alias("who_min"),
+            F.max("who").alias("who_max"),
+        )
+    )
+    near = asks.join(looks, ["chunk_id", "key"]).where(
+        F.col("base").isNull() | (F.abs(F.col("base") - F.col("c_base")) < p.limits.certificate_money)
+    ).withColumn("same", names_agree(F.col("c_name"), F.col("name"), p))
+    hits = near.where(
         F.coalesce(F.col("same"), F.lit(True))
         & (F.col("exact") + F.coalesce(F.col("same").cast("int"), F.lit(0)) >= 2)
-    )
+    ).groupBy("chunk_id", "ask", "after", "upto").agg(
+        F.min("cand_pos").alias("cand_pos"), F.min("who_min").alias("a"), F.max("who_max").alias("z"))
+    pages = named.select("chunk_id", "ask", "page_index")
     return (
-        hits.groupBy("chunk_id", "page_index")
-        .agg(F.min("cand_pos").alias("cand_pos"), F.min("who_min").alias("a"),
-             F.max("who_max").alias("z"))
+        pages.join(hits, ["chunk_id", "ask"]).where(
+            (F.col("page_index") > F.col("after")) & (F.col("upto").isNull() | (F.col("page_index") <= F.col("upto"))))
+        .groupBy("chunk_id", "page_index")
+        .agg(F.min("cand_pos").alias("cand_pos"), F.min("a").alias("a"), F.max("z").alias("z"))
         .where(F.col("a").eqNullSafe(F.col("z")))
         .select("chunk_id", "page_index", "cand_pos")
     )
 
 
+def touched_by(certs: DataFrame, changed: DataFrame, side: DataFrame) -> DataFrame:
+    """Certificates that a change of ids may concern: they state an id, stand after the page that
+    brought it, and their base fits a bill concerned.
+
+    ``changed``: (chunk_id, cand_pos, since).  Of the bills with one base the earliest change counts,
+    so a certificate meets four rows at most.
+    """
+    bucket = F.coalesce(_bucket(F.col("base")).cast("string"), F.lit("b"))
+    since = side.select(*BILL_KEY, bucket.alias("k")).join(changed.select(*BILL_KEY, "since"), BILL_KEY).groupBy(
+        "chunk_id", "k").agg(F.min("since").alias("since"))
+    here = _bucket(F.col("base"))
+    asked = certs.where(F.col("base").isNotNull() & F.col("tax_id").isNotNull()).select(
+        "chunk_id", "page_index",
+        F.explode(F.array(F.lit("b"), *[(here + k).cast("string") for k in (-1, 0, 1)])).alias("k"))
+    hit = asked.join(since, ["chunk_id", "k"]).where(F.col("page_index") > F.col("since"))
+    return certs.join(hit.select("chunk_id", "page_index").distinct(), ["chunk_id", "page_index"], "left_semi")
+
+
 def link_certificates(ledger: Ledger, facts: DataFrame, p: Profile) -> tuple[DataFrame, DataFrame]:
     """(certificates, targets).
 
     A page that is attached joins its bill's pages, so its ids count for that bill when *later*
-    certificates are judged.  Rounds repeat with those ids until nothing changes; one is enough
-    unless an attached page brings its bill a new id.
+    certificates are judged.  All certificates are judged once.  After that only those are judged
+    again that an id gained or lost in the round before may concern, until none is left; each round
+    settles at least the first of these pages, so rounds end.
     """
     certs = settle(read_certificates(facts, ledger.bills, p))
     cert_pages = certs.select("chunk_id", F.col("page_index").alias("chunkPageIndex"))
     bills = ledger.bills.join(cert_pages, ["chunk_id", "chunkPageIndex"], "left_anti")
+    side = settle(bill_side(bills, p))
     own = settle(tax_ids_for(bills, ledger.spans, facts, p))
     base_ids = own.withColumn("since", F.lit(ALWAYS))
-    targets = settle(find_targets(certs, bills, base_ids, p))
+    targets = settle(targets_among(certs, side, base_ids, p))
 
-    printed = facts.where(F.col("is_certificate") & (F.size("ids") > 0)).select(
+    printed = settle(facts.where(F.col("is_certificate") & (F.size("ids") > 0)).select(
         "chunk_id", "page_index", F.explode("ids").alias("tax_id")
-    )
-    last = certs.groupBy("chunk_id").agg(F.max("page_index").alias("last_cert"))
+    ))
+    gains = [*BILL_KEY, "tax_id", "since"]
 
     def gained(found: DataFrame) -> DataFrame:
         new = found.join(printed, ["chunk_id", "page_index"]).join(
             own, [*BILL_KEY, "tax_id"], "left_anti"
         )
-        return new.groupBy(*BILL_KEY, "tax_id").agg(F.min("page_index").alias("since"))
+        return settle(new.groupBy(*BILL_KEY, "tax_id").agg(F.min("page_index").alias("since")))
 
-    extra = gained(targets)
-    if extra.join(last, "chunk_id").where("since < last_cert").isEmpty():
-        return certs, targets
+    before, now = None, gained(targets)
     while True:
-        again = settle(
-            find_targets(certs, bills, base_ids.unionByName(gained(targets)), p)
-        )
-        if again.exceptAll(targets).isEmpty() and targets.exceptAll(again).isEmpty():
-            return certs, again
-        targets = again
+        changed = now if before is None else now.join(before, gains, "left_anti").unionByName(
+            before.join(now, gains, "left_anti"))
+        touched = settle(touched_by(certs, changed, side))
+        if touched.isEmpty():
+            return certs, targets
+        again = targets_among(touched, side, base_ids.unionByName(now), p)
+        rest = targets.join(touched.select("chunk_id", "page_index"), ["chunk_id", "page_index"], "left_anti")
+        targets = settle(rest.unionByName(again))
+        before, now = now, gained(targets)
 
 
 def apply_certificates(ledger: Ledger, facts: DataFrame, p: Profile) -> Ledger:

@@ -57,14 +57,16 @@ def toxic_words(docs: DataFrame, labels: DataFrame) -> list[str]:
 
     Of the labelled texts that hold such a word, a share of PRECISION or more is toxic, and by the
     Chernoff bound fewer than CHANCE of all words would reach its counts by chance.  All labelled
-    rows count; their texts meet the labels in one join, and only the words found reach the driver.
+    rows count; the distinct words of a text, not the text, meet the labels, by one kind of join at
+    every size, and only the words found reach the driver.
     """
     known = labels.where("toxic is not null").groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
     words = F.array_distinct(F.transform(word_list(F.coalesce("text", F.lit(""))), plain))
     # Every text holds the empty word, whose counts are those of the classes.
     words = F.array_union(words, F.array(F.lit("")))
     counts = settled(
-        docs.join(known, "doc_id").select("toxic", F.explode(words).alias("word")).groupBy("word").agg(
+        docs.select("doc_id", words.alias("words")).join(known.hint("merge"), "doc_id").select(
+            "toxic", F.explode("words").alias("word")).groupBy("word").agg(
             F.count("*").alias("n"), F.sum(F.col("toxic").cast("long")).alias("t")), "quality-words")
     of, kinds = counts.where("word = ''").first(), counts.count()
     if of is None or not 0 < of.t < of.n:
@@ -259,10 +261,12 @@ STATISTICS = ("n_chars", "word_chars", "n_symbols", "n_upper", "n_marks", "n_wor
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``df`` that ``judge`` keeps, with all their columns and no join on the id."""
+    """Rows of ``df`` that ``judge`` keeps, with all their columns and no join on the id.
+
+    Rows are written once with their statistics; the rules are learned from that table and filter it,
+    so no statistic is worked out again for each rule that reads it.
+    """
     narrow = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    toxic = toxic_words(narrow, labels)
-    stats = settled(statistics(narrow, toxic=toxic).select("row.doc_id", *STATISTICS), "quality-statistics")
-    rules = learn_from(stats, labels)
-    forget(stats)
-    return featured(statistics(df, text_col, toxic)).where(~base_failed() & verdict(rules).isNull()).select("row.*")
+    stats = settled(statistics(df, text_col, toxic_words(narrow, labels)), "quality-rows")
+    rules = learn_from(stats.select(F.col(f"row.`{id_col}`").alias("doc_id"), *STATISTICS), labels)
+    return featured(stats).where(~base_failed() & verdict(rules).isNull()).select("row.*")

@@ -89,3 +89,15 @@ def test_rejects_toxic_texts_of_good_shape(spark):
     assert {r.doc_id for r in quality.judge(df, labels).collect() if not r.kept} == set(range(0, 1500, 10))
     assert {r.doc_id for r in quality.keep_good(df, labels).collect()} == {i for i in range(1500) if i % 10}
     assert quality.toxic_words(df, labels.where("toxic = 0")) == [] == quality.toxic_words(df, labels.limit(0))
+
+
+def test_statistics_are_worked_out_once(spark):
+    """The filter of the pipeline's stage reads written statistics; it splits no text again."""
+    rows = [(i, "some words of a text that is long enough to be kept " * 8 + ("bad ! ! ! " * 9 if i % 3 == 0 else f"{i} x")) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    kept = quality.keep_good(df, labels)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "Filter" in plan
+    judged = quality.judge(df, labels).where("kept").select("doc_id").collect()
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in judged}

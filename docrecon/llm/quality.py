@@ -57,16 +57,15 @@ def toxic_words(docs: DataFrame, labels: DataFrame) -> list[str]:
 
     Of the labelled texts that hold such a word, a share of PRECISION or more is toxic, and by the
     Chernoff bound fewer than CHANCE of all words would reach its counts by chance.  All labelled
-    rows count; the distinct words of a text, not the text, meet the labels, by one kind of join at
-    every size, and only the words found reach the driver.
+    rows count; their texts meet the labels in one join, of one kind at every size, and only the
+    words found reach the driver.
     """
     known = labels.where("toxic is not null").groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
     words = F.array_distinct(F.transform(word_list(F.coalesce("text", F.lit(""))), plain))
     # Every text holds the empty word, whose counts are those of the classes.
     words = F.array_union(words, F.array(F.lit("")))
     counts = settled(
-        docs.select("doc_id", words.alias("words")).join(known.hint("merge"), "doc_id").select(
-            "toxic", F.explode("words").alias("word")).groupBy("word").agg(
+        docs.join(known.hint("merge"), "doc_id").select("toxic", F.explode(words).alias("word")).groupBy("word").agg(
             F.count("*").alias("n"), F.sum(F.col("toxic").cast("long")).alias("t")), "quality-words")
     of, kinds = counts.where("word = ''").first(), counts.count()
     if of is None or not 0 < of.t < of.n:

@@ -54,7 +54,7 @@ def test_packing_holds_what_is_left(stages):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
 
 
 def test_lines_stage_keeps_every_row(spark):
@@ -77,3 +77,23 @@ def test_near_copies_are_removed_by_row(spark):
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
     assert out.columns == docs.columns
     assert got == sorted([(1, copied), (2, own), (None, null), (4, ""), (4, None)], key=repr)
+
+
+def test_stages_take_an_empty_table_and_clashing_columns(spark):
+    """Each stage on no rows, and on rows with columns named like the operators' own."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    more = docs.selectExpr("*", "1 AS _row", "'x' AS row", "2 AS n_words", "'k' AS keys", "3 AS node", "4 AS score", "5 AS id")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, SF)
+        assert out.columns == more.columns, name
+        assert out.where("_row <> 1 or row <> 'x' or n_words <> 2 or score <> 4").count() == 0, name
+        assert stage(spark, docs.where("false"), SF).count() == 0, name
+    assert corpus_pipeline.packed(spark, docs.where("false"), SF).count() == 0
+
+
+def test_repeated_rows_pass_language_and_quality_alike(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    twice = docs.union(docs.where("doc_id < 50"))
+    for stage in (corpus_pipeline.language, corpus_pipeline.good):
+        kept = stage(spark, twice, SF).groupBy("doc_id").count().collect()
+        assert all(r["count"] == (2 if r.doc_id < 50 else 1) for r in kept)

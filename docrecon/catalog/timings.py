@@ -24,19 +24,22 @@ def stage_timing(spark, d):
 @query(
     "speed_ratio",
     """
-    with p as (select user_id as run, value < 5 as failed, 0.1 as r, value as s1,
+    with p as (select user_id as run, value < 5 as failed, 0.1 as r, value as s1, ts, event_type,
          case when value >= 5 then value / 2 end as s2 from events),
-    m as (select run, count(*) as pages, count(*) filter (where failed) as failed,
+    m as (select run, strftime(max(ts), '%Y-%m-%d %H:%M') as measured, max(event_type) as commit,
+         round(max(s1) / 1024, 6) as peak_gb, 8.0::double as memory_gb, count(*) as pages, count(*) filter (where failed) as failed,
          avg(s1) filter (where s2 is not null) as s1, avg(s2) as s2,
          avg(r + s1 + s2) filter (where s2 is not null) as total from p group by run)
-    select run, pages::bigint as pages, failed::bigint as failed, round(s1, 6) as stage1_s,
+    select run, measured, commit, peak_gb, memory_gb, pages::bigint as pages, failed::bigint as failed, round(s1, 6) as stage1_s,
       round(s2, 6) as stage2_s, round(total, 6) as total_s, round(10 * total, 6) as ten_pages_s,
       round(max(total) over () / total, 6) as times_faster from m
     """,
 )
 def speed_ratio(spark, d):
     v = F.col("value")
-    e = table(spark, d, "events", "user_id", "value").select(
+    e = table(spark, d, "events", "user_id", "value", "ts", "event_type").select(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("when"), F.col("event_type").alias("commit"),
+        v.alias("peak_vram_mib"), F.lit(8192.0).alias("vram_total_mib"),
         F.col("user_id").alias("run"), (v < 5).alias("stage1_failed"), F.lit(0.1).alias("rasterise_s"),
         v.alias("stage1_s"), F.when(v >= 5, v / 2).alias("stage2_s"),
     )
@@ -52,11 +55,14 @@ def speed_ratio(spark, d):
     w as (select *, 1000.0 + length(event_type) * 100 as wall from r),
     s as (select level, count(*) as pages, count(error) as errors, count(*) filter (where failed) as failed,
          max(wall) as wall, avg(value) filter (where error is null and not failed) as mean,
+         avg(value / 4) filter (where error is null and not failed) as s1,
+         avg(value - value / 4) filter (where error is null and not failed) as s2,
          quantile_cont(value, 0.95) filter (where error is null and not failed) as p95 from w group by level),
     t as (select *, 60 * pages / wall as per_min, 40 * mean <= 2000 as fits from s)
     select level, pages::bigint as pages, errors::bigint as errors, failed::bigint as failed,
       round(wall, 6)::double as wall_s, round(per_min, 6) as pages_per_min, round(mean, 6) as mean_s,
-      round(p95, 6) as p95_s, round(per_min / first_value(per_min) over (order by level), 6)
+      round(p95, 6) as p95_s, round(s1, 6) as stage1_s, round(s2, 6) as stage2_s, 2.0::double as peak_gb,
+      round(10 * mean, 6) as small_chunk_s, round(40 * mean, 6) as large_chunk_s, round(per_min / first_value(per_min) over (order by level), 6)
         as ratio_to_first, fits, per_min = max(per_min) over () as best,
       level is not distinct from (select max(level) from t where fits) as largest_fit
     from t
@@ -72,6 +78,8 @@ def level_summary(spark, d):
     rows = e.select(
         level.alias("level"), (F.lit(1000.0) + F.length(kind) * 100).alias("wall_s"),
         F.col("value").alias("total_s"), (F.col("value") < 1).alias("failed"),
+        (F.col("value") / 4).alias("stage1_s"), (F.col("value") - F.col("value") / 4).alias("stage2_s"),
+        F.lit(2048.0).alias("peak_vram_mib"),
         F.when(F.col("value") > 300, F.lit("late")).alias("error"),
     )
     return scoring.concurrency_summary(rows, "level", 2000.0)

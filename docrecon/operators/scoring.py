@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docrecon.functions.fields import canonical_by_kind, matches
 from docrecon.functions.text import strip
+from docrecon.operators.ranks import quantiles, values_at
+from docrecon.operators.rounds import settle
 from docrecon.profile import CALIBRATION_BANDS
 from docrecon.schema import AMOUNT_FIELDS, RATE_FIELDS
 
@@ -101,7 +103,7 @@ def calibration(scored: DataFrame, bands=CALIBRATION_BANDS) -> DataFrame:
         .where(F.col("band").isNotNull())
         .groupBy("band").agg(F.count_if("correct").alias("c"), F.count(F.lit(1)).alias("k"))
     )
-    rows = F.broadcast(table).join(tally, "band", "left")
+    rows = table.join(tally, "band", "left")
     total = rows.rollup("band", "lo", "hi").agg(
         F.coalesce(F.sum("c"), F.lit(0)).alias("correct"), F.coalesce(F.sum("k"), F.lit(0)).alias("n"),
         F.grouping_id().alias("gid"),
@@ -162,33 +164,19 @@ def response_health(chunks: DataFrame) -> DataFrame:
 def confidence_spread(confidences: DataFrame, column: str = "confidence") -> DataFrame:
     """Smallest, upper-median and largest confidence, and whether all are the same.
 
-    The upper median is the value at 0-based rank ``n div 2``.  Values are counted first, so the
-    ranking sees distinct values and no list of all values is built.
+    The upper median is the value at 0-based rank ``n div 2``, found by counting ranges of values, so
+    no task sorts them all.  Nulls do not count.
     """
-    counts = confidences.where(F.col(column).isNotNull()).groupBy(column).agg(
-        F.count(F.lit(1)).alias("k")
-    )
-    half = F.floor(counts.agg(F.sum("k")).scalar() / 2)
-    mid = _cumulative(counts, column).where(F.col("upto") > half).agg(F.min(column)).scalar()
-    return counts.agg(
-        F.sum("k").alias("n"), F.min(column).alias("min"), F.max(column).alias("max"),
-        (F.min(column) == F.max(column)).alias("flat"),
+    # The key is one value, told from the data so that the rows stay a group like any other.
+    held = confidences.select(F.when(F.col(column).isNotNull(), F.lit(0)).alias("all"), F.col(column).alias("v")).where("v is not null")
+    half = held.groupBy("all").agg(F.floor(F.count(F.lit(1)) / 2).cast("long").alias("rank"))
+    mid = values_at(held, ["all"], "v", half).agg(F.max("value")).scalar()
+    return held.agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
+        (F.min("v") == F.max("v")).alias("flat"),
     ).select("n", "min", mid.alias("p50"), "max", "flat")
 
 
-def _cumulative(counts: DataFrame, column: str, width: float = 0.001) -> DataFrame:
-    """Running total in value order, in two levels: inside value bands, then over the bands."""
-    band = F.floor(F.col(column) / width)
-    rows = counts.withColumn("__b", band)
-    inside = Window.partitionBy("__b").orderBy(column)
-    sizes = rows.groupBy("__b").agg(F.sum("k").alias("s"))
-    across = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("__b", F.coalesce(F.sum("s").over(across), F.lit(0)).alias("before"))
-    return rows.withColumn("in_band", F.sum("k").over(inside)).join(before, "__b").select(
-        column, (F.col("before") + F.col("in_band")).alias("upto")
-    )
-
-
 def stage_timing(rows: DataFrame, keys, seconds: str, error: str) -> DataFrame:
     """Rows, mean, min and max seconds per key, failed rows left out."""
     return rows.where(F.col(error).isNull()).groupBy(*keys).agg(
@@ -200,7 +188,9 @@ def stage_timing(rows: DataFrame, keys, seconds: str, error: str) -> DataFrame:
 def speed_comparison(pages: DataFrame, run: str) -> DataFrame:
     """Per run: page count, failures, mean stage times over completed pages, ratio to the slowest.
 
-    ``pages``: run, rasterise_s, stage1_s, stage2_s (null = not completed), stage1_failed.
+    ``pages``: run, rasterise_s, stage1_s, stage2_s (null = not completed), stage1_failed; where it
+    has them, also when, commit, peak_vram_mib and vram_total_mib of the run, which become
+    ``measured`` (to the minute), ``commit``, ``peak_gb`` and ``memory_gb``.
     """
     done = F.col("stage2_s").isNotNull()
 
@@ -208,7 +198,15 @@ def speed_comparison(pages: DataFrame, run: str) -> DataFrame:
         return F.avg(F.when(done, c))
 
     total = F.col("rasterise_s") + F.col("stage1_s") + F.col("stage2_s")
+    notes = {
+        "measured": ("when", lambda c: F.replace(F.left(c, F.lit(16)), F.lit("T"), F.lit(" "))),
+        "commit": ("commit", lambda c: c),
+        "peak_gb": ("peak_vram_mib", lambda c: F.round(c / 1024, 6)),
+        "memory_gb": ("vram_total_mib", lambda c: F.round(c / 1024, 6)),
+    }
+    notes = {name: make(F.max(c)).alias(name) for name, (c, make) in notes.items() if c in pages.columns}
     per_run = pages.groupBy(run).agg(
+        *notes.values(),
         F.count(F.lit(1)).alias("pages"),
         F.count_if("stage1_failed").alias("failed"),
         mean(F.col("stage1_s")).alias("stage1"),
@@ -217,40 +215,49 @@ def speed_comparison(pages: DataFrame, run: str) -> DataFrame:
     )
     slowest = per_run.agg(F.max("total")).scalar()
     return per_run.select(
-        run, "pages", "failed", F.round("stage1", 6).alias("stage1_s"),
+        run, *notes, "pages", "failed", F.round("stage1", 6).alias("stage1_s"),
         F.round("stage2", 6).alias("stage2_s"), F.round("total", 6).alias("total_s"),
         F.round(10 * F.col("total"), 6).alias("ten_pages_s"),
         F.round(F.try_divide(slowest, F.col("total")), 6).alias("times_faster"),
     )
 
 
-def concurrency_summary(rows: DataFrame, level: str, deadline_s: float = 600.0) -> DataFrame:
-    """Per level: pages, errors, failures, pages per minute, mean, p95, ratio to the first level.
+def concurrency_summary(
+    rows: DataFrame, level: str, deadline_s: float = 600.0, chunk_pages: tuple[int, int] = (10, 40)
+) -> DataFrame:
+    """Per level: pages, errors, failures, pages per minute, means, p95, ratio to the first level.
 
-    ``rows``: level, wall_s (same on a level), total_s, failed, error.  ``fits`` says whether a
-    40-page chunk stays inside the deadline; ``best`` and ``largest_fit`` mark the chosen levels.
+    ``rows``: level, wall_s (same on a level), total_s, failed, error, and where known stage1_s,
+    stage2_s and peak_vram_mib.  ``small_chunk_s`` and ``large_chunk_s`` are the times of chunks of
+    ``chunk_pages`` pages; ``fits`` says whether the larger stays inside the deadline; ``best`` and
+    ``largest_fit`` mark the chosen levels.  The 95th percentile is exact and found by counting
+    ranges of values, so no level's rows are held together.
     """
     good = F.col("error").isNull() & ~F.col("failed")
-    t = F.when(good, F.col("total_s"))
+    small, large = chunk_pages
+    stages = [c for c in ("stage1_s", "stage2_s") if c in rows.columns]
+    peak = [(F.max("peak_vram_mib") / 1024).alias("peak_gb")] if "peak_vram_mib" in rows.columns else []
     per = rows.groupBy(level).agg(
         F.count(F.lit(1)).alias("pages"),
         F.count_if(F.col("error").isNotNull()).alias("errors"),
         F.count_if("failed").alias("failed"),
         F.max("wall_s").alias("wall_s"),
-        F.avg(t).alias("mean_s"),
-        F.percentile(t, F.lit(0.95)).alias("p95_s"),
-    )
-    rate = per.withColumn("per_min", 60 * F.col("pages") / F.col("wall_s")).withColumn(
-        "fits", 40 * F.col("mean_s") <= deadline_s
+        F.avg(F.when(good, F.col("total_s"))).alias("mean_s"),
+        *[F.avg(F.when(good, F.col(c))).alias(c) for c in stages], *peak,
     )
+    p95 = quantiles(rows.where(good), [level], "total_s", 0.95, "p95_s").withColumnRenamed(level, "__level")
+    rate = settle(per.join(p95, per[level].eqNullSafe(p95["__level"]), "left").drop("__level").withColumn(
+        "per_min", 60 * F.col("pages") / F.col("wall_s")).withColumn("fits", large * F.col("mean_s") <= deadline_s))
     first_rate = rate.agg(F.min_by("per_min", level)).scalar()
     best = rate.agg(F.max(F.struct("per_min", -F.col(level)))).scalar()
     largest = rate.agg(F.max(F.when(F.col("fits"), F.col(level)))).scalar()
+    rounded = lambda c, name: F.round(c, 6).alias(name)
     return rate.select(
-        level, "pages", "errors", "failed", F.round("wall_s", 6).alias("wall_s"),
-        F.round("per_min", 6).alias("pages_per_min"), F.round("mean_s", 6).alias("mean_s"),
-        F.round("p95_s", 6).alias("p95_s"),
-        F.round(F.col("per_min") / first_rate, 6).alias("ratio_to_first"),
+        level, "pages", "errors", "failed", rounded(F.col("wall_s"), "wall_s"),
+        rounded(F.col("per_min"), "pages_per_min"), rounded(F.col("mean_s"), "mean_s"), rounded(F.col("p95_s"), "p95_s"),
+        *[rounded(F.col(c), c) for c in (*stages, *(["peak_gb"] if peak else []))],
+        rounded(small * F.col("mean_s"), "small_chunk_s"), rounded(large * F.col("mean_s"), "large_chunk_s"),
+        rounded(F.col("per_min") / first_rate, "ratio_to_first"),
         F.coalesce("fits", F.lit(False)).alias("fits"),
         (F.struct("per_min", -F.col(level)) == best).alias("best"),
         F.col(level).eqNullSafe(largest).alias("largest_fit"),

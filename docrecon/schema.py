@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# The contract's field names, in its order.
 STRING_FIELDS = [
     "documentType", "originalDocumentNumber", "documentBookNumber", "payeeType",
     "sellerName", "sellerAddress", "sellerTaxId", "sellerBranch",

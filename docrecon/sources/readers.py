@@ -89,8 +89,9 @@ def read_speed_runs(spark: SparkSession, path: str) -> DataFrame:
         F.concat_ws("", F.col("machine.gpu"), F.lit(" ("), F.col("machine.host"), F.lit(")")).alias(
             "run"
         ),
-        "settings", "when", "peak_vram_mib", F.explode("pages").alias("p"),
-    ).select("run", "settings", "when", "peak_vram_mib", "p.*")
+        "settings", "when", "commit", "peak_vram_mib", F.col("machine.vram_total_mib").alias("vram_total_mib"),
+        F.explode("pages").alias("p"),
+    ).select("run", "settings", "when", "commit", "peak_vram_mib", "vram_total_mib", "p.*")
 
 
 def settings_differ(runs: DataFrame) -> DataFrame:

@@ -46,38 +46,68 @@ def is_legal_rate(rate: Column, rates: Sequence[float], tol: float = 0.01) -> Co
     return out
 
 
+FEW = 16  # amounts up to which all pairs are tried
+
+
 def base_and_tax(amounts: Column, rates: Sequence[float]) -> Column:
     """``struct(base, tax, rate, fits)`` when exactly one base has a tax at a legal rate, else null.
 
-    The first fitting tax in printed order counts; ``fits`` says how many fit.  Taxes are filtered per
-    base, so only the pairs that fit are kept in memory.
+    The first fitting tax in printed order counts; ``fits`` says how many fit.  Amounts are distinct
+    and positive.  A few amounts are tried in pairs.  More are sorted once together with the upper
+    end of every base's window at every rate: the largest amount before such an end is in the window
+    or none is.  A page of n amounts costs n log n.
     """
-    low, high = min(rates) - 0.01, max(rates) + 0.01
-
-    def per_base(found):
-        def one(base):
-            # The range test settles nearly every pair; amounts are positive, so base > tax > 0.
-            taxes = F.filter(
-                found,
-                lambda t: (t < base) & (t > base * (low / 101)) & (t < base * (high / 99))
-                & is_legal_rate(t / base * 100, rates),
-            )
-            return F.struct(base.alias("base"), taxes.alias("taxes"))
-
-        return F.filter(F.transform(found, one), lambda b: F.size(b["taxes"]) > 0)
-
-    def single(bases):
-        first = F.get(bases, F.lit(0))
-        base, tax = first["base"], F.get(first["taxes"], F.lit(0))
-        return F.when(
-            F.size(bases) == 1,
-            F.struct(
-                base.alias("base"), tax.alias("tax"), F.round(tax / base * 100, 2).alias("rate"),
-                F.size(first["taxes"]).alias("fits"),
-            ),
-        )
+    def fits(tax, base, rate=None):
+        legal = is_legal_rate(tax / base * 100, rates if rate is None else [rate])
+        return (tax < base) & legal
+
+    def tried(found):
+        return F.filter(found, lambda base: F.exists(found, lambda t: fits(t, base)))
+
+    def swept(found):
+        none = F.lit(None).cast("double")
+
+        def mark(value, base, rate):
+            return F.struct(value.alias("v"), base.isNotNull().alias("end"), base.alias("base"), rate.alias("rate"))
+
+        # Ends are a trifle wide, so that rounding loses no amount; the test itself is on the amounts.
+        ends = F.flatten(F.transform(found, lambda base: F.array(*[
+            mark(base * ((r + 0.01) / 100 * (1 + 1e-9)), base, F.lit(float(r))) for r in rates])))
+        taxes = F.transform(found, lambda t: mark(t, none, none))
+
+        def step(s, e):
+            # An amount on the trifle itself may fail where the one before it fits.
+            hit = e["end"] & (_fits_at(s["last"], e) | _fits_at(s["before"], e))
+            base = F.when(hit, e["base"])
+            return F.struct(
+                F.when(e["end"], s["last"]).otherwise(e["v"]).alias("last"),
+                F.when(e["end"], s["before"]).otherwise(s["last"]).alias("before"),
+                F.least(s["low"], base).alias("low"), F.greatest(s["high"], base).alias("high"))
+
+        def _fits_at(tax, e):
+            return F.coalesce((tax < e["base"]) & (F.abs(tax / e["base"] * 100 - e["rate"]) < 0.01), F.lit(False))
+
+        start = F.struct(*[none.alias(c) for c in ("last", "before", "low", "high")])
+        return F.aggregate(
+            F.array_sort(F.concat(taxes, ends)), start, step,
+            lambda s: F.array_distinct(F.array_compact(F.array(s["low"], s["high"]))))
+
+    def chosen(found):
+        bases = F.when(F.size(found) <= FEW, tried(found)).otherwise(swept(found))
+
+        def single(bases):
+            base = F.get(bases, F.lit(0))
+
+            def told(taxes):
+                tax = F.get(taxes, F.lit(0))
+                return F.struct(base.alias("base"), tax.alias("tax"), F.round(tax / base * 100, 2).alias("rate"),
+                                F.size(taxes).alias("fits"))
+
+            return F.when(F.size(bases) == 1, bind(F.filter(found, lambda t: fits(t, base)), told))
+
+        return bind(bases, single)
 
-    return bind(bind(amounts, per_base), single)
+    return bind(amounts, chosen)
 
 
 def nearest_rate_gap(base: Column, tax: Column, rates: Sequence[float]) -> Column:

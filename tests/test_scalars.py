@@ -134,3 +134,40 @@ def test_matching(spark):
         words=m("vat", lit("n/a"), lit("N/A ")),
     )
     assert tuple(r) == (True, False, True, True, True)
+
+
+def test_many_amounts_equal_all_pairs_and_stay_fast(spark):
+    import random
+    import time
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    rates = P.legal_rate_percents
+
+    def pairs(amounts):
+        fits = {b: [t for t in amounts if t < b and any(abs(t / b * 100 - r) < 0.01 for r in rates)] for b in amounts}
+        fits = {b: t for b, t in fits.items() if t}
+        return [(b, t[0], len(t)) for b, t in fits.items()] if len(fits) == 1 else []
+
+    rows = []
+    for k in range(150):
+        base = float(rng.randint(100, 5000))
+        amounts = [base, base * rng.choice([1.0, 2.0, 3.0, 5.0]) / 100, base * rng.choice([1.01, 2.99, 3.01]) / 100]
+        amounts += [base * 3 / 100 + 0.01] if k % 3 == 0 else []
+        # Neighbours of one size fit nothing, but every page has more than a few of them.
+        amounts += [round(7000 + 40 * rng.random(), 2) for _ in range(rng.choice([3, 25, 60]))]
+        rng.shuffle(amounts)
+        rows.append((k, list(dict.fromkeys(amounts))))
+    df = spark.createDataFrame(rows, "k int, a array<double>")
+    got = {r.k: r.x for r in df.select("k", money.base_and_tax(F.col("a"), rates).alias("x")).collect()}
+    seen = 0
+    for k, amounts in rows:
+        want = pairs(amounts)
+        assert [(x.base, x.tax, x.fits) for x in [got[k]] if x] == want, amounts
+        seen += bool(want)
+    assert 30 < seen < 150
+    page = spark.createDataFrame([([1000.0 + k / 7 for k in range(5000)] + [100.0],)], "a array<double>")
+    start = time.time()
+    assert page.select(money.base_and_tax(F.col("a"), [10.0]).alias("x")).first().x is None
+    assert time.time() - start < 30

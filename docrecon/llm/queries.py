@@ -18,8 +18,7 @@ def digest(column):
 def op1_bpe(spark, sf_dir):
     vocabulary = bpe.read_vocabulary(str(public_tokenizers.path("byte_bpe_50k.json")))
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
-    return coded.select(
+    return bpe.encode(docs, vocabulary, decoded=True).select(
         "doc_id", "n_tokens", digest("ids").alias("ids_sha256"),
         digest("decoded").alias("decoded_sha256"),
     )

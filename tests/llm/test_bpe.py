@@ -67,6 +67,30 @@ def test_awkward_rows(awkward, nothing, vocabulary):
     assert bpe.decode(bpe.encode(nothing, vocabulary), vocabulary).count() == 0
 
 
+def test_one_task_encodes_and_decodes(awkward, nothing, vocabulary):
+    both = bpe.encode(awkward, vocabulary, decoded=True)
+    apart = bpe.decode(bpe.encode(awkward, vocabulary), vocabulary)
+    assert both.columns == apart.columns
+    assert sorted(map(str, both.collect())) == sorted(map(str, apart.collect()))
+    assert bpe.encode(nothing, vocabulary, decoded=True).count() == 0
+
+
+def test_caches_change_generations(vocabulary, monkeypatch):
+    """Tiny caches change generations within texts and blocks; ids stay those of the library."""
+    monkeypatch.setattr(bpe, "CACHED", 6)
+    monkeypatch.setattr(bpe, "CACHED_PAIRS", 5)
+    monkeypatch.setattr(bpe, "BLOCK", 7)
+    small, library = bpe.Encoder(vocabulary), Tokenizer.from_file(PATH)
+    draw = random.Random(11)
+    words = ["Straße", "straße,", "l'été", "a", "it's", "x²", "don't.", "\n", "b\nc", "\t", "##", "don", "漢字", "Ärger!!",
+             "été", "×", "a÷b", "", "ª", "'s", "s", ".", "1", "12,"]
+    for _ in range(300):
+        text = " ".join(draw.choice(words) for _ in range(draw.randint(1, 30)))
+        assert ids(small.encode(text)) == library.encode(text, add_special_tokens=False).ids, repr(text)
+    long = " ".join(draw.choice(words) for _ in range(20_000))
+    assert ids(small.encode(long)) == library.encode(long, add_special_tokens=False).ids
+
+
 def test_decodes_broken_bytes_and_unknown_ids(spark, vocabulary):
     packed = np.array([254, 70_000, 50256], "<u4").tobytes()
     df = spark.createDataFrame([(1, 3, packed), (2, 0, None)], "doc_id long, n_tokens long, ids binary")

@@ -62,6 +62,20 @@ def test_words_equal_the_library():
         assert np.frombuffer(packed, "<u4").tolist() == want, repr(text)
 
 
+def test_word_cache_changes_generations(monkeypatch):
+    """Tiny caches forget words at every batch; long words are never kept."""
+    monkeypatch.setattr(packing, "CACHED", 4)
+    monkeypatch.setattr(packing, "MISSES", 3)
+    library, encoder = Tokenizer.from_file(PATH), packing.WordEncoder(SPEC)
+    words = ["Straße", "straße,", "don't", "ς.", "É", "#", "12,", "x²", "long" * 30, "a\tb", "c\r\n", "the", "The|", ""]
+    for k in range(40):
+        texts = [" ".join(words[(k * 5 + i * 3 + j) % len(words)] for j in range(i + 1)) for i in range(6)]
+        for text, packed in zip(texts, encoder.encode_all(texts)):
+            want = library.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(packed, "<u4").tolist() == want, repr(text)
+    assert max(map(len, [*encoder.words, *encoder.old])) <= packing.CACHED_CHARS
+
+
 def test_awkward_rows(awkward, nothing):
     rows = packing.pack(awkward, SPEC).collect()
     assert sum(r.length for r in rows if r.doc_id is None) == sum(r.doc_tokens for r in rows if r.doc_id is None and r.start == 0)

@@ -13,7 +13,7 @@ from docrecon.operators import categories as cat
 from docrecon.operators import checks
 from docrecon.operators.contract import contract_errors, json_key_errors
 from docrecon.profile import LEGAL_RATE_PERCENTS, MOD11_13, Profile
-from docrecon.sources.readers import category_columns, parse_candidates
+from docrecon.sources.readers import answer_faults, category_columns, parse_candidates
 
 DEFAULT = Profile()
 
@@ -716,6 +716,36 @@ def parse_candidates_query(spark, d):
     return parse_candidates(raw, "answer", EVENT_RESPONSE)
 
 
+@query(
+    "answer_faults",
+    """
+    with whole as (select *, '{"billCandidates":[' || props || ']}' as answer from events),
+    given as (select event_id, case event_type when 'view' then left(answer, length(answer) - 2)
+      when 'click' then null when 'error' then replace(answer, 'billCandidates', 'bills')
+      when 'signup' then '{"billCandidates":' || props || '}' else answer end as answer from whole),
+    judged as (select event_id, case when answer is null then 'no answer'
+      when not json_valid(answer) then 'not JSON'
+      when json_type(case when json_valid(answer) then answer end, '$.billCandidates') = 'ARRAY' then null
+      else 'no candidate list' end as fault from given)
+    select event_id, fault from judged where fault is not null
+    """,
+)
+def answer_faults_query(spark, d):
+    """Event properties as a model answer: views are cut short, clicks have none, errors name the
+    list otherwise and sign-ups give an object in its place."""
+    e = table(spark, d, "events", "event_id", "event_type", "props")
+    kind, whole = F.col("event_type"), F.concat(F.lit('{"billCandidates":['), F.col("props"), F.lit("]}"))
+    answer = (
+        F.when(kind == "view", F.expr("left(whole, length(whole) - 2)"))
+        .when(kind == "click", F.lit(None))
+        .when(kind == "error", F.replace("whole", F.lit("billCandidates"), F.lit("bills")))
+        .when(kind == "signup", F.concat(F.lit('{"billCandidates":'), F.col("props"), F.lit("}")))
+        .otherwise(F.col("whole"))
+    )
+    raw = e.withColumn("whole", whole).select("event_id", answer.alias("answer"))
+    return answer_faults(raw, "answer")
+
+
 @query(
     "contract_keys",
     """select case event_type when 'view' then 'value: required'

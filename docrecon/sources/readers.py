@@ -30,6 +30,23 @@ def parse_candidates(
     ).select(*rest, "page_pos", "__c.*")
 
 
+def answer_faults(df: DataFrame, column: str, path: str = "billCandidates") -> DataFrame:
+    """Rows whose answer gives no list of candidates, with ``fault`` saying why.
+
+    ``parse_candidates`` gives such rows nulls, as it does for an empty list, which is no fault.
+    A null or blank answer is ``no answer``; broken text, also one cut short, is ``not JSON``.
+    """
+    answer = F.col(f"`{column}`")
+    parsed = F.try_parse_json(answer)
+    fault = (
+        F.when(answer.isNull() | (F.trim(answer) == ""), F.lit("no answer"))
+        .when(parsed.isNull(), F.lit("not JSON"))
+        .when(F.try_variant_get(parsed, f"$.{path}", "array<variant>").isNull(), F.lit("no candidate list"))
+    )
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in (column, "fault")]
+    return df.select(*rest, fault.alias("fault")).where(F.col("fault").isNotNull())
+
+
 def category_columns(key: Column, raw: Column) -> list[Column]:
     """A category entry as columns; a bare string counts as the rule."""
     is_object = F.json_object_keys(raw).isNotNull()

@@ -42,8 +42,9 @@ def reconcile(
 
     ``pages``: (chunk_id, page_index, transcript), every page; ``candidates``: (chunk_id,
     page_index, page_pos, cells, lineItems); ``categories``: code, rule, sumTollTickets;
-    ``requests``: (chunk_id, category).  Candidates of an unusable page are dropped, its text is
-    still read.  ``reference_gaps`` keeps the index gaps that dropped rows leave behind.
+    ``requests``: (chunk_id, category).  Candidates of an unusable page are dropped, each with
+    an audit row; its text is still read.  ``reference_gaps`` keeps the index gaps that dropped rows
+    leave behind.
     """
     # Page text is judged and matched once; later steps work on these small rows.
     facts = settle(page_facts(judge_pages(pages, p), p))
@@ -55,6 +56,14 @@ def reconcile(
 
     # A step reads the bills several times, so what a step rewrote is settled before the next one.
     ledger = _settled(merge_spanning(bills, facts.select("chunk_id", "page_index", "marker"), p))
+    unusable = facts.where(F.col("verdict").isNotNull()).select(*page, "verdict")
+    refused = candidates.where(F.col("page_pos").isNotNull()).select(*page, "page_pos").join(unusable, page)
+    ledger = ledger.log(
+        audit_rows(
+            refused, "reading", attached=F.lit(False), reason=F.lit("page not usable"),
+            detail=F.to_json(F.struct("page_pos", "verdict")),
+        )
+    )
     ledger = _settled(apply_certificates(ledger, facts, p))
     ledger = _settled(attach_cards(ledger, facts, p))
     ledger = match_slips(ledger, facts, p)

@@ -163,7 +163,10 @@ def test_whole_path_and_sinks(spark, tmp_path):
     docs = documents(tmp_path / "out")
     assert docs["none"] == {"billCandidates": []}
     assert docs["up"]["billCandidates"][0]["sellerTaxId"]["value"] == A
-    reasons = {(r.step, r.reason) for r in ledger.audit.collect()}
+    audit = ledger.audit.collect()
+    refused = [r for r in audit if r.step == "reading"]
+    assert [(r.page_index, r.attached, json.loads(r.detail)["page_pos"]) for r in refused] == [(5, False, 0)]
+    reasons = {(r.step, r.reason) for r in audit}
     assert ("slip", "folded") in reasons and ("certificate", "certificate attached") in reasons
 
 

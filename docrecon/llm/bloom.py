@@ -45,13 +45,14 @@ def partial_filters(hashes_of_batches, bits: int = BITS, probes: int = PROBES):
         held.append(positions(hashes, bits, probes).ravel())
         size += held[-1].size
         if size >= HELD:
-            yield _packed(held)
+            yield packed(held)
             held, size = [], 0
     if size:
-        yield _packed(held)
+        yield packed(held)
 
 
-def _packed(held) -> pa.RecordBatch:
+def packed(held) -> pa.RecordBatch:
+    """The filters of arrays of bit positions."""
     at, n = np.unique(np.concatenate(held), return_counts=True)
     segment = at >> SEGMENT
     names, starts = np.unique(segment, return_index=True)

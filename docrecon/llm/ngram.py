@@ -4,9 +4,15 @@ Shingles are hashed into groups; how many fall in each group is a document's poi
 at most the sum of the coordinate minima, so an R-tree over points finds every pair that could
 reach the threshold, and those are verified exactly.
 
-One tree over all documents would be one task, so points are first dealt into cells.  Sets that
-reach the threshold differ in at most k shingles; of more than k groups, at least one has the very
-same shingles in both.  The hash of a group's content therefore names a cell, and no pair is lost.
+One tree over all documents would be one task, so points are first dealt into cells, each with a
+tree of its own.  Sets that reach the threshold differ in at most k shingles; of more than k groups,
+at least one has the very same shingles in both.  The hash of a group's content therefore names a
+cell, and no pair is lost.  Cells that only one set has need no tree: a filter of cells seen twice
+keeps them out of the shuffle.
+
+The trees are searched twice.  First each point looks up the likeliest of the points before it in
+its tile, about one pair a point, which joins groups of near copies.  Where a cell then still holds
+several components, its points look up all points of other components in all tiles of like size.
 """
 
 from __future__ import annotations
@@ -21,15 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docrecon.llm import bloom
-from docrecon.llm.cells import grouped, linked, meetings
+from docrecon.llm.cells import PAGE, meetings
 from docrecon.llm.common import batch_of, forget, raw_texts, settled
+from docrecon.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-AXES = 32  # coordinates of a point
+AXES = 64  # coordinates of a point
 FAN = 16  # entries of a tree node
-FILTER_BITS = 28  # of the filter over sets; 32 MB
+FILTER_BITS = 28  # of a filter over cells or sets; 32 MB
+PROBES = 2  # bits of a key in a filter
 HELD = 1 << 20  # bytes of text shingled at once
+ASKED = 1 << 10  # points that look up a tree at once
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0xD1342543DE82EF95)
 WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -145,70 +154,127 @@ class Cells:
 
 def points(sets: list[np.ndarray]) -> np.ndarray:
     """Counts of each set's shingles in AXES groups."""
-    return np.array([np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=AXES) for s in sets],
+    return np.array([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=AXES) for s in sets],
                     np.int32).reshape(-1, AXES)
 
 
-class RTree:
-    """Packed R-tree over points: every node keeps the largest count of each coordinate below it
+class Forest:
+    """Packed R-trees, one a group: every node keeps the largest count of each coordinate below it
     and the smallest size, which bound the overlap of a query with all of it."""
 
-    def __init__(self, at: np.ndarray, size: np.ndarray, num: int, den: int):
+    def __init__(self, group: np.ndarray, at: np.ndarray, size: np.ndarray, num: int, den: int):
         self.num, self.den = num, den
         # Tile by size, then by the coordinates' differences, so that near points share nodes.
-        self.order = np.lexsort((at[:, 1], at[:, 0], size))
-        self.levels = [(at[self.order], size[self.order])]
-        while len(self.levels[-1][0]) > 1:
-            top, least = self.levels[-1]
-            cut = np.arange(0, len(top), FAN)
-            self.levels.append((np.maximum.reduceat(top, cut), np.minimum.reduceat(least, cut)))
-
-    def near(self, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(query, point)`` indices whose summed coordinate minima allow the threshold."""
-        query, node = np.arange(len(at)), np.zeros(len(at), np.int64)
+        self.order = np.lexsort((at[:, 1], at[:, 0], size, group))
+        group, top, least = group[self.order], at[self.order], size[self.order]
+        self.levels = [(top, least, None, None)]
+        while True:
+            begins = np.ones(len(group), bool)
+            begins[1:] = group[1:] != group[:-1]
+            start = np.flatnonzero(begins)
+            if len(start) == len(group):
+                break
+            place = np.arange(len(group)) - np.repeat(start, np.diff(np.append(start, len(group))))
+            cut = np.flatnonzero(place % FAN == 0)
+            below = np.diff(np.append(cut, len(group)))
+            group, top, least = group[cut], np.maximum.reduceat(top, cut), np.minimum.reduceat(least, cut)
+            self.levels.append((top, least, cut, below))
+        self.roots = group
+
+    def near(self, group: np.ndarray, at: np.ndarray, size: np.ndarray):
+        """``(query, point, shared)``: indices of points in the query's group, whose summed
+        coordinate minima ``shared`` allow the threshold."""
+        node = np.searchsorted(self.roots, group)
+        there = node < len(self.roots)
+        there[there] = self.roots[node[there]] == group[there]
+        query, node = np.flatnonzero(there), node[there]
+        shared = np.zeros(len(query), np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
-            top, least = self.levels[depth]
+            top, least, _, _ = self.levels[depth]
             if depth < len(self.levels) - 1:
-                query = np.repeat(query, FAN)
-                node = (node[:, None] * FAN + np.arange(FAN)).ravel()
-                there = node < len(top)
-                query, node = query[there], node[there]
-            fits = []
+                _, _, cut, below = self.levels[depth + 1]
+                many = below[node]
+                first = np.cumsum(many) - many
+                inside = np.arange(int(many.sum())) - np.repeat(first, many)
+                query, node = np.repeat(query, many), np.repeat(cut[node], many) + inside
+            shared = np.zeros(len(query), np.int64)
             for a in range(0, len(query), 1 << 14):
                 q, x = query[a:a + (1 << 14)], node[a:a + (1 << 14)]
-                shared = np.minimum(at[q], top[x]).sum(axis=1)
-                # overlap o of sets a and b reaches num/den when (num + den) o >= num (a + b)
-                fits.append((self.num + self.den) * shared >= self.num * (size[q] + least[x]))
-            keep = np.concatenate(fits) if fits else np.zeros(0, bool)
-            query, node = query[keep], node[keep]
-        return query, self.order[node]
+                shared[a:a + (1 << 14)] = np.minimum(at[q], top[x]).sum(axis=1)
+            # overlap o of sets a and b reaches num/den when (num + den) o >= num (a + b)
+            keep = (self.num + self.den) * shared >= self.num * (size[query] + least[node])
+            query, node, shared = query[keep], node[keep], shared[keep]
+        return query, self.order[node], shared
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def named(s: np.ndarray) -> int:
+    """Hash of a set, signed."""
+    return int(_signed(mixed(mixed(s).sum(dtype=np.uint64, keepdims=True)))[0])
+
+
 def described(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """``(id, size, node, keys)``: ``node`` is the hash of the set, equal for equal sets."""
-    schema = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("node", pa.int64()),
-                        ("keys", pa.list_(pa.int64()))])
+    """``(id, size, node, at)`` of every row, and rows ``(segment, once, twice)`` of the filters over
+    cells, in one pass; ``node`` is the hash of the set, equal for equal sets, ``at`` its point."""
+    rows = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("at", pa.list_(pa.int32()))])
+    whole = pa.schema([*rows, *bloom.PARTIAL])
+
+    def widened(batch):
+        return pa.RecordBatch.from_arrays(
+            [batch.column(f.name) if f.name in batch.schema.names else pa.nulls(batch.num_rows, f.type) for f in whole],
+            schema=whole)
 
     def work(batches):
         cells = Cells(num, den)
-        seen: set[int] = set()  # sets of this task whose cells are written already
+        seen: set[int] = set()  # sets of this task whose cells are in the filter already
+        held, count = [], 0
         for b, texts in in_parts(batches, "text"):
-            sizes, nodes, keys = [], [], []
+            sets = shingle_sets(texts, words)
+            nodes = [named(s) if len(s) else None for s in sets]
+            yield widened(batch_of(rows, b.column("id"), [len(s) for s in sets], nodes, list(points(sets))))
+            if len(seen) > 1_000_000:
+                seen.clear()
+            for s, node in zip(sets, nodes):
+                if len(s) and node not in seen:
+                    seen.add(node)
+                    held.append(bloom.positions(cells.keys(s), FILTER_BITS, PROBES).ravel())
+                    count += held[-1].size
+                    if count >= bloom.HELD:
+                        yield widened(bloom.packed(held))
+                        held, count = [], 0
+        if count:
+            yield widened(bloom.packed(held))
+
+    return docs.mapInArrow(work, f"id long, size long, node long, at array<int>, {bloom.PARTIAL_DDL}")
+
+
+def cells_of(docs: DataFrame, words: int, num: int, den: int, twice: np.ndarray) -> DataFrame:
+    """``(cell, node)`` of the cells that pass the filter ``twice``."""
+    shared = docs.sparkSession.sparkContext.broadcast(twice)
+    schema = pa.schema([("cell", pa.int64()), ("node", pa.int64())])
+
+    def work(batches):
+        cells = Cells(num, den)
+        seen: set[int] = set()  # sets of this task whose cells are written already
+        for _, texts in in_parts(batches, "text"):
+            names, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            if len(seen) > 1_000_000:
+                seen.clear()
             for s in shingle_sets(texts, words):
-                node = int(_signed(mixed(mixed(s).sum(dtype=np.uint64, keepdims=True)))[0]) if len(s) else 0
-                sizes.append(len(s))
-                nodes.append(node if len(s) else None)
-                keys.append(_signed(cells.keys(s)) if len(s) and node not in seen else [])
-                if len(seen) > 1_000_000:
-                    seen.clear()
+                node = named(s) if len(s) else None
+                if node is None or node in seen:
+                    continue
                 seen.add(node)
-            yield batch_of(schema, b.column("id"), sizes, nodes, keys)
+                keys = cells.keys(s)
+                keys = keys[bloom.passes(shared.value, keys, PROBES)]
+                names.append(keys)
+                nodes.append(np.full(len(keys), node))
+            yield batch_of(schema, _signed(np.concatenate(names)), np.concatenate(nodes))
 
-    return docs.mapInArrow(work, "id long, size long, node long, keys array<long>")
+    return docs.select("text").mapInArrow(work, "cell long, node long")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -218,41 +284,28 @@ def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """
     def bits(batches):
         yield from bloom.partial_filters(
-            (b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) for b in batches), FILTER_BITS, probes=2)
+            (b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) for b in batches), FILTER_BITS, PROBES)
 
-    named = bloom.merged(nodes.select("node").mapInArrow(bits, bloom.PARTIAL_DDL), FILTER_BITS, twice=False)
-    shared = docs.sparkSession.sparkContext.broadcast(named)
+    wanted = bloom.merged(nodes.select("node").mapInArrow(bits, bloom.PARTIAL_DDL), FILTER_BITS, twice=False)
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def work(batches):
         seen: set[int] = set()
         for _, texts in in_parts(batches, "text"):
             sets = [s for s in shingle_sets(texts, words) if len(s)]
-            node = np.array([mixed(mixed(s).sum(dtype=np.uint64, keepdims=True))[0] for s in sets], np.uint64)
-            ok = np.flatnonzero(bloom.passes(shared.value, node, probes=2)) if len(sets) else []
-            mine = [k for k in ok if int(node[k]) not in seen]
-            mine = list({int(node[k]): k for k in mine}.values())
+            node = np.array([named(s) for s in sets], np.int64)
+            ok = np.flatnonzero(bloom.passes(shared.value, node.view(np.uint64), PROBES)) if len(sets) else []
+            mine = list({int(node[k]): k for k in ok if int(node[k]) not in seen}.values())
             if len(seen) > 1_000_000:
                 seen.clear()
             seen.update(int(node[k]) for k in mine)
-            yield batch_of(schema, [int(_signed(node[k:k + 1])[0]) for k in mine], [_signed(sets[k]) for k in mine])
+            yield batch_of(schema, node[mine] if mine else [], [_signed(sets[k]) for k in mine])
 
     found = docs.select("text").mapInArrow(work, "node long, shingles array<long>")
     return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def pointed(sets: DataFrame) -> DataFrame:
-    """``(node, size, at)``: the points of sets."""
-    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("at", pa.list_(pa.int32()))])
-
-    def work(batches):
-        for b in batches:
-            sets = [np.asarray(s, np.int64).view(np.uint64) for s in b.column("shingles").to_pylist()]
-            yield batch_of(schema, b.column("node"), [len(s) for s in sets], list(points(sets)))
-
-    return sets.mapInArrow(work, "node long, size long, at array<int>")
-
-
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs ``(a, b)`` whose sets reach the threshold."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -262,33 +315,161 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return both.where(den * common >= num * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def bounded(pairs: DataFrame, at: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs ``(a, b)`` whose summed coordinate minima allow the threshold."""
-    left = at.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("at").alias("x"))
-    right = at.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("at").alias("y"))
-    most = F.aggregate(F.zip_with("x", "y", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
-    return pairs.join(left, "a").join(right, "b").where(
-        (num + den) * most >= num * (F.col("m") + F.col("n"))).select("a", "b")
+def tiled(cells: DataFrame, at: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """``(cell, tile, page, members, node, size, at)`` and ``(cell, tile, pages)``, both written.
 
+    Cells with the same nodes need one tree.  A cell of more than PAGE nodes is cut into tiles of
+    like size and these into pages; sets that reach the threshold are at most one tile apart.
+    """
+    several = cells.groupBy("cell", "lead").agg(
+        F.count(F.lit(1)).alias("members"), F.expr("bit_xor(xxhash64(node))").alias("same1"),
+        F.sum(F.expr("shiftright(xxhash64(node), 24)")).alias("same2"))
+    once = several.groupBy("members", "lead", "same1", "same2").agg(F.min("cell").alias("cell"))
+    width = 1.000001 * math.log(den / num) or 1.0
+    tile = F.when(F.col("members") > PAGE, F.floor(F.log("size") / width)).otherwise(0)
+    placed = cells.select("cell", "node").join(once.select("cell", "members"), "cell").join(at, "node").withColumn(
+        "tile", tile.cast("int"))
+    placed = settled(placed, "cell-points")
+    tiles = settled(placed.where(F.col("members") > PAGE).groupBy("cell", "tile").agg(
+        F.ceil(F.count(F.lit(1)) / PAGE).cast("int").alias("pages")), "cell-tiles")
+    paged = placed.join(tiles, ["cell", "tile"], "left").withColumn(
+        "page", F.pmod(F.xxhash64("node"), F.coalesce("pages", F.lit(1))).cast("int")).drop("pages")
+    paged = settled(paged, "cell-pages")
+    forget(placed)
+    return paged, tiles
+
+
+def _columns(b: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
+    out = [b.column(k).to_numpy(zero_copy_only=False) for k in names]
+    return [*out, b.column("at").flatten().to_numpy().reshape(-1, AXES)]
+
+
+def _groups(*keys: np.ndarray) -> np.ndarray:
+    """Ascending numbers of the runs of equal keys in sorted rows."""
+    new = np.zeros(len(keys[0]), bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.cumsum(new)
+
+
+def likeliest(paged: DataFrame, num: int, den: int) -> DataFrame:
+    """``(a, b, shared)``: for each point ``b`` the point ``a`` before it in its page whose bound is
+    highest; and ``(a, a, 0)`` for every point that any search met.
+
+    Sorted rows pass in a stream: a task holds one batch and what came before it in its page.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.float64())])
+    n = int(paged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def searched(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs across components that R-tree search finds; each page of a cell is one tree, and a task
-    holds one page and a batch of probes."""
+    def work(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = _columns(b, ["cell", "tile", "page", "node", "size"])
+            old = 0 if held is None else len(held[0])
+            if old:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            group = _groups(*rows[:3])
+            node, size, at = rows[3:]
+            trees = Forest(group, at, size, num, den)
+            for k in range(old, len(node), ASKED):
+                some = slice(k, k + ASKED)
+                q, p, shared = trees.near(group[some], at[some], size[some])
+                q = q + k
+                before = node[p] < node[q]
+                q, p, shared = q[before], p[before], shared[before]
+                likely = shared / (size[q] + size[p])
+                best = np.lexsort((node[p], -likely, q))
+                best = best[np.unique(q[best], return_index=True)[1]]
+                met = np.unique(node[np.concatenate([q, p])])
+                yield batch_of(schema, np.append(node[p[best]], met), np.append(node[q[best]], met),
+                               np.append(likely[best], np.zeros(len(met))))
+            held = [x[group == group[-1]] for x in rows]
+
+    dealt = paged.select("cell", "tile", "page", "node", "size", "at").repartition(
+        n, "cell", "tile", "page").sortWithinPartitions("cell", "tile", "page", "node")
+    return dealt.mapInArrow(work, "a long, b long, shared double")
+
+
+def across(paged: DataFrame, tiles: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``(a, b)``, ``a < b``, of points in different components that share a cell and whose
+    bound allows the threshold.
+
+    All points outside the component of a cell's least node look up all pages of like size."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(paged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def work(batches):
-        of, tree = None, None
-        for group, known, part in grouped(batches, ["node", "label", "size"], "at", AXES):
-            if group != of:
-                of, tree = group, RTree(known[3], known[2], num, den)
-            q, p = tree.near(part[3], part[2])
-            apart = part[1][q] != known[1][p]
-            a, c = part[0][q[apart]], known[0][p[apart]]
-            yield batch_of(schema, np.minimum(a, c), np.maximum(a, c))
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = _columns(b, ["cell", "tile", "page", "probe", "node", "size", "label"])
+            old = 0 if held is None else len(held[0])
+            if old:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            group = _groups(*rows[:3])
+            probe, node, size, of, at = rows[3:]
+            probe = probe.astype(bool)
+            asks = np.flatnonzero(probe)
+            known = np.flatnonzero(~probe)
+            if len(asks) and len(known):
+                trees = Forest(group[known], at[known], size[known], num, den)
+                for k in range(0, len(asks), ASKED):
+                    some = asks[k:k + ASKED]
+                    q, p, _ = trees.near(group[some], at[some], size[some])
+                    q, p = some[q], known[p]
+                    apart = of[q] != of[p]
+                    x, y = node[q[apart]], node[p[apart]]
+                    yield batch_of(schema, np.minimum(x, y), np.maximum(x, y))
+            last = (group == group[-1]) & ~probe
+            held = [x[last] for x in rows]
+
+    labelled = paged.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    mixed_cells = labelled.groupBy("cell").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("label", "node").alias("main")
+    ).where("low <> high").select("cell", "main")
+    members = settled(labelled.join(mixed_cells, "cell"), "cell-mixed")
+    fields = ["cell", "tile", "page", "probe", "node", "size", "label", "at"]
+    indexed = members.withColumn("probe", F.lit(False)).select(fields)
+    asking = members.where("label <> main").withColumn("probe", F.lit(True))
+    small = asking.where(F.col("members") <= PAGE).select(fields)
+    large = asking.where(F.col("members") > PAGE).drop("page").withColumn(
+        "tile", F.explode(F.array(*[F.col("tile") + F.lit(k) for k in (-1, 0, 1)]))).join(tiles, ["cell", "tile"]).withColumn(
+        "page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1))).select(fields)
+    dealt = indexed.union(small).union(large).repartition(n, "cell", "tile", "page").sortWithinPartitions(
+        "cell", "tile", "page", "probe")
+    out = settled(dealt.mapInArrow(work, "a long, b long").distinct(), "cell-across")
+    forget(members)
+    return out
 
-    dealt = members.repartition(n, "cell", "page").sortWithinPartitions("cell", "page", "probe")
-    return dealt.mapInArrow(work, "a long, b long").distinct()
+
+def joined(docs: DataFrame, cells: DataFrame, at: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """``(node, component)``, written, of all nodes with a link; every pair that shares a cell is
+    excluded by its bound, verified, or within a component already.
+
+    Most groups are joined by one verified pair a node; then pairs that are still apart follow."""
+    paged, tiles = tiled(cells, at, num, den)
+    met = settled(likeliest(paged, num, den).groupBy("a", "b").agg(F.max("shared").alias("shared")), "cell-met")
+    star = met.where("a <> b")
+    sets = settled(sets_of(docs, met.select(F.col("a").alias("node")).union(
+        paged.where(F.col("members") > PAGE).select("node")), words), "ngram-shingles")
+    nearest = star.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+    sure = settled(verified(nearest, sets, num, den), "cell-links")
+    label = components(sure)
+    ends = [label.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}")) for k in "ab"]
+    apart = star.select("a", "b").join(nearest, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(
+        ends[1], "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    also = settled(verified(apart, sets, num, den), "cell-links")
+    links = sure.union(also)
+    first = label if also.isEmpty() else components(links)
+    others = across(paged, tiles, first, num, den)
+    more = settled(verified(others.join(star, ["a", "b"], "left_anti"), sets, num, den), "cell-links")
+    out = first if more.isEmpty() else components(links.union(more))
+    older = {id(x): x for x in (label, first) if x is not out}
+    forget(met, paged, tiles, sets, sure, also, others, more, *older.values())
+    return out
 
 
 def jaccard_components(
@@ -305,24 +486,19 @@ def jaccard_components(
     columns are not read.  Shingles and sets are told apart by 64-bit hashes.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    all_docs = settled(described(docs, words, num, den), "ngram-sets")
-    named = all_docs.where(F.size("keys") > 0).select(F.explode("keys").alias("cell"), "node")
-    cells = settled(meetings(named), "ngram-cells")
-
-    def prepare(pairs):
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = settled(sets_of(docs, nodes, words), "ngram-shingles")
-        at = settled(pointed(sets), "ngram-points")
-        return lambda p: verified(bounded(p, at, num, den), sets, num, den), at, [sets, at]
-
-    label = linked(cells, prepare, lambda members: searched(members, num, den))
+    both = settled(described(docs, words, num, den), "ngram-sets")
+    all_docs = both.where("segment is null")
+    twice = bloom.merged(both.where("segment is not null").select("segment", "once", "twice"), FILTER_BITS)
+    cells = settled(meetings(cells_of(docs, words, num, den, twice)), "ngram-cells")
+    at = all_docs.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("at").alias("at"))
+    label = joined(docs, cells, at, words, num, den)
     by_set = all_docs.where("size > 0").groupBy("node").agg(F.min("id").alias("own"))
-    joined = settled(
+    owned = settled(
         by_set.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "ngram-named")
-    lowest = joined.groupBy("component").agg(F.min("own").alias("low"))
-    named = joined.join(lowest, "component").select("node", "low")
-    out = settled(all_docs.select("id", "size", "node").join(named, "node", "left").select(
+    lowest = owned.groupBy("component").agg(F.min("own").alias("low"))
+    least = owned.join(lowest, "component").select("node", "low")
+    out = settled(all_docs.select("id", "size", "node").join(least, "node", "left").select(
         F.col("id").alias(id_col), F.col("size").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("low")).alias("component_id")), "ngram-components")
-    forget(all_docs, cells, label, joined)
+    forget(both, cells, label, owned)
     return out

@@ -74,15 +74,45 @@ def test_no_near_pair_without_a_common_cell():
                 assert np.intersect1d(cells.keys(a), cells.keys(b)).size
 
 
-def test_tree_finds_all_that_the_bound_allows():
+def test_trees_find_all_that_the_bound_allows():
     draw = np.random.default_rng(5)
     at = draw.poisson(3, (700, ngram.AXES)).astype(np.int32)
     at[350:] = at[:350] + draw.integers(0, 2, (350, ngram.AXES)).astype(np.int32)
-    size = at.sum(axis=1)
-    q, p = ngram.RTree(at, size, 85, 100).near(at, size)
+    size, group = at.sum(axis=1), np.tile([1, 1, 1, 4, 4, 9, 1], 100)
+    asks = np.append(group, 5)
+    q, p, shared = ngram.Forest(group, at, size, 85, 100).near(asks, np.vstack([at, at[:1]]), np.append(size, size[0]))
     bound = np.minimum(at[:, None], at[None]).sum(axis=2)
-    want = np.argwhere(185 * bound >= 85 * (size[:, None] + size[None]))
-    assert sorted(zip(q.tolist(), p.tolist())) == sorted(map(tuple, want.tolist()))
+    fits = (185 * bound >= 85 * (size[:, None] + size[None])) & (group[:, None] == group)
+    assert sorted(zip(q.tolist(), p.tolist())) == sorted(map(tuple, np.argwhere(fits).tolist()))
+    assert (bound[q, p] == shared).all()
+
+
+def test_large_cells_are_cut_into_tiles_and_pages(spark, monkeypatch):
+    """Cells of many more nodes than a page holds, with links across tiles and pages."""
+    monkeypatch.setattr(ngram, "PAGE", 4)
+    monkeypatch.setattr(ngram, "ASKED", 3)
+    draw = random.Random(8)
+    base = [f"w{k}" for k in range(70)]
+    rows = []
+    for k in range(90):
+        own = list(base[:draw.choice((48, 54, 60, 66, 70))])
+        for _ in range(draw.randint(0, 3)):
+            own[draw.randrange(len(own))] = f"x{draw.randrange(40)}"
+        rows.append((k, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in ngram.jaccard_components(df).collect()), key=str)
+    assert got == brute(rows, 4, 85, 100)
+
+
+def test_all_links_come_from_the_trees(spark, monkeypatch):
+    """With trees that find nothing, only equal sets are one component."""
+    monkeypatch.setattr(ngram, "likeliest", lambda paged, num, den: paged.sparkSession.createDataFrame(
+        [], "a long, b long, shared double"))
+    monkeypatch.setattr(ngram, "across", lambda paged, *rest: ngram.settled(
+        paged.sparkSession.createDataFrame([], "a long, b long"), "none"))
+    rows = [(k, " ".join(f"w{j}" for j in range(60 + k % 3))) for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram.jaccard_components(df).collect()} == {k: k % 3 for k in range(9)}
 
 
 def test_awkward_rows(awkward, nothing):

@@ -152,12 +152,32 @@ class Cells:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def points(sets: list[np.ndarray]) -> np.ndarray:
+def points_of(sets: list[np.ndarray]) -> np.ndarray:
     """Counts of each set's shingles in AXES groups."""
     return np.array([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=AXES) for s in sets],
                     np.int32).reshape(-1, AXES)
 
 
+def fine_point(s: np.ndarray) -> bytes:
+    """Counts of a set's shingles in a power of two of groups, about four in each; a byte a group."""
+    bits = max(6, (len(s) // 4).bit_length())
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    while counts.max() > 255:
+        bits += 1
+        counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes()
+
+
+def most_shared(x: bytes, y: bytes) -> int:
+    """Summed coordinate minima of two fine points; the finer is folded to the other's groups."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(p) < len(q):
+        p, q = q, p
+    if len(p) > len(q):
+        p = p.reshape(len(q), -1).sum(axis=1)
+    return int(np.minimum(p, q).sum(dtype=np.int64))
+
+
 class Forest:
     """Packed R-trees, one a group: every node keeps the largest count of each coordinate below it
     and the smallest size, which bound the overlap of a query with all of it."""
@@ -217,9 +237,11 @@ def named(s: np.ndarray) -> int:
 
 
 def described(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """``(id, size, node, at)`` of every row, and rows ``(segment, once, twice)`` of the filters over
-    cells, in one pass; ``node`` is the hash of the set, equal for equal sets, ``at`` its point."""
-    rows = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("at", pa.list_(pa.int32()))])
+    """``(id, size, node, at, fine)`` of every row, and rows ``(segment, once, twice)`` of the filters over
+    cells, in one pass; ``node`` is the hash of the set, equal for equal sets, ``at`` its point and
+    ``fine`` its fine point."""
+    rows = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("at", pa.list_(pa.int32())),
+                      ("fine", pa.binary())])
     whole = pa.schema([*rows, *bloom.PARTIAL])
 
     def widened(batch):
@@ -234,7 +256,8 @@ def described(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
         for b, texts in in_parts(batches, "text"):
             sets = shingle_sets(texts, words)
             nodes = [named(s) if len(s) else None for s in sets]
-            yield widened(batch_of(rows, b.column("id"), [len(s) for s in sets], nodes, list(points(sets))))
+            yield widened(batch_of(rows, b.column("id"), [len(s) for s in sets], nodes, list(points_of(sets)),
+                                   [fine_point(s) for s in sets]))
             if len(seen) > 1_000_000:
                 seen.clear()
             for s, node in zip(sets, nodes):
@@ -248,7 +271,7 @@ def described(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
         if count:
             yield widened(bloom.packed(held))
 
-    return docs.mapInArrow(work, f"id long, size long, node long, at array<int>, {bloom.PARTIAL_DDL}")
+    return docs.mapInArrow(work, f"id long, size long, node long, at array<int>, fine binary, {bloom.PARTIAL_DDL}")
 
 
 def cells_of(docs: DataFrame, words: int, num: int, den: int, twice: np.ndarray) -> DataFrame:
@@ -306,6 +329,24 @@ def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
+def bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``(a, b)`` whose fine points allow the threshold: a set's fine point is some thirty
+    times smaller than the set, so few sets meet that do not link."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def work(batches):
+        for b in batches:
+            least = -(-num * b.column("sizes").to_numpy(zero_copy_only=False) // (num + den))
+            fits = [most_shared(x.as_py(), y.as_py()) >= k for x, y, k in zip(b.column("x"), b.column("y"), least.tolist())]
+            keep = pa.array(fits, pa.bool_())
+            yield batch_of(schema, b.column("a").filter(keep), b.column("b").filter(keep))
+
+    left = points.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("fine").alias("x"))
+    right = points.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("fine").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("m") + F.col("n")).alias("sizes"), "x", "y")
+    return both.mapInArrow(work, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs ``(a, b)`` whose sets reach the threshold."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -354,7 +395,7 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
 
 def likeliest(paged: DataFrame, num: int, den: int) -> DataFrame:
     """``(a, b, shared)``: for each point ``b`` the point ``a`` before it in its page whose bound is
-    highest; and ``(a, a, 0)`` for every point that any search met.
+    highest.
 
     Sorted rows pass in a stream: a task holds one batch and what came before it in its page.
     """
@@ -382,9 +423,7 @@ def likeliest(paged: DataFrame, num: int, den: int) -> DataFrame:
                 likely = shared / (size[q] + size[p])
                 best = np.lexsort((node[p], -likely, q))
                 best = best[np.unique(q[best], return_index=True)[1]]
-                met = np.unique(node[np.concatenate([q, p])])
-                yield batch_of(schema, np.append(node[p[best]], met), np.append(node[q[best]], met),
-                               np.append(likely[best], np.zeros(len(met))))
+                yield batch_of(schema, node[p[best]], node[q[best]], likely[best])
             held = [x[group == group[-1]] for x in rows]
 
     dealt = paged.select("cell", "tile", "page", "node", "size", "at").repartition(
@@ -426,7 +465,8 @@ def across(paged: DataFrame, tiles: DataFrame, label: DataFrame, num: int, den:
             last = (group == group[-1]) & ~probe
             held = [x[last] for x in rows]
 
-    labelled = paged.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    # Of a cell of two nodes, the only pair has been looked up.
+    labelled = paged.where("members > 2").join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     mixed_cells = labelled.groupBy("cell").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("label", "node").alias("main")
     ).where("low <> high").select("cell", "main")
@@ -445,30 +485,38 @@ def across(paged: DataFrame, tiles: DataFrame, label: DataFrame, num: int, den:
     return out
 
 
-def joined(docs: DataFrame, cells: DataFrame, at: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def joined(docs: DataFrame, cells: DataFrame, points: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """``(node, component)``, written, of all nodes with a link; every pair that shares a cell is
     excluded by its bound, verified, or within a component already.
 
     Most groups are joined by one verified pair a node; then pairs that are still apart follow."""
-    paged, tiles = tiled(cells, at, num, den)
-    met = settled(likeliest(paged, num, den).groupBy("a", "b").agg(F.max("shared").alias("shared")), "cell-met")
-    star = met.where("a <> b")
-    sets = settled(sets_of(docs, met.select(F.col("a").alias("node")).union(
-        paged.where(F.col("members") > PAGE).select("node")), words), "ngram-shingles")
-    nearest = star.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+    paged, tiles = tiled(cells, points.select("node", "size", "at"), num, den)
+    nodes_of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    best = settled(likeliest(paged, num, den).groupBy("a", "b").agg(F.max("shared").alias("shared")), "cell-best")
+    star = settled(bounded(best.select("a", "b"), points, num, den), "cell-star")
+    sets = settled(sets_of(docs, nodes_of(star), words), "ngram-shingles")
+    nearest = star.join(best, ["a", "b"]).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
+    nearest = settled(nearest.select("a", "b"), "cell-nearest")
     sure = settled(verified(nearest, sets, num, den), "cell-links")
     label = components(sure)
     ends = [label.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}")) for k in "ab"]
-    apart = star.select("a", "b").join(nearest, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(
-        ends[1], "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    apart = star.join(nearest, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left").where(
+        F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
     also = settled(verified(apart, sets, num, den), "cell-links")
     links = sure.union(also)
     first = label if also.isEmpty() else components(links)
     others = across(paged, tiles, first, num, den)
-    more = settled(verified(others.join(star, ["a", "b"], "left_anti"), sets, num, den), "cell-links")
+    untried = settled(bounded(others.join(best, ["a", "b"], "left_anti"), points, num, den), "cell-others")
+    unread = settled(nodes_of(untried).join(sets, "node", "left_anti"), "cell-unread")
+    if unread.isEmpty():
+        late, known = [], sets
+    else:
+        late = [settled(sets_of(docs, unread, words), "ngram-shingles")]
+        known = sets.union(late[0].join(sets, "node", "left_anti"))
+    more = settled(verified(untried, known, num, den), "cell-links")
     out = first if more.isEmpty() else components(links.union(more))
     older = {id(x): x for x in (label, first) if x is not out}
-    forget(met, paged, tiles, sets, sure, also, others, more, *older.values())
+    forget(best, star, nearest, paged, tiles, sets, sure, also, others, untried, unread, *late, more, *older.values())
     return out
 
 
@@ -490,15 +538,16 @@ def jaccard_components(
     all_docs = both.where("segment is null")
     twice = bloom.merged(both.where("segment is not null").select("segment", "once", "twice"), FILTER_BITS)
     cells = settled(meetings(cells_of(docs, words, num, den, twice)), "ngram-cells")
-    at = all_docs.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("at").alias("at"))
-    label = joined(docs, cells, at, words, num, den)
-    by_set = all_docs.where("size > 0").groupBy("node").agg(F.min("id").alias("own"))
+    points = settled(all_docs.where("size > 0").groupBy("node").agg(
+        F.min("id").alias("own"), F.first("size").alias("size"), F.first("at").alias("at"),
+        F.first("fine").alias("fine")), "ngram-points")
+    label = joined(docs, cells, points, words, num, den)
     owned = settled(
-        by_set.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "ngram-named")
+        points.select("node", "own").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "ngram-named")
     lowest = owned.groupBy("component").agg(F.min("own").alias("low"))
     least = owned.join(lowest, "component").select("node", "low")
     out = settled(all_docs.select("id", "size", "node").join(least, "node", "left").select(
         F.col("id").alias(id_col), F.col("size").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("low")).alias("component_id")), "ngram-components")
-    forget(both, cells, label, owned)
+    forget(both, cells, points, label, owned)
     return out

@@ -87,6 +87,16 @@ def test_trees_find_all_that_the_bound_allows():
     assert (bound[q, p] == shared).all()
 
 
+def test_fine_points_bound_what_sets_share():
+    draw = np.random.default_rng(6)
+    for n, m in ((1, 3), (50, 300), (255, 260), (900, 1100), (5000, 4000)):
+        both = draw.integers(0, 1 << 63, min(n, m) // 2).astype(np.uint64) * np.uint64(2)
+        a, b = (np.unique(np.append(both, draw.integers(0, 1 << 63, k - len(both)).astype(np.uint64))) for k in (n, m))
+        shared = ngram.most_shared(ngram.fine_point(a), ngram.fine_point(b))
+        assert len(np.intersect1d(a, b)) <= shared <= min(len(a), len(b))
+        assert shared == ngram.most_shared(ngram.fine_point(b), ngram.fine_point(a))
+
+
 def test_large_cells_are_cut_into_tiles_and_pages(spark, monkeypatch):
     """Cells of many more nodes than a page holds, with links across tiles and pages."""
     monkeypatch.setattr(ngram, "PAGE", 4)

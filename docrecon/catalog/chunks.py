@@ -80,7 +80,7 @@ def renumber_candidates(spark, d):
 
 def _event_bills(spark, d):
     """One bill per event; types without a total or a date leave gaps for later parts to fill."""
-    e = event_pages(spark, d, "event_type", "value")
+    e = settle(event_pages(spark, d, "event_type", "value"))  # bills and pages both read it
     kind = F.col("event_type")
     given = {
         "originalDocumentNumber": F.when(F.col("value") > 60, F.lit("big")),
@@ -145,9 +145,9 @@ def merge_spanning(spark, d):
     from docrecon.functions.fields import typed_cell
     from docrecon.schema import CELL_FIELDS
 
-    full = settle(full.withColumns(
+    full = full.withColumns(
         {f: typed_cell(f, None, 0.0) for f in CELL_FIELDS if f not in bills.columns}
-    ).withColumn("chunk_id", F.col("chunk_id").cast("string")))
+    ).withColumn("chunk_id", F.col("chunk_id").cast("string"))
     ledger = merge.merge_spanning(
         full, listed.withColumn("chunk_id", F.col("chunk_id").cast("string")), PROSE
     )

@@ -27,9 +27,8 @@ from pyspark.sql import functions as F
 
 from docrecon.functions.fields import norm_identity, val
 from docrecon.functions.names import name_rule, names_agree, names_agree_by_edits, norm_name
-from docrecon.operators.assemble import renumber
 from docrecon.operators.ledger import BILL_KEY, Ledger, audit_rows, new_ledger
-from docrecon.operators.ordered import BLOCK, block_of, neighbours, running_last
+from docrecon.operators.ordered import BLOCK, block_of, neighbours, running_count, running_last
 from docrecon.operators.rounds import settle
 from docrecon.profile import Profile
 from docrecon.schema import CELL_FIELDS, cell_sql_type, is_number
@@ -301,25 +300,26 @@ def merge_spanning(
     Values already stated stay; missing cells take the first later part that states them.  Only
     cells cross over, so line items of later parts are dropped.
     """
-    decisions = settle(merge_decisions(boundary_facts(bills, pages, p), p, block))
-    lean = bills.select(*BILL_KEY).join(decisions, BILL_KEY, "left").withColumn(
+    # What decides is read several times, so it is cut out of the wide rows once.
+    slim = settle(bills.select(*BILL_KEY, "chunkPageIndex", *EXACT.values(), "sellerName"))
+    decisions = settle(merge_decisions(boundary_facts(slim, pages, p), p, block))
+    lean = slim.select(*BILL_KEY).join(decisions, BILL_KEY, "left").withColumn(
         "joins", F.coalesce("joins", F.lit(False))
     )
     head = F.when(~F.col("joins"), F.col("cand_pos"))
     heads = settle(running_last(lean, ["chunk_id"], ["cand_pos"], head, "head"))
-    marked = bills.join(heads, BILL_KEY)
-
-    spans = marked.where(F.col("chunkPageIndex").isNotNull()).select(
+    # Numbered before the wide rows come in, so that these are dealt and sorted once.
+    number = running_count(heads.where(~F.col("joins")), ["chunk_id"], ["cand_pos"], "candidateIndex").select(
+        *BILL_KEY, F.col("candidateIndex").cast("int").alias("candidateIndex"))
+    spans = slim.where(F.col("chunkPageIndex").isNotNull()).join(heads, BILL_KEY).select(
         "chunk_id", F.col("head").alias("cand_pos"), F.col("chunkPageIndex").alias("page_index")
     )
-    parts = marked.where("joins")
-    later = _first_stated(parts)
+    later = _first_stated(bills.join(heads.where("joins"), BILL_KEY))
     cells = {f: _filled(f) for f in CELL_FIELDS}
-    heads = marked.where(~F.col("joins")).select(*bills.columns)
-    merged = heads.join(later.drop("parts"), BILL_KEY, "left").select(
+    merged = bills.drop("candidateIndex").join(number, BILL_KEY).join(later.drop("parts"), BILL_KEY, "left").select(
         *[cells[c].alias(c) if c in cells else F.col(c) for c in bills.columns]
     )
-    ledger = new_ledger(merged).but(bills=renumber(merged), spans=spans)
+    ledger = new_ledger(merged).but(spans=spans)
     return ledger.log(
         audit_rows(
             later, "merge", attached=F.lit(True), reason=F.lit("bill continues over a page break"),

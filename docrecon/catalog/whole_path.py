@@ -8,6 +8,7 @@ from docrecon.catalog.registry import query, table
 from docrecon.catalog.shapes import event_pages
 from docrecon.functions.fields import typed_cell, val
 from docrecon.operators.contract import ledger_errors
+from docrecon.operators.rounds import settle
 from docrecon.plans.reconcile import reconcile
 from docrecon.profile import OwnParty, Profile
 from docrecon.schema import CELL_FIELDS, LINE_ITEM
@@ -28,7 +29,8 @@ def receipts(spark, d):
     Purchases are receipts, clicks bank slips, errors identity cards, views ticket pages and sign-ups
     withholding certificates.
     """
-    e = event_pages(spark, d, "event_type", "value").withColumn(
+    # Numbered once: pages, candidates and requests all read it.
+    e = settle(event_pages(spark, d, "event_type", "value")).withColumn(
         "chunk_id", F.col("chunk_id").cast("string")
     )
     kind, v = F.col("event_type"), F.col("value")

@@ -146,9 +146,9 @@ def is_transfer_slip(text: Column, p: Profile) -> Column:
 def is_toll_page(text: Column, p: Profile) -> Column:
     hits = marker_count(text, p.toll_markers)
     if p.toll_issuer_id:
-        hits = hits + F.coalesce(
-            F.contains(no_space(text), F.lit(p.toll_issuer_id)).cast("int"), F.lit(0)
-        )
+        # Found where it stands; the page is not rebuilt without its white space.
+        spaced = rf"{WS}*+".join(rf"\Q{c}\E" for c in p.toll_issuer_id)
+        hits = hits + F.coalesce(text.rlike(spaced).cast("int"), F.lit(0))
     return hits >= p.limits.toll_hits
 
 
@@ -160,18 +160,20 @@ def labelled_value(text: Column, pattern: str, squeeze_result: bool = True) -> C
 
 def roles_for_page(text: Column, p: Profile) -> Column:
     """Roles the page's headings establish, in list order without repeats; citations do not count."""
-    clean = F.coalesce(F.regexp_replace(text, p.citation_forms, " "), F.lit(""))
-    named = F.array_distinct(
-        F.array_compact(
-            F.array(*[F.when(F.contains(clean, F.lit(h)), F.lit(r)) for h, r in p.heading_roles])
+    def found(clean):
+        named = F.array_distinct(
+            F.array_compact(
+                F.array(*[F.when(F.contains(clean, F.lit(h)), F.lit(r)) for h, r in p.heading_roles])
+            )
         )
-    )
-    cash = (
-        ~F.array_contains(named, p.cash_role)
-        & contains_any(clean, p.cash_headings)
-        & ~contains_any(clean, p.cash_outranked_by)
-    )
-    return F.when(cash, F.array_append(named, F.lit(p.cash_role))).otherwise(named)
+        cash = (
+            contains_any(clean, p.cash_headings)
+            & ~contains_any(clean, p.cash_outranked_by)
+            & ~F.array_contains(named, p.cash_role)
+        )
+        return F.when(cash, F.array_append(named, F.lit(p.cash_role))).otherwise(named)
+
+    return bind(F.coalesce(F.regexp_replace(text, p.citation_forms, " "), F.lit("")), found)
 
 
 def clean_document_number(value: Column, text: Column, p: Profile) -> Column:

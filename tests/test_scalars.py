@@ -171,3 +171,13 @@ def test_many_amounts_equal_all_pairs_and_stay_fast(spark):
     start = time.time()
     assert page.select(money.base_and_tax(F.col("a"), [10.0]).alias("x")).first().x is None
     assert time.time() - start < 30
+
+
+def test_page_tests_read_the_text_once(spark):
+    page = spark.createDataFrame(
+        [("09 94000 1654\n21",), ("x0994000165421",), ("099400016542 2",), ("EXAT",), (None,)], "t string")
+    tolls = page.select(text.is_toll_page(F.col("t"), P).alias("toll"))
+    assert [r.toll for r in tolls.collect()] == [True, True, False, True, False]
+    shown = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "regexp_replace" not in shown(tolls)
+    assert shown(page.select(text.roles_for_page(F.col("t"), P).alias("roles"))).count("regexp_replace") == 1

@@ -308,8 +308,9 @@ def merge_spanning(
     )
     head = F.when(~F.col("joins"), F.col("cand_pos"))
     heads = settle(running_last(lean, ["chunk_id"], ["cand_pos"], head, "head"))
-    # Numbered before the wide rows come in, so that these are dealt and sorted once.
-    number = running_count(heads.where(~F.col("joins")), ["chunk_id"], ["cand_pos"], "candidateIndex").select(
+    # Numbered before the wide rows come in, so that these are dealt and sorted once; a row without a
+    # position meets no bill and takes no number.
+    number = running_count(heads.where("not joins and cand_pos is not null"), ["chunk_id"], ["cand_pos"], "candidateIndex").select(
         *BILL_KEY, F.col("candidateIndex").cast("int").alias("candidateIndex"))
     spans = slim.where(F.col("chunkPageIndex").isNotNull()).join(heads, BILL_KEY).select(
         "chunk_id", F.col("head").alias("cand_pos"), F.col("chunkPageIndex").alias("page_index")

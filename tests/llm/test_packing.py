@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -62,6 +63,18 @@ def test_words_equal_the_library():
         assert np.frombuffer(packed, "<u4").tolist() == want, repr(text)
 
 
+def test_columns_are_encoded_as_they_are():
+    """Arrow columns, also slices, of either string type; a batch's words are told apart by Arrow."""
+    library, encoder = Tokenizer.from_file(PATH), packing.WordEncoder(SPEC)
+    texts = ["skipped", *TEXTS, None, "", " \t", "a\x1cb\x0bc  d\r\n", "Straße, straße"]
+    want = [library.encode(t, add_special_tokens=False).ids if t else [] for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        for column in (pa.array(texts, kind)[1:], pa.array(texts, kind)[2:4], pa.array([None], kind), pa.array([], kind)):
+            at = {len(texts) - 1: 1, 2: 2}.get(len(column), 0)
+            expected = want[at:at + len(column)] if at else [[]] * len(column)
+            assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(column)] == expected
+
+
 def test_word_cache_changes_generations(monkeypatch):
     """Tiny caches forget words at every batch; long words are never kept."""
     monkeypatch.setattr(packing, "CACHED", 4)

@@ -13,6 +13,8 @@ keeps them out of the shuffle.
 The trees are searched twice.  First each point looks up the likeliest of the points before it in
 its tile, about one pair a point, which joins groups of near copies.  Where a cell then still holds
 several components, its points look up all points of other components in all tiles of like size.
+Near sets share many cells, so each node lists its least ones: a pair is written in the first cell
+that both list, and only if points finer than the tree's allow the threshold.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ FILTER_BITS = 28  # of a filter over cells or sets; 32 MB
 PROBES = 2  # bits of a key in a filter
 HELD = 1 << 20  # bytes of text shingled at once
 ASKED = 1 << 10  # points that look up a tree at once
+LISTED = 16  # cells listed with a node
+MIDDLE = 512  # groups of a middle point, at most
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0xD1342543DE82EF95)
 WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -178,6 +182,14 @@ def most_shared(x: bytes, y: bytes) -> int:
     return int(np.minimum(p, q).sum(dtype=np.int64))
 
 
+def middle_point(fine: bytes) -> bytes:
+    """A fine point in at most MIDDLE groups; a byte a group or, where that is too little, four."""
+    if len(fine) <= MIDDLE:
+        return fine
+    counts = np.frombuffer(fine, np.uint8).reshape(MIDDLE, -1).sum(axis=1, dtype=np.uint32)
+    return counts.astype(np.uint8 if counts.max() < 256 else "<u4").tobytes()
+
+
 class Forest:
     """Packed R-trees, one a group: every node keeps the largest count of each coordinate below it
     and the smallest size, which bound the overlap of a query with all of it."""
@@ -275,7 +287,7 @@ def described(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
 
 def cells_of(docs: DataFrame, words: int, num: int, den: int, twice: np.ndarray) -> DataFrame:
-    """``(cell, node)`` of the cells that pass the filter ``twice``."""
+    """``(cell, node, lead)``, written, of the cells that pass the filter ``twice`` and several nodes have."""
     shared = docs.sparkSession.sparkContext.broadcast(twice)
     schema = pa.schema([("cell", pa.int64()), ("node", pa.int64())])
 
@@ -297,11 +309,13 @@ def cells_of(docs: DataFrame, words: int, num: int, den: int, twice: np.ndarray)
                 nodes.append(np.full(len(keys), node))
             yield batch_of(schema, _signed(np.concatenate(names)), np.concatenate(nodes))
 
-    return docs.select("text").mapInArrow(work, "cell long, node long")
+    out = settled(meetings(docs.select("text").mapInArrow(work, "cell long, node long")), "ngram-cells")
+    shared.destroy()
+    return out
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """``(node, shingles)`` of the named sets, once each.
+    """``(node, shingles)``, written, of the named sets, once each.
 
     A filter of fixed size over the names keeps the other documents' sets out of the shuffle.
     """
@@ -326,7 +340,9 @@ def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             yield batch_of(schema, node[mine] if mine else [], [_signed(sets[k]) for k in mine])
 
     found = docs.select("text").mapInArrow(work, "node long, shingles array<long>")
-    return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    out = settled(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "ngram-shingles")
+    shared.destroy()
+    return out
 
 
 def bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
@@ -431,57 +447,127 @@ def likeliest(paged: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(work, "a long, b long, shared double")
 
 
-def across(paged: DataFrame, tiles: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
+class Middles:
+    """Middle points of rows, each in its own number of groups, a power of two from AXES to MIDDLE."""
+
+    def __init__(self, points: np.ndarray):
+        length = np.array([len(x) for x in points], np.int64)
+        self.width = np.minimum(length, MIDDLE)
+        rows = [(np.flatnonzero(length == k), int(k)) for k in np.unique(length)]
+        read = [(mine, np.frombuffer(b"".join(points[mine]), np.uint8 if k <= MIDDLE else "<u4").reshape(len(mine), -1))
+                for mine, k in rows]
+        self.at = {k: np.zeros((len(points), k), np.int32) for k in np.unique(self.width).tolist()}
+        for k, folded in self.at.items():
+            for mine, counts in read:
+                if counts.shape[1] >= k:
+                    folded[mine] = counts.reshape(len(mine), k, -1).sum(axis=2, dtype=np.int32)
+
+    def coarse(self) -> np.ndarray:
+        """Counts in AXES groups."""
+        out = np.zeros((len(self.width), AXES), np.int32)
+        for k, counts in self.at.items():
+            mine = self.width == k
+            out[mine] = counts[mine].reshape(-1, AXES, k // AXES).sum(axis=2, dtype=np.int32)
+        return out
+
+    def shared(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Summed coordinate minima of pairs of rows, in the groups of the coarser one."""
+        out, width = np.zeros(len(p), np.int64), np.minimum(self.width[p], self.width[q])
+        for k in np.unique(width).tolist():
+            mine = np.flatnonzero(width == k)
+            for a in range(0, len(mine), 1 << 12):
+                some = mine[a:a + (1 << 12)]
+                out[some] = np.minimum(self.at[k][p[some]], self.at[k][q[some]]).sum(axis=1)
+        return out
+
+
+def met_before(listed: np.ndarray, cell: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether the rows of a pair both list a cell less than the one they meet in."""
+    out = np.zeros(len(p), bool)
+    for a in range(0, len(p), 1 << 12):
+        x, y = listed[p[a:a + (1 << 12)]], listed[q[a:a + (1 << 12)]]
+        less = x < cell[p[a:a + (1 << 12)], None]
+        out[a:a + (1 << 12)] = ((x[:, :, None] == y[:, None, :]).any(axis=2) & less).any(axis=1)
+    return out
+
+
+def across(paged: DataFrame, tiles: DataFrame, label: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs ``(a, b)``, ``a < b``, of points in different components that share a cell and whose
     bound allows the threshold.
 
-    All points outside the component of a cell's least node look up all pages of like size."""
+    All points outside the component of a cell's least node look up all pages of like size.  In a cell
+    of one page they are rows of the page themselves and look up those before them.  A pair meets in every cell it shares; it is left out where both nodes list a lesser one, in which it
+    meets as well.  Where their lists have no cell in common, it is written in every cell."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     n = int(paged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["cell", "tile", "page", "probe", "known", "node", "size", "label", "listed", "middle"]
 
     def work(batches):
         held = None
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = _columns(b, ["cell", "tile", "page", "probe", "node", "size", "label"])
+            rows = [b.column(k).to_numpy(zero_copy_only=False) for k in columns]
+            rows[8] = np.full((b.num_rows, LISTED), np.iinfo(np.int64).max)
+            lists = b.column("listed")
+            many = np.diff(lists.offsets.to_numpy())
+            rows[8][np.arange(LISTED) < many[:, None]] = lists.flatten().to_numpy()
             old = 0 if held is None else len(held[0])
             if old:
                 rows = [np.concatenate(x) for x in zip(held, rows)]
             group = _groups(*rows[:3])
-            probe, node, size, of, at = rows[3:]
-            probe = probe.astype(bool)
-            asks = np.flatnonzero(probe)
-            known = np.flatnonzero(~probe)
+            cell, (probe, there), (node, size, of, listed, middle) = rows[0], (x.astype(bool) for x in rows[3:5]), rows[5:]
+            asks = old + np.flatnonzero(probe[old:])
+            known = np.flatnonzero(there)
             if len(asks) and len(known):
+                middles = Middles(middle)
+                at = middles.coarse()
                 trees = Forest(group[known], at[known], size[known], num, den)
                 for k in range(0, len(asks), ASKED):
                     some = asks[k:k + ASKED]
                     q, p, _ = trees.near(group[some], at[some], size[some])
                     q, p = some[q], known[p]
-                    apart = of[q] != of[p]
-                    x, y = node[q[apart]], node[p[apart]]
+                    apart = (of[q] != of[p]) & ((p < q) | ~probe[p])
+                    q, p = q[apart], p[apart]
+                    first = ~met_before(listed, cell, q, p)
+                    q, p = q[first], p[first]
+                    fits = (num + den) * middles.shared(q, p) >= num * (size[q] + size[p])
+                    x, y = node[q[fits]], node[p[fits]]
                     yield batch_of(schema, np.minimum(x, y), np.maximum(x, y))
-            last = (group == group[-1]) & ~probe
+            last = (group == group[-1]) & there
             held = [x[last] for x in rows]
 
+    def listing(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(
+                [b.column("node"), b.column("listed"),
+                 pa.array([middle_point(x) for x in b.column("fine").to_pylist()], pa.binary())],
+                names=["node", "listed", "middle"])
+
     # Of a cell of two nodes, the only pair has been looked up.
-    labelled = paged.where("members > 2").join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    narrow = paged.where("members > 2").select("cell", "tile", "page", "members", "node", "size")
+    labelled = narrow.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     mixed_cells = labelled.groupBy("cell").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("label", "node").alias("main")
     ).where("low <> high").select("cell", "main")
-    members = settled(labelled.join(mixed_cells, "cell"), "cell-mixed")
-    fields = ["cell", "tile", "page", "probe", "node", "size", "label", "at"]
-    indexed = members.withColumn("probe", F.lit(False)).select(fields)
-    asking = members.where("label <> main").withColumn("probe", F.lit(True))
-    small = asking.where(F.col("members") <= PAGE).select(fields)
-    large = asking.where(F.col("members") > PAGE).drop("page").withColumn(
+    inside = settled(labelled.join(mixed_cells, "cell"), "cell-inside")
+    # A node has at most as many cells as a set has groups.
+    least = inside.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("cell")), 1, LISTED).alias("listed"))
+    about = least.join(points.select("node", "fine"), "node").mapInArrow(
+        listing, "node long, listed array<long>, middle binary")
+    members = settled(inside.join(about, "node"), "cell-mixed")
+    asks = F.col("label") != F.col("main")
+    role = lambda df, probe, known: df.withColumns({"probe": probe, "known": F.lit(known)})
+    small = role(members.where(F.col("members") <= PAGE), asks, True).select(columns)
+    several = members.where(F.col("members") > PAGE)
+    indexed = role(several, F.lit(False), True).select(columns)
+    large = role(several.where(asks), F.lit(True), False).drop("page").withColumn(
         "tile", F.explode(F.array(*[F.col("tile") + F.lit(k) for k in (-1, 0, 1)]))).join(tiles, ["cell", "tile"]).withColumn(
-        "page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1))).select(fields)
+        "page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1))).select(columns)
     dealt = indexed.union(small).union(large).repartition(n, "cell", "tile", "page").sortWithinPartitions(
         "cell", "tile", "page", "probe")
     out = settled(dealt.mapInArrow(work, "a long, b long").distinct(), "cell-across")
-    forget(members)
+    forget(inside, members)
     return out
 
 
@@ -494,7 +580,7 @@ def joined(docs: DataFrame, cells: DataFrame, points: DataFrame, words: int, num
     nodes_of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     best = settled(likeliest(paged, num, den).groupBy("a", "b").agg(F.max("shared").alias("shared")), "cell-best")
     star = settled(bounded(best.select("a", "b"), points, num, den), "cell-star")
-    sets = settled(sets_of(docs, nodes_of(star), words), "ngram-shingles")
+    sets = sets_of(docs, nodes_of(star), words)
     nearest = star.join(best, ["a", "b"]).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
     nearest = settled(nearest.select("a", "b"), "cell-nearest")
     sure = settled(verified(nearest, sets, num, den), "cell-links")
@@ -505,13 +591,13 @@ def joined(docs: DataFrame, cells: DataFrame, points: DataFrame, words: int, num
     also = settled(verified(apart, sets, num, den), "cell-links")
     links = sure.union(also)
     first = label if also.isEmpty() else components(links)
-    others = across(paged, tiles, first, num, den)
+    others = across(paged, tiles, first, points, num, den)
     untried = settled(bounded(others.join(best, ["a", "b"], "left_anti"), points, num, den), "cell-others")
     unread = settled(nodes_of(untried).join(sets, "node", "left_anti"), "cell-unread")
     if unread.isEmpty():
         late, known = [], sets
     else:
-        late = [settled(sets_of(docs, unread, words), "ngram-shingles")]
+        late = [sets_of(docs, unread, words)]
         known = sets.union(late[0].join(sets, "node", "left_anti"))
     more = settled(verified(untried, known, num, den), "cell-links")
     out = first if more.isEmpty() else components(links.union(more))
@@ -537,7 +623,7 @@ def jaccard_components(
     both = settled(described(docs, words, num, den), "ngram-sets")
     all_docs = both.where("segment is null")
     twice = bloom.merged(both.where("segment is not null").select("segment", "once", "twice"), FILTER_BITS)
-    cells = settled(meetings(cells_of(docs, words, num, den, twice)), "ngram-cells")
+    cells = cells_of(docs, words, num, den, twice)
     points = settled(all_docs.where("size > 0").groupBy("node").agg(
         F.min("id").alias("own"), F.first("size").alias("size"), F.first("at").alias("at"),
         F.first("fine").alias("fine")), "ngram-points")

@@ -114,6 +114,46 @@ def test_large_cells_are_cut_into_tiles_and_pages(spark, monkeypatch):
     assert got == brute(rows, 4, 85, 100)
 
 
+def test_a_pair_is_written_in_one_cell(spark, monkeypatch):
+    """Sets just below the threshold share many cells; each pair of them is written once."""
+    real, found = ngram.across, []
+
+    def spy(paged, *rest):
+        with monkeypatch.context() as m:
+            m.setattr(type(paged), "distinct", lambda self: self)
+            out = real(paged, *rest)
+        found.extend(tuple(r) for r in out.collect())
+        return ngram.settled(out.distinct(), "spied")
+
+    monkeypatch.setattr(ngram, "across", spy)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(0, " ".join(base)), (1, " ".join(base[:-1]))]
+    for k in range(2, 14):
+        own = list(base)
+        for j in range(5):
+            own[(k * 17 + j * 38) % 200] = f"x{k}y{j}"
+        rows.append((k, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in ngram.jaccard_components(df).collect()), key=str)
+    assert got == brute(rows, 4, 85, 100)
+    assert len(found) > 5 and len(set(found)) == len(found)
+
+
+def test_middle_points_bound_what_sets_share():
+    draw = np.random.default_rng(9)
+    sets = []
+    for n in (1, 60, 300, 900, 2100, 30_000, 400_000):
+        both = draw.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+        more = [draw.integers(0, 1 << 63, n // 9 + 1).astype(np.uint64) for _ in range(2)]
+        sets += [np.unique(np.append(both, x)) for x in more]
+    middles = ngram.Middles(np.array([ngram.middle_point(ngram.fine_point(s)) for s in sets], object))
+    assert (middles.coarse() == ngram.points_of(sets)).all()
+    p, q = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    for k, shared in zip(zip(p.tolist(), q.tolist()), middles.shared(p, q).tolist()):
+        a, b = sets[k[0]], sets[k[1]]
+        assert len(np.intersect1d(a, b)) <= shared <= min(len(a), len(b))
+
+
 def test_all_links_come_from_the_trees(spark, monkeypatch):
     """With trees that find nothing, only equal sets are one component."""
     monkeypatch.setattr(ngram, "likeliest", lambda paged, num, den: paged.sparkSession.createDataFrame(

@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.llm.common import batch_of
+from docrecon.llm.common import batch_of, forget, settled
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -94,10 +94,12 @@ def merged(partials: DataFrame, bits: int = BITS, twice: bool = True) -> np.ndar
         yield batch_of(pa.schema([("segment", pa.int32()), ("bits", pa.binary())]),
                        [s for s, _ in done], [zlib.compress(x.tobytes(), 1) for _, x in done])
 
-    whole = (
+    # Written first: the partial filters need not stay on disk.
+    written = settled(
         partials.repartition(n, F.col("segment")).sortWithinPartitions("segment")
-        .mapInArrow(merge, "segment int, bits binary").toArrow()
-    )
+        .mapInArrow(merge, "segment int, bits binary"), "filter")
+    whole = written.toArrow()
+    forget(written)
     out = np.zeros((1 << bits) // 8, np.uint8)
     width = (1 << SEGMENT) // 8
     for s, t in zip(whole.column(0).to_pylist(), whole.column(1).to_pylist()):

@@ -18,6 +18,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Python workers outlive tasks; tables that cost time to build are kept under this name.
 _KEPT = "docrecon_llm_kept"
 
+#: Spark's setting to delete the shuffle files of a query that has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
@@ -37,11 +40,18 @@ def shared_folder(spark: SparkSession) -> str:
 def settled(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    This cuts lineage: a lost executor costs no recomputation of what came before.
+    This cuts lineage: a lost executor costs no recomputation of what came before, and nothing reads
+    the shuffle files behind the table again, so Spark deletes them as soon as it is written.
     """
-    path = f"{shared_folder(df.sparkSession)}/docrecon-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/docrecon-{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)  # a new plan, as a plan keeps the setting of its birth
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
     return out
 
@@ -62,6 +72,13 @@ def kept(key, make):
     return store[name][1]
 
 
+def unkept() -> None:
+    """Drop what other operators keep in this worker process, so that their memory does not add up."""
+    store = sys.modules.get(_KEPT, types.ModuleType(_KEPT)).__dict__
+    for name in [k for k, v in store.items() if isinstance(v, tuple)]:
+        del store[name]
+
+
 def raw_texts(column) -> list:
     """Texts of an Arrow column as UTF-8 bytes; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]

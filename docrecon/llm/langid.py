@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.llm.common import batch_of, text_map
+from docrecon.llm.common import batch_of, text_map, unkept
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -94,6 +94,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     letter = regex.compile(r"\p{L}")
 
     def work(batches):
+        unkept()
         langs, logp, prior = shared.value
         bits = len(logp).bit_length() - 1
 

@@ -62,7 +62,7 @@ def dedup_lines(
              for t in raw_texts(b.column(0)) if len(t) >= min_chars), bits)
 
     partials = docs.select("text").mapInArrow(collect_bits, bloom.PARTIAL_DDL)
-    shared = spark.sparkContext.broadcast(bloom.merged(partials, bits))
+    shared = spark.sparkContext.broadcast(bloom.merged(partials, bits))  # until the suspects are written
     schema = pa.schema([("id", pa.int64()), ("key", pa.string())])
 
     def suspects(batches):
@@ -77,6 +77,7 @@ def dedup_lines(
             yield batch_of(schema, ids, keys)
 
     suspected = settled(docs.mapInArrow(suspects, "id long, key string"), "line-suspects")
+    shared.destroy()
     lowest = F.lit(-(1 << 63))
     # Written first, so that the join below can split a key that holds a large part of all rows.
     owner = settled(
@@ -91,9 +92,11 @@ def dedup_lines(
     )
     forget(suspected, owner)
     own = F.struct(*[F.col(f"`{c}`") for c in df.columns]) if keep else F.col(f"`{id_col}`").cast("long")
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), own.alias("row"),
-                     F.col(f"`{text_col}`").alias("text"))
-    met = rows.join(losing, F.col("id").eqNullSafe(F.col("of")), "left").select("row", "text", "keys")
+    # A row that is kept whole brings its text: no text shuffles twice.
+    text = [] if keep else [F.col(f"`{text_col}`").alias("text")]
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), own.alias("row"), *text)
+    met = rows.join(losing, F.col("id").eqNullSafe(F.col("of")), "left").select(
+        "row", F.col("row").getField(text_col).alias("text") if keep else "text", "keys")
     out_schema = [("text", pa.large_string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())]
 
     def drop(batches):

@@ -1,6 +1,10 @@
+import pathlib
+import time
+
 import pytest
 
 import corpus_pipeline
+from docrecon.llm import lines
 from docrecon.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -97,3 +101,39 @@ def test_repeated_rows_pass_language_and_quality_alike(spark):
     for stage in (corpus_pipeline.language, corpus_pipeline.good):
         kept = stage(spark, twice, SF).groupBy("doc_id").count().collect()
         assert all(r["count"] == (2 if r.doc_id < 50 else 1) for r in kept)
+
+
+def test_near_copies_leave_no_shuffle_files(spark):
+    """Tables that are written need no shuffle any more; filters are no longer kept either."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {p.name for d in disk.localDirsString() for p in pathlib.Path(d).glob("*/shuffle_*.data")}
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = files()
+    left = corpus_pipeline.one_of_each(spark, docs, SF)
+    for _ in range(40):
+        new = files() - before
+        if not new:
+            break
+        time.sleep(0.25)
+    assert not new
+    assert left.count() > 0.5 * docs.count()
+
+
+def test_lines_shuffle_each_text_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = lines.dedup_lines(docs, keep=True)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    side = next(x for x in plan[plan.index("Join"):].split("\n") if "struct(doc_id" in x)
+    assert side.rstrip("]").split(" AS ")[-1].startswith("row#") and ", text#" not in side.split(" AS row#")[1]
+
+
+def test_workers_drop_what_others_keep():
+    from docrecon.llm import common
+
+    made = common.kept(("test-words", 1), lambda: [1])
+    assert common.kept(("test-words", 1), lambda: [2]) is made
+    common.unkept()
+    assert common.kept(("test-words", 1), lambda: [2]) == [2]

@@ -15,12 +15,17 @@ its tile, about one pair a point, which joins groups of near copies.  Where a ce
 several components, its points look up all points of other components in all tiles of like size.
 Near sets share many cells, so each node lists its least ones: a pair is written in the first cell
 that both list, and only if points finer than the tree's allow the threshold.
+
+A node has a row in each of its cells, so written cells hold no points.  Both searches deal them with
+their points slice by slice, and the disk holds the points of one slice at a time.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +48,8 @@ HELD = 1 << 20  # bytes of text shingled at once
 ASKED = 1 << 10  # points that look up a tree at once
 LISTED = 16  # cells listed with a node
 MIDDLE = 512  # groups of a middle point, at most
+SLICES = 8  # slices of the cells that are searched one after another, at most
+SLICE_ROWS = 400_000  # rows of cells that need no further slice
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0xD1342543DE82EF95)
 WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -372,8 +379,15 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return both.where(den * common >= num * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def tiled(cells: DataFrame, at: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """``(cell, tile, page, members, node, size, at)`` and ``(cell, tile, pages)``, both written.
+def sliced_cells(rows: DataFrame, search: Callable[[DataFrame], DataFrame], name: str) -> list[DataFrame]:
+    """What ``search`` makes of slices of ``rows(cell, ...)``, written one after another; a cell is in
+    one slice.  Together the slices are all rows."""
+    n = min(SLICES, max(1, -(-rows.count() // SLICE_ROWS)))
+    return [settled(search(rows if n == 1 else rows.where(F.pmod("cell", F.lit(n)) == k)), name) for k in range(n)]
+
+
+def tiled(cells: DataFrame, sizes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """``(cell, tile, page, members, node, size)`` and ``(cell, tile, pages)``, both written.
 
     Cells with the same nodes need one tree.  A cell of more than PAGE nodes is cut into tiles of
     like size and these into pages; sets that reach the threshold are at most one tile apart.
@@ -384,7 +398,7 @@ def tiled(cells: DataFrame, at: DataFrame, num: int, den: int) -> tuple[DataFram
     once = several.groupBy("members", "lead", "same1", "same2").agg(F.min("cell").alias("cell"))
     width = 1.000001 * math.log(den / num) or 1.0
     tile = F.when(F.col("members") > PAGE, F.floor(F.log("size") / width)).otherwise(0)
-    placed = cells.select("cell", "node").join(once.select("cell", "members"), "cell").join(at, "node").withColumn(
+    placed = cells.select("cell", "node").join(once.select("cell", "members"), "cell").join(sizes, "node").withColumn(
         "tile", tile.cast("int"))
     placed = settled(placed, "cell-points")
     tiles = settled(placed.where(F.col("members") > PAGE).groupBy("cell", "tile").agg(
@@ -553,21 +567,30 @@ def across(paged: DataFrame, tiles: DataFrame, label: DataFrame, points: DataFra
     inside = settled(labelled.join(mixed_cells, "cell"), "cell-inside")
     # A node has at most as many cells as a set has groups.
     least = inside.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("cell")), 1, LISTED).alias("listed"))
-    about = least.join(points.select("node", "fine"), "node").mapInArrow(
-        listing, "node long, listed array<long>, middle binary")
-    members = settled(inside.join(about, "node"), "cell-mixed")
+    about = settled(least.join(points.select("node", "fine"), "node").mapInArrow(
+        listing, "node long, listed array<long>, middle binary"), "cell-about")
     asks = F.col("label") != F.col("main")
     role = lambda df, probe, known: df.withColumns({"probe": probe, "known": F.lit(known)})
-    small = role(members.where(F.col("members") <= PAGE), asks, True).select(columns)
-    several = members.where(F.col("members") > PAGE)
-    indexed = role(several, F.lit(False), True).select(columns)
-    large = role(several.where(asks), F.lit(True), False).drop("page").withColumn(
-        "tile", F.explode(F.array(*[F.col("tile") + F.lit(k) for k in (-1, 0, 1)]))).join(tiles, ["cell", "tile"]).withColumn(
-        "page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1))).select(columns)
-    dealt = indexed.union(small).union(large).repartition(n, "cell", "tile", "page").sortWithinPartitions(
-        "cell", "tile", "page", "probe")
-    out = settled(dealt.mapInArrow(work, "a long, b long").distinct(), "cell-across")
-    forget(inside, members)
+
+    def search(part):
+        members = part.join(about, "node")
+        small = role(members.where(F.col("members") <= PAGE), asks, True).select(columns)
+        several = members.where(F.col("members") > PAGE)
+        indexed = role(several, F.lit(False), True).select(columns)
+        large = role(several.where(asks), F.lit(True), False).drop("page").withColumn(
+            "tile", F.explode(F.array(*[F.col("tile") + F.lit(k) for k in (-1, 0, 1)]))).join(
+            tiles, ["cell", "tile"]).withColumn(
+            "page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1))).select(columns)
+        dealt = indexed.union(small).union(large).repartition(n, "cell", "tile", "page").sortWithinPartitions(
+            "cell", "tile", "page", "probe")
+        return dealt.mapInArrow(work, "a long, b long").distinct()
+
+    parts = sliced_cells(inside, search, "cell-across")
+    forget(inside, about)
+    if len(parts) == 1:
+        return parts[0]
+    out = settled(functools.reduce(DataFrame.union, parts).distinct(), "cell-across")
+    forget(*parts)
     return out
 
 
@@ -575,10 +598,18 @@ def joined(docs: DataFrame, cells: DataFrame, points: DataFrame, words: int, num
     """``(node, component)``, written, of all nodes with a link; every pair that shares a cell is
     excluded by its bound, verified, or within a component already.
 
-    Most groups are joined by one verified pair a node; then pairs that are still apart follow."""
-    paged, tiles = tiled(cells, points.select("node", "size", "at"), num, den)
+    Most groups are joined by one verified pair a node; then pairs that are still apart follow.
+    ``cells`` is deleted once it is dealt into pages."""
+    paged, tiles = tiled(cells, points.select("node", "size"), num, den)
+    forget(cells)
+    highest = lambda pairs: pairs.groupBy("a", "b").agg(F.max("shared").alias("shared"))
+    parts = sliced_cells(paged, lambda part: highest(
+        likeliest(part.join(points.select("node", "at"), "node"), num, den)), "cell-best")
+    best = parts[0]
+    if len(parts) > 1:
+        best = settled(highest(functools.reduce(DataFrame.union, parts)), "cell-best")
+        forget(*parts)
     nodes_of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    best = settled(likeliest(paged, num, den).groupBy("a", "b").agg(F.max("shared").alias("shared")), "cell-best")
     star = settled(bounded(best.select("a", "b"), points, num, den), "cell-star")
     sets = sets_of(docs, nodes_of(star), words)
     nearest = star.join(best, ["a", "b"]).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
@@ -627,13 +658,16 @@ def jaccard_components(
     points = settled(all_docs.where("size > 0").groupBy("node").agg(
         F.min("id").alias("own"), F.first("size").alias("size"), F.first("at").alias("at"),
         F.first("fine").alias("fine")), "ngram-points")
+    # The filters and the points of all rows are not needed any more.
+    named_docs = settled(all_docs.select("id", "size", "node"), "ngram-rows")
+    forget(both)
     label = joined(docs, cells, points, words, num, den)
     owned = settled(
         points.select("node", "own").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")), "ngram-named")
     lowest = owned.groupBy("component").agg(F.min("own").alias("low"))
     least = owned.join(lowest, "component").select("node", "low")
-    out = settled(all_docs.select("id", "size", "node").join(least, "node", "left").select(
+    out = settled(named_docs.join(least, "node", "left").select(
         F.col("id").alias(id_col), F.col("size").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("low")).alias("component_id")), "ngram-components")
-    forget(both, cells, points, label, owned)
+    forget(named_docs, points, label, owned)
     return out

@@ -170,3 +170,63 @@ def test_awkward_rows(awkward, nothing):
     assert len(rows) == awkward.count()
     assert {r.component_id for r in rows if r.doc_id == 0} == {0}
     assert ngram.jaccard_components(nothing).count() == 0
+
+
+def families(many: int) -> list[tuple[int, str]]:
+    """Texts around a common one, some of which link."""
+    rows = []
+    for f in range(many):
+        base = [f"f{f}w{k}" for k in range(200)]
+        rows += [(100 * f, " ".join(base)), (100 * f + 1, " ".join(base[:-1]))]
+        for k in range(2, 12):
+            own = list(base)
+            for j in range(2 + k % 4):
+                own[(k * 17 + j * 38) % 200] = f"x{k}y{j}"
+            rows.append((100 * f + k, " ".join(own)))
+    return rows
+
+
+def test_written_cells_hold_no_points(spark, monkeypatch):
+    """Points are written once a node, and what the searches do not read is deleted before them."""
+    real, gone, across, live, columns = ngram.settled, ngram.forget, ngram.across, set(), {}
+
+    def settled(df, name):
+        live.add(name)
+        columns[name] = set(df.columns)
+        out = real(df, name)
+        out.named = name
+        return out
+
+    def forget(*tables):
+        live.difference_update(x.named for x in tables if hasattr(x, "named"))
+        gone(*tables)
+
+    def search(*given):
+        assert not live & {"ngram-sets", "cell-points"}
+        return across(*given)
+
+    for name, spy in (("settled", settled), ("forget", forget), ("across", search)):
+        monkeypatch.setattr(ngram, name, spy)
+    rows = families(2)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in ngram.jaccard_components(df).collect()), key=str) == brute(rows, 4, 85, 100)
+    assert "cell-inside" in columns
+    for name, own in columns.items():
+        assert "cell" not in own or not own & {"at", "fine", "middle", "listed"}, name
+
+
+def test_cells_are_searched_in_slices(spark, monkeypatch):
+    real, slices = ngram.sliced_cells, []
+
+    def spy(*given):
+        out = real(*given)
+        slices.append(len(out))
+        return out
+
+    monkeypatch.setattr(ngram, "sliced_cells", spy)
+    monkeypatch.setattr(ngram, "SLICE_ROWS", 40)
+    monkeypatch.setattr(ngram, "PAGE", 4)
+    rows = families(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in ngram.jaccard_components(df).collect()), key=str) == brute(rows, 4, 85, 100)
+    assert len(slices) == 2 and min(slices) > 1 and max(slices) <= ngram.SLICES

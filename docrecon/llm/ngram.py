@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from docrecon.llm import bloom
 from docrecon.llm.cells import PAGE, meetings
 from docrecon.llm.common import batch_of, forget, raw_texts, settled
-from docrecon.llm.components import components
+from docrecon.llm.components import components, extended
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -620,8 +620,7 @@ def joined(docs: DataFrame, cells: DataFrame, points: DataFrame, words: int, num
     apart = star.join(nearest, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left").where(
         F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
     also = settled(verified(apart, sets, num, den), "cell-links")
-    links = sure.union(also)
-    first = label if also.isEmpty() else components(links)
+    first = label if also.isEmpty() else extended(label, also)
     others = across(paged, tiles, first, points, num, den)
     untried = settled(bounded(others.join(best, ["a", "b"], "left_anti"), points, num, den), "cell-others")
     unread = settled(nodes_of(untried).join(sets, "node", "left_anti"), "cell-unread")
@@ -631,7 +630,7 @@ def joined(docs: DataFrame, cells: DataFrame, points: DataFrame, words: int, num
         late = [sets_of(docs, unread, words)]
         known = sets.union(late[0].join(sets, "node", "left_anti"))
     more = settled(verified(untried, known, num, den), "cell-links")
-    out = first if more.isEmpty() else components(links.union(more))
+    out = first if more.isEmpty() else extended(first, more)
     older = {id(x): x for x in (label, first) if x is not out}
     forget(best, star, nearest, paged, tiles, sets, sure, also, others, untried, unread, *late, more, *older.values())
     return out

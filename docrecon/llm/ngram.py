@@ -48,6 +48,7 @@ HELD = 1 << 20  # bytes of text shingled at once
 ASKED = 1 << 10  # points that look up a tree at once
 LISTED = 16  # cells listed with a node
 MIDDLE = 512  # groups of a middle point, at most
+SPREADS = (((3, 2), 0.21), ((23, 20), 0.5))  # width of classes, spare groups for each that may differ
 SLICES = 8  # slices of the cells that are searched one after another, at most
 SLICE_ROWS = 400_000  # rows of cells that need no further slice
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -116,18 +117,30 @@ def in_parts(batches, column: str):
                 at, size = k + 1, 0
 
 
+def spread(num: int, den: int) -> tuple[tuple[int, int], float]:
+    """Width of the classes and share of spare groups with which few sets have more weak groups than
+    spare ones, at a threshold of ``num / den``: the first of SPREADS that the smallest sets of a
+    class allow, as counts in groups scatter about as Poisson's."""
+    for (up, down), share in SPREADS:
+        crowd = num / max(1, den - num) / (1 + share) * down / up  # shingles in a group
+        if math.exp(-crowd) * (1 + crowd) <= 1.05 * share / (1 + share):
+            break
+    return (up, down), share
+
+
 class Cells:
     """Cells of sets at a threshold of ``num / den``, in classes of the smaller set's size."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.edges, self.groups, self.spare = [1], [], []
+        (up, down), share = spread(num, den)
         while self.edges[-1] < 1 << 40:
             low = self.edges[-1]
-            high = max(low + 1, low * 3 // 2)
+            high = max(low + 1, low * up // down)
             small = high - 1
             differ = (small + small * den // num) * (den - num) // (den + num)
-            spare = math.ceil(0.21 * differ) + 1 if differ else 0  # about as many groups are weak
+            spare = math.ceil(share * differ) + 1 if differ else 0  # about as many groups are weak
             self.edges.append(high)
             # No difference allowed: equal sets only, which need no cell.
             self.groups.append(differ + 1 + spare if differ else 0)
@@ -146,14 +159,15 @@ class Cells:
         cells meet.  With e spare groups at least e + 1 agree, so a set with no more than e weak
         groups needs no cell for them; a set with more gets them all.
         """
-        out = []
+        out, high, scattered = [], s >> np.uint64(32), mixed(s ^ STEP)
         for c in self.classes(len(s)):
             groups = self.groups[c]
             if not groups:
                 continue
-            at = ((s >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
-            names, starts, counts = np.unique(at, return_index=True, return_counts=True)
-            content = np.add.reduceat(mixed(s ^ STEP), starts)
+            at = (high * np.uint64(groups)) >> np.uint64(32)  # ascending, as the set is
+            starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            names, counts = at[starts], np.diff(np.append(starts, len(at)))
+            content = np.add.reduceat(scattered, starts)
             cell = mixed(content ^ mixed(names + np.uint64(c << 40) + np.uint64(1)))
             if groups - int((counts > 1).sum()) <= self.spare[c]:
                 out.append(cell[counts > 1])

@@ -74,6 +74,32 @@ def test_no_near_pair_without_a_common_cell():
                 assert np.intersect1d(cells.keys(a), cells.keys(b)).size
 
 
+@pytest.mark.parametrize("num,of", [(80, 5), (70, 4)])
+def test_no_near_pair_without_a_common_cell_at_lower_thresholds(num, of):
+    cells = ngram.Cells(num, 100)
+    draw, tried = np.random.default_rng(6), 0
+    for n in (7, 12, 40, 150, 900):
+        for _ in range(60):
+            a = np.unique(draw.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+            gone = draw.integers(0, max(1, n // of) + 1)
+            b = np.unique(np.concatenate([a[gone:], draw.integers(0, 1 << 63, draw.integers(0, gone + 1)).astype(np.uint64)]))
+            common = len(np.intersect1d(a, b))
+            if 100 * common >= num * (len(a) + len(b) - common) and common < max(len(a), len(b)):
+                assert np.intersect1d(cells.keys(a), cells.keys(b)).size
+                tried += 1
+    assert tried > 50
+
+
+@pytest.mark.parametrize("num", [80, 85])
+def test_sets_without_a_common_shingle_rarely_share_a_cell(num):
+    """Cells of empty groups are for sets with more weak groups than spare ones, which must be few."""
+    cells, draw = ngram.Cells(num, 100), np.random.default_rng(7)
+    keys = [np.unique(cells.keys(np.unique(draw.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))))
+            for n in draw.integers(200, 1500, 300)]
+    counts = np.unique(np.concatenate(keys), return_counts=True)[1]
+    assert counts[counts > 1].sum() < 0.02 * sum(map(len, keys))
+
+
 def test_trees_find_all_that_the_bound_allows():
     draw = np.random.default_rng(5)
     at = draw.poisson(3, (700, ngram.AXES)).astype(np.int32)
